@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tiepoints.functions.rasters import let
 from tiepoints.operators.records import gather_windows
+from tiepoints.session import spread
 
 IMAGE = 1024
 CHIP = 8
@@ -16,7 +18,7 @@ HEAVY = ("ring", "widget")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def correspondences_of(lineitem: DataFrame) -> DataFrame:
@@ -221,12 +223,15 @@ def chips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rolled(px: Column, by: Column) -> Column:
-    return F.transform(
-        px,
-        lambda _, i: F.get(
-            px, (F.floor(i / CHIP) * CHIP + F.pmod(i - by, F.lit(CHIP))).cast("int")
-        ),
-    )
+    def roll(px: Column) -> Column:
+        return F.transform(
+            px,
+            lambda _, i: F.get(
+                px, (F.floor(i / CHIP) * CHIP + F.pmod(i - by, F.lit(CHIP))).cast("int")
+            ),
+        )
+
+    return let(px, roll)
 
 
 def chip_pairs(spark: SparkSession, sf_dir: str, nodata: bool = True) -> DataFrame:

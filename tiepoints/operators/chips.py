@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiepoints.functions import rasters
 from tiepoints.operators.joins import join_per_key
+from tiepoints.session import once
 
 
 def normalize_chips(chips: DataFrame, px: str = "px", nodata: str = "nodata", suffix: str = "") -> DataFrame:
     """Add ``mask`` and the normalised ``img`` of every chip."""
-    return chips.withColumn(f"mask{suffix}", rasters.valid_mask(F.col(px), F.col(nodata))).withColumn(
-        f"img{suffix}", rasters.normalize(F.col(px), F.col(f"mask{suffix}"))
-    )
-
-
-def _gate(img: Column, mask: Column, least: float) -> dict[str, Column]:
-    return {
-        "all_zero": F.array_max(img) == 0.0,
-        "nan": rasters.has_nan(img),
-        "low_valid": rasters.valid_fraction(mask) < least,
-    }
+    masked = once(chips, **{f"mask{suffix}": rasters.valid_mask(F.col(px), F.col(nodata))})
+    return once(masked, **{f"img{suffix}": rasters.normalize(F.col(px), F.col(f"mask{suffix}"))})
 
 
 def gate_pairs(pairs: DataFrame, min_valid_fraction: float) -> DataFrame:
@@ -30,16 +24,19 @@ def gate_pairs(pairs: DataFrame, min_valid_fraction: float) -> DataFrame:
     Order: failed matcher (a ``load_failed`` column, if there is one), all zero, NaN, valid
     fraction strictly below the minimum. ``reject_reason`` is NULL for accepted pairs.
     """
-    both = normalize_chips(
-        normalize_chips(pairs, "px1", "nodata1", "1"), "px2", "nodata2", "2"
-    )
-    first = _gate(F.col("img1"), F.col("mask1"), min_valid_fraction)
-    second = _gate(F.col("img2"), F.col("mask2"), min_valid_fraction)
+    both = normalize_chips(normalize_chips(pairs, "px1", "nodata1", "1"), "px2", "nodata2", "2")
+
+    def either(test: Callable[[Column, Column], Column]) -> Column:
+        return test(F.col("img1"), F.col("mask1")) | test(F.col("img2"), F.col("mask2"))
+
     latched = F.col("load_failed") if "load_failed" in pairs.columns else F.lit(False)
-    reason = F.when(latched, "load_failed")
-    for name in first:
-        reason = reason.when(first[name] | second[name], name)
-    return both.withColumn("reject_reason", reason)
+    reason = (
+        F.when(latched, "load_failed")
+        .when(either(lambda img, _: F.array_max(img) == 0.0), "all_zero")
+        .when(either(lambda img, _: rasters.has_nan(img)), "nan")
+        .when(either(lambda _, mask: rasters.valid_fraction(mask) < min_valid_fraction), "low_valid")
+    )
+    return once(both, reject_reason=reason)
 
 
 def flag_failed(pairs: DataFrame, failed: DataFrame) -> DataFrame:
@@ -53,11 +50,18 @@ def flag_failed(pairs: DataFrame, failed: DataFrame) -> DataFrame:
 def prepare_pairs(gated: DataFrame) -> DataFrame:
     """Inpaint and quantise accepted pairs to ``u1`` and ``u2``; rejected rows get NULL."""
     ready = F.col("reject_reason").isNull()
-    out = gated
-    for i in ("1", "2"):
-        filled = rasters.inpaint(F.col(f"img{i}"), F.col(f"mask{i}"), F.col(f"w{i}"))
-        out = out.withColumn(f"u{i}", F.when(ready, rasters.quantize_u8(filled)))
-    return out
+    return once(
+        gated,
+        **{
+            f"u{i}": F.when(
+                ready,
+                rasters.quantize_u8(
+                    rasters.inpaint(F.col(f"img{i}"), F.col(f"mask{i}"), F.col(f"w{i}"))
+                ),
+            )
+            for i in (1, 2)
+        },
+    )
 
 
 def explode_pixels(chips: DataFrame, value: str, key: str, width: str = "w") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tiepoints.functions.rasters import let
 from tiepoints.operators.joins import join_per_key
+from tiepoints.session import once
 
 MIN_MATCHES = 4
 
@@ -27,28 +28,27 @@ def select_keypoints(pred: DataFrame) -> DataFrame:
     do not fall back to the raw ones.
     """
     filtered = F.col("mm0").isNotNull() & F.col("mm1").isNotNull() & (F.size("mm0") > 0)
-    side0 = F.when(filtered, F.col("mm0")).otherwise(F.col("raw0"))
-    side1 = F.when(filtered, F.col("mm1")).otherwise(F.col("raw1"))
-    chosen = pred.withColumn("_p0", side0).withColumn("_p1", side1)
+    chosen = once(
+        pred,
+        _p0=F.when(filtered, F.col("mm0")).otherwise(F.col("raw0")),
+        _p1=F.when(filtered, F.col("mm1")).otherwise(F.col("raw1")),
+    )
     p0, p1 = F.col("_p0"), F.col("_p1")
     reason = F.when(p0.isNull() | (F.size(p0) == 0), "no_points").when(
         p1.isNull() | (F.size(p0) != F.size(p1)), "ragged"
     )
+
+    def coordinate(p: Column, axis: int, name: str) -> Column:
+        return F.get(p, F.lit(axis)).cast("float").alias(name)
+
     points = F.transform(
         p0,
         lambda p, i: F.struct(
-            i.alias("kp_idx"),
-            F.get(p, F.lit(0)).cast("float").alias("x1"),
-            F.get(p, F.lit(1)).cast("float").alias("y1"),
-            F.get(F.get(p1, i), F.lit(0)).cast("float").alias("x2"),
-            F.get(F.get(p1, i), F.lit(1)).cast("float").alias("y2"),
+            i.alias("kp_idx"), coordinate(p, 0, "x1"), coordinate(p, 1, "y1"),
+            coordinate(F.get(p1, i), 0, "x2"), coordinate(F.get(p1, i), 1, "y2"),
         ),
     )
-    return (
-        chosen.withColumn("reject_reason", reason)
-        .withColumn("kp", F.when(F.col("reject_reason").isNull(), points))
-        .drop("_p0", "_p1")
-    )
+    return once(chosen, reject_reason=reason, kp=F.when(reason.isNull(), points)).drop("_p0", "_p1")
 
 
 def _inside(x: Column, y: Column, w: Column, h: Column) -> Column:
@@ -115,9 +115,8 @@ def clean_windows(pred: DataFrame, valid1: Pixel, valid2: Pixel, least: int = MI
     Needs ``w1, h1, w2, h2`` and the prediction arrays; rows that already carry a
     ``reject_reason`` keep it. ``kp`` holds the surviving points and is NULL on a rejected row.
     """
-    earlier = F.col("_earlier")
-    before = F.col("reject_reason") if "reject_reason" in pred.columns else F.lit(None).cast("string")
-    chosen = select_keypoints(pred.withColumn("_earlier", before))
+    earlier = F.col("reject_reason") if "reject_reason" in pred.columns else F.lit(None).cast("string")
+    chosen = select_keypoints(pred.withColumn("_earlier", earlier))
 
     def inside(p: Column) -> Column:
         return _inside(p["x1"], p["y1"], F.col("w1"), F.col("h1")) & _inside(
@@ -127,32 +126,29 @@ def clean_windows(pred: DataFrame, valid1: Pixel, valid2: Pixel, least: int = MI
     def clear(p: Column) -> Column:
         return valid1(p["x1"], p["y1"]) & valid2(p["x2"], p["y2"])
 
-    staged = chosen.withColumn(
-        "_stage",
-        let(
+    staged = once(
+        chosen,
+        _kept=let(
             F.filter("kp", inside),
             lambda bounded: F.struct(
                 F.size(bounded).alias("n_bounded"), F.filter(bounded, clear).alias("kp")
             ),
         ),
     )
-    stage = F.col("_stage")
-    reason = (
-        F.when(earlier.isNotNull(), earlier)
-        .when(F.col("reject_reason").isNotNull(), F.col("reject_reason"))
-        .when(stage["n_bounded"] == 0, "out_of_bounds")
-        .when(F.size(stage["kp"]) < least, "too_few")
-    )
-    return (
-        staged.withColumn("reject_reason", reason)
-        .withColumn("kp", F.when(F.col("reject_reason").isNull(), stage["kp"]))
-        .drop("_stage", "_earlier")
+    kept = F.col("_kept")
+    reason = F.coalesce(
+        "_earlier",
+        "reject_reason",
+        F.when(kept["n_bounded"] == 0, "out_of_bounds").when(F.size(kept["kp"]) < least, "too_few"),
     )
+    return once(
+        staged, reject_reason=reason, kp=F.when(reason.isNull(), kept["kp"])
+    ).drop("_kept", "_earlier")
 
 
 def explode_points(windows: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per surviving point of cleaned windows."""
-    return windows.where(F.col("kp").isNotNull()).select(*keep, F.inline("kp"))
+    return windows.select(*keep, F.inline("kp"))
 
 
 def reject_counts(windows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

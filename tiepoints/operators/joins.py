@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tiepoints.session import settle
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+HOT_ROWS = 2_000_000
 SALTS = 16
 
 _WIDTH = {T.VariantType: 1024, T.StringType: 64, T.BooleanType: 1, T.IntegerType: 4, T.FloatType: 4}
@@ -33,22 +34,44 @@ def join_settled(
     *,
     array_length: int = 64,
     limit_bytes: int = BROADCAST_BYTES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join ``big`` with ``small``, an already written per-key table (see ``settle``).
 
-    Its counted size decides: up to ``limit_bytes`` it is broadcast and ``big`` does not move;
-    above that both sides are shuffled on (keys, salt), which spreads the rows of one key of
-    ``big`` over ``SALTS`` partitions, and adaptive execution splits what is still too large.
-    ``array_length`` is the longest array a row of ``small`` can hold.
+    Its counted size decides: up to ``limit_bytes`` it is broadcast and ``big`` does not move.
+    Above that the rows of ``big`` per key are counted, with partial aggregation. A key with more
+    than ``hot_rows`` is split into that many salts and its rows of ``small`` are repeated for
+    each; other keys are shuffled as they are. ``array_length`` is the longest array a row of
+    ``small`` can hold.
     """
     on = list(on)
     if small.count() * _width(small.schema, array_length) <= limit_bytes:
         return big.join(F.broadcast(small), on, how)
+    hot = settle(
+        big.groupBy(*on)
+        .agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > hot_rows)
+        .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")),
+        "hot-keys",
+    )
+    # Hints on the large side: the size estimate of an exploded table is that of its input, and
+    # could pass for broadcastable.
+    if hot.count() == 0:
+        return big.join(small.hint("merge"), on, how)
+    # At most one row per ``hot_rows`` rows of ``big``.
+    hot = F.broadcast(hot)
+    salts = F.coalesce("_salts", F.lit(1))
     # The partition id depends on neither row order nor values: copies of one row are spread,
     # and a retried task makes the same salts.
-    salted = big.withColumn("_salt", F.spark_partition_id() % SALTS)
-    replicated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(replicated, [*on, "_salt"], how).drop("_salt")
+    salted = big.join(hot, on, "left").withColumn("_salt", F.spark_partition_id() % salts)
+    repeated = small.join(hot, on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
+    )
+    return (
+        salted.drop("_salts")
+        .join(repeated.drop("_salts").hint("merge"), [*on, "_salt"], how)
+        .drop("_salt")
+    )
 
 
 def join_per_key(

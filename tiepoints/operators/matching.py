@@ -248,75 +248,85 @@ def local_consistency(
     """Matches with at least ``least`` neighbours that moved alike.
 
     Neighbours lie in the 3 x 3 grid cells around; alike means both displacement components
-    differ by at most ``radius``. Exact, yet no group is compared with itself:
+    differ by at most ``radius``. Exact, yet no crowd is compared with itself:
 
     * Matches are counted per cell and displacement bin of width ``radius``. All members of a bin
       move alike, so a bin of more than ``least`` is accepted as a whole.
-    * A smaller bin is rejected as a whole if the 81 bins around hold too few.
+    * A smaller bin is accepted as a whole if the same displacement bin of the 9 cells around
+      holds more than ``least``, and rejected as a whole if all 81 bins around hold too few.
     * Only what is left, at most ``least`` matches per bin, is compared with the rows around.
-
-    Copies of a match are carried as a count.
     """
     keys = list(keys)
     coords = ["x1", "y1", "x2", "y2"]
     place = ["_cx", "_cy", "_bu", "_bv"]
-    unique = (
-        matches.groupBy(*keys, *coords)
-        .agg(F.count("*").alias("_w"))
-        .withColumns({"_u": F.col("x2") - F.col("x1"), "_v": F.col("y2") - F.col("y1")})
-        .withColumns(
-            {
-                "_cx": F.floor(F.col("x1") / cell), "_cy": F.floor(F.col("y1") / cell),
-                "_bu": F.floor(F.col("_u") / radius), "_bv": F.floor(F.col("_v") / radius),
-            }
-        )
+    beside = [f"{name}2" for name in place]
+    u, v = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    placed = matches.withColumns(
+        {
+            "_cx": F.floor(F.col("x1") / cell), "_cy": F.floor(F.col("y1") / cell),
+            "_bu": F.floor(u / radius), "_bv": F.floor(v / radius),
+        }
     )
-    bins = settle(unique.groupBy(*keys, *place).agg(F.sum("_w").alias("_n")), "bins")
-    small = bins.where(F.col("_n") <= least)
-
-    def around(rows: DataFrame) -> DataFrame:
-        for name in place:
-            rows = rows.withColumn(
-                f"{name}2", F.explode(F.sequence(F.col(name) - 1, F.col(name) + 1))
-            )
-        return rows
-
-    def renamed(rows: DataFrame) -> DataFrame:
-        return rows.withColumnsRenamed({name: f"{name}2" for name in place})
-
-    open_bins = settle(
-        around(small.drop("_n"))
-        .join(renamed(bins), [*keys, *[f"{name}2" for name in place]])
-        .groupBy(*keys, *place)
-        .agg(F.sum("_n").alias("_n"))
-        .where(F.col("_n") > least)
-        .drop("_n"),
-        "open-bins",
+    bins = settle(placed.groupBy(*keys, *place).agg(F.count("*").alias("_n")), "bins")
+    adjacent = settle(_adjacent_bins(bins, keys, place, least), "adjacent-bins")
+    same = (F.col("_bu") == F.col("_bu2")) & (F.col("_bv") == F.col("_bv2"))
+    judged = settle(
+        adjacent.groupBy(*keys, *place)
+        .agg(F.sum("_n").alias("_around"), F.sum(F.when(same, F.col("_n"))).alias("_same"))
+        .where(F.col("_around") > least)
+        .select(*keys, *place, (F.col("_same") > least).alias("_accepted")),
+        "judged-bins",
     )
-    # A bin is a key of bounded size on this side; the other side may be hot and is salted.
-    undecided = settle(
-        around(join_settled(unique, open_bins, [*keys, *place], "left_semi")).select(
+    open_bins = judged.where(~F.col("_accepted")).drop("_accepted")
+    undecided = join_per_key(
+        placed.select(*keys, *place, *coords), open_bins, [*keys, *place], "left_semi"
+    ).distinct()
+    # Few matches per bin on this side; the other side may be hot.
+    asked = settle(
+        undecided.join(adjacent.drop("_n").hint("merge"), [*keys, *place]).select(
             *keys,
-            *[F.col(f"{name}2").alias(name) for name in place],
-            F.struct(*coords).alias("_of"), F.col("_u").alias("_u0"), F.col("_v").alias("_v0"),
+            *[F.col(b).alias(name) for name, b in zip(place, beside)],
+            F.struct(*coords).alias("_of"), u.alias("_u"), v.alias("_v"),
         ),
-        "undecided",
+        "asked",
     )
-    alike = (F.abs(F.col("_u") - F.col("_u0")) <= radius) & (F.abs(F.col("_v") - F.col("_v0")) <= radius)
+    alike = (F.abs(u - F.col("_u")) <= radius) & (F.abs(v - F.col("_v")) <= radius)
     confirmed = (
-        join_settled(unique.select(*keys, *place, "_u", "_v", "_w"), undecided, [*keys, *place])
+        join_settled(placed.select(*keys, *place, *coords), asked, [*keys, *place])
         .where(alike)
         .groupBy(*keys, "_of")
-        .agg(F.sum("_w").alias("_n"))
+        .agg(F.count("*").alias("_n"))
         .where(F.col("_n") > least)
         .select(*keys, "_of.*")
     )
-    dense = bins.where(F.col("_n") > least).select(*keys, *place)
-    accepted = join_settled(unique, dense, [*keys, *place], "left_semi").select(*keys, *coords)
-    kept = accepted.unionByName(confirmed)
-    # Distinct coordinates on the right; copies on the left are spread by the split of skewed
-    # partitions.
-    return matches.join(kept, [*keys, *coords], "left_semi")
+    accepted = bins.where(F.col("_n") > least).select(*keys, *place).unionByName(
+        judged.where("_accepted").drop("_accepted")
+    )
+    whole = join_per_key(placed, accepted, [*keys, *place], "left_semi").select(*matches.columns)
+    single = join_per_key(matches, confirmed, [*keys, *coords], "left_semi")
+    return whole.unionByName(single)
+
+
+def _adjacent_bins(bins: DataFrame, keys: list[str], place: list[str], least: int) -> DataFrame:
+    """Every small bin with the occupied bins around it, itself included.
+
+    Bins meet in blocks of 3 per dimension: a bin looks into one or two blocks per dimension,
+    and a block holds at most 81 bins.
+    """
+    block = [f"_k{i}" for i in range(len(place))]
+    small = bins.where(F.col("_n") <= least).drop("_n")
+    for name, k in zip(place, block):
+        low, high = F.floor((F.col(name) - 1) / 3), F.floor((F.col(name) + 1) / 3)
+        small = small.withColumn(k, F.explode(F.sequence(low, high)))
+    others = bins.select(
+        *keys, *[F.col(name).alias(f"{name}2") for name in place], "_n",
+        *[F.floor(F.col(name) / 3).alias(k) for name, k in zip(place, block)],
+    )
+    near = F.lit(True)
+    for name in place:
+        near = near & (F.abs(F.col(name) - F.col(f"{name}2")) <= 1)
+    # Bounded on both sides per key, so a plain shuffled join.
+    return small.join(others.hint("merge"), [*keys, *block]).where(near).drop(*block)
 
 
 def top_keypoints(

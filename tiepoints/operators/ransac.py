@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ RESIDUAL_STEPS = 64
 RESIDUAL_CAP = 64
 
 _PRIME = 2147483647
-_FACTORS = (73856093, 19349663, 83492791, 39916801)
+_FACTORS = ((73856093, 19349663, 83492791, 39916801), (32452843, 49979687, 15485863, 67867967))
+_MIXERS = (48271, 16807)
 _STEPS = ((7919, 13), (104729, 101), (1299709, 557))
 _COORDS = ("x1", "y1", "x2", "y2")
 
@@ -40,13 +43,14 @@ def hypothesis_count(confidence: float) -> int:
 
 
 def point_hash(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Integer hash of a correspondence at 1/1024 pixel; plain bigint arithmetic."""
-    mixed = F.lit(0).cast("bigint")
-    for value, factor in zip((x1, y1, x2, y2), _FACTORS):
-        step = F.floor(value * 1024.0).cast("bigint")
-        mixed = mixed + F.pmod(F.pmod(step, F.lit(_PRIME)) * factor, F.lit(_PRIME))
-    mixed = F.pmod(mixed, F.lit(_PRIME))
-    return F.pmod(mixed * mixed + mixed * F.lit(48271).cast("bigint"), F.lit(_PRIME))
+    """A 62-bit hash of a correspondence at 1/1024 pixel; plain bigint arithmetic."""
+    prime = F.lit(_PRIME).cast("bigint")
+    steps = [F.pmod(F.floor(v * 1024.0).cast("bigint"), prime) for v in (x1, y1, x2, y2)]
+    halves = []
+    for factors, mixer in zip(_FACTORS, _MIXERS):
+        mixed = F.pmod(reduce(add, [s * f % prime for s, f in zip(steps, factors)]), prime)
+        halves.append((mixed * mixed + mixed * mixer) % prime)
+    return halves[0] * F.lit(1 << 31).cast("bigint") + halves[1]
 
 
 def _solve(p: Column, q: Column, r: Column) -> Column:
@@ -81,12 +85,14 @@ def _solve(p: Column, q: Column, r: Column) -> Column:
 
 def affine_hypotheses(points: DataFrame, keys: Sequence[str], count: int) -> DataFrame:
     """Candidate models per group: ``keys, models ARRAY<STRUCT<h, model>>``."""
-    h = point_hash(*(F.col(c) for c in _COORDS))
+    hashed = points.select(*keys, *_COORDS, point_hash(*(F.col(c) for c in _COORDS)).alias("_h"))
+    # One fixed-width buffer per column, so that this is a hash aggregation.
+    representatives = hashed.groupBy(*keys, (F.col("_h") % BUCKETS).alias("_bucket")).agg(
+        F.min("_h").alias("_h"), *[F.min_by(c, "_h").alias(c) for c in _COORDS]
+    )
     sample = (
-        points.groupBy(*keys, F.pmod(h, F.lit(BUCKETS)).alias("_bucket"))
-        .agg(F.min(F.struct(h.alias("h"), *_COORDS)).alias("_point"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("_point")).alias("_sample"))
+        representatives.groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("_h", *_COORDS))).alias("_sample"))
         .where(F.size("_sample") >= 3)
     )
     size = F.size("_sample").cast("bigint")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tiepoints import schemas
 from tiepoints.functions import file_ids, geometry
 from tiepoints.operators.joins import join_per_key
+from tiepoints.session import once
 
 MAX_POINTS = 8192
 
@@ -61,8 +62,8 @@ def build_records(windows: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
         position["global_scan"], position["global_pix"],
         F.col("ransac_method"), F.col("ransac_threshold"), F.col("ransac_confidence"),
     )
-    located = windows.where(F.col("kp").isNotNull()).withColumn(
-        "_points", _located(F.array_sort("kp"), window)
+    located = once(
+        windows.where(F.col("kp").isNotNull()), _points=_located(F.array_sort("kp"), window)
     )
     return located.select(
         *keep,
@@ -123,3 +124,8 @@ def gather_windows(
 def explode_records(records: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per point, lists of a record as columns; the inverse of ``build_records``."""
     return records.select(*keep, F.inline(F.arrays_zip(*schemas.RECORD_LISTS)))
+
+
+def parse_keys(files: DataFrame, name: str = "file_name") -> DataFrame:
+    """Add ``key``, decoded once from each file basename; NULL for other formats."""
+    return once(files, key=file_ids.parse_file_id(F.col(name)))

@@ -488,10 +488,9 @@ def _fit_members(keys: str, source: str, most: int) -> dict[str, str]:
     def mod(value: str) -> str:
         return f"((({value}) % {_P}) + {_P}) % {_P}"
 
-    mixed = " + ".join(
-        f"({mod(f'cast(floor({c} * 1024) AS bigint)')}) * {factor} % {_P}"
-        for c, factor in zip(("x1", "y1", "x2", "y2"), (73856093, 19349663, 83492791, 39916801))
-    )
+    factors = ((73856093, 19349663, 83492791, 39916801), (32452843, 49979687, 15485863, 67867967))
+    steps = [mod(f"cast(floor({c} * 1024) AS bigint)") for c in ("x1", "y1", "x2", "y2")]
+    mix1, mix2 = (" + ".join(f"({s}) * {f} % {_P}" for s, f in zip(steps, fs)) for fs in factors)
     det = "(qx - px) * (ry - py) - (rx - px) * (qy - py)"
 
     def row(u: str, v: str, base: str) -> tuple[str, str, str]:
@@ -503,8 +502,8 @@ def _fit_members(keys: str, source: str, most: int) -> dict[str, str]:
     d, e, f = row("qy2", "ry2", "py2")
     return {
         "hashed": f"""
-  SELECT *, (mix * mix + mix * 48271) % {_P} AS hsh
-  FROM (SELECT {keys}, x1, y1, x2, y2, ({mixed}) % {_P} AS mix FROM {source})""",
+  SELECT *, (mix1 * mix1 + mix1 * 48271) % {_P} * 2147483648 + (mix2 * mix2 + mix2 * 16807) % {_P} AS hsh
+  FROM (SELECT {keys}, x1, y1, x2, y2, ({mix1}) % {_P} AS mix1, ({mix2}) % {_P} AS mix2 FROM {source})""",
         "sample": f"""
   SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY hsh, x1, y1, x2, y2) - 1 AS no,
          count(*) OVER (PARTITION BY {keys}) AS m

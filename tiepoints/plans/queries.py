@@ -388,16 +388,13 @@ def file_id_build(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def file_id_parse(spark: SparkSession, sf: str) -> DataFrame:
-    files = fx.match_files(spark, sf)
-    return files.select("file_name", file_ids.parse_file_id(F.col("file_name")).alias("key")).select(
-        "file_name", "key.*"
-    )
+    return records.parse_keys(fx.match_files(spark, sf)).select("file_name", "key.*")
 
 
 @query
 def pol_reference_join(spark: SparkSession, sf: str) -> DataFrame:
-    key = file_ids.parse_file_id(F.col("file_name"))
-    runs = fx.match_files(spark, sf).select(key.alias("key")).where(F.col("key").isNotNull()).select(
+    parsed = records.parse_keys(fx.match_files(spark, sf))
+    runs = parsed.where(F.col("key").isNotNull()).select(
         F.col("key.pair_id").cast("int").alias("pair_id"), "key.nisar_pol", "key.s1_ref_tag"
     )
     joined = stats.join_reference(runs, fx.reference_images(spark, sf))
@@ -553,9 +550,9 @@ def record_files_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "records")
     writers.write_match_records(_records(spark, sf), path)
     stored = readers.read_match_records(spark, path)
-    key = file_ids.parse_file_id(F.concat("file_id", F.lit(file_ids.EXTENSION)))
+    named = stored.withColumn("file_name", F.concat("file_id", F.lit(file_ids.EXTENSION)))
     return (
-        stored.withColumn("key", key)
+        records.parse_keys(named)
         .groupBy("window_size", "detector", "nisar_pol")
         .agg(
             F.count("*").alias("records"),

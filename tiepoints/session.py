@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TUNING = {
     "spark.sql.adaptive.enabled": "true",
@@ -58,6 +59,29 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a file scan at least one task per core.
+
+    A small file with a single row group is one task however much work follows. A scan of many
+    files has splits enough and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    return df.repartition(cores) if len(files) < cores else df
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    They are the output of a generator, which the optimizer does not copy into later filters
+    and projections as it does with the definition of an ordinary column.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(
+        *[c for c in df.columns if c not in columns], F.inline(F.array(row))
+    )
+
+
 def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     """Write ``df`` to the work folder and read it back.
 

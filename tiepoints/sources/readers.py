@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tiepoints import schemas
-from tiepoints.functions.file_ids import parse_file_id
+from tiepoints.operators.records import parse_keys
 
 
 def _table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
@@ -55,8 +55,7 @@ def read_gcps(spark: SparkSession, path: str | None = None) -> DataFrame:
 def read_match_files(spark: SparkSession, path: str, schema: T.StructType = schemas.MATCH_ROW) -> DataFrame:
     """Per-window CSV files; the key parsed from each file name becomes column ``key``."""
     rows = spark.read.schema(schema).option("header", True).csv(path)
-    name: Column = F.col("_metadata.file_name")
-    return rows.select(name.alias("file_name"), parse_file_id(name).alias("key"), "*")
+    return parse_keys(rows.select(F.col("_metadata.file_name").alias("file_name"), "*"))
 
 
 def read_match_records(spark: SparkSession, path: str) -> DataFrame:
