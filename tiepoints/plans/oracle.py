@@ -324,7 +324,11 @@ _oracle(
 
 # --- correspondences ------------------------------------------------------------------------
 
-_oracle("select_keypoints", ["chosen"], "SELECT win, 0 AS part, kp_idx, x1, y1, x2, y2 FROM chosen")
+_oracle(
+    "select_keypoints", ["chosen"],
+    """SELECT win, 0 AS part, kp_idx, cast(x1 AS float) AS x1, cast(y1 AS float) AS y1,
+         cast(x2 AS float) AS x2, cast(y2 AS float) AS y2 FROM chosen""",
+)
 _oracle(
     "window_clean", ["judged"],
     """SELECT win, 0 AS part, reject_reason, case when reject_reason IS NULL then n_left end AS n
@@ -635,7 +639,7 @@ _oracle(
 _PS = "window_size, detector, nisar_pol, s1_ref_tag"
 _oracle(
     "pol_summary", ["clear"],
-    f"""SELECT {_PS}, {' + '.join(f'grouping({k})' for k in _PS.split(', '))} AS level, count(*) AS chips,
+    f"""SELECT {_PS}, cast({' + '.join(f'grouping({k})' for k in _PS.split(', '))} AS int) AS level, count(*) AS chips,
           cast(sum(n) AS bigint) AS n, {_r('avg(across)')} AS across, {_r('avg(along)')} AS along
         FROM survivors GROUP BY ROLLUP ({_PS})""",
     sized="SELECT *, 1024 AS window_size FROM clear",
@@ -653,7 +657,8 @@ _SHIFT = "SELECT vec_id AS chip_id, cast(vec_id % 8 AS int) AS s FROM embeddings
 _oracle(
     "matcher_udf", [],
     """SELECT chip_id, tag, 
-         (case when dx >= 0 then (8 - dx + step - 1) // step else (8 + dx) // step end) * (8 // step) AS n_inside, (8 // step) * (8 // step) AS n_raw,
+         cast((case when dx >= 0 then (8 - dx + step - 1) // step else (8 + dx) // step end) * (8 // step) AS bigint)
+           AS n_inside, cast((8 // step) * (8 // step) AS bigint) AS n_raw,
          dx, cast(null AS varchar) AS error FROM (
          SELECT *, case when tag = 'phase-fine' then 1 else 2 end AS step FROM d,
            (SELECT unnest(['phase-fine', 'phase-coarse']) AS tag))""",

@@ -60,14 +60,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a file scan at least one task per core.
+    """Give the scan of a small file at least one task per core.
 
-    A small file with a single row group is one task however much work follows. A scan of many
-    files has splits enough and is returned as it is.
+    A small file is one task however much work follows. A scan that has splits enough is
+    returned as it is, so this moves at most a split's worth of bytes per core. Rows are placed
+    by hash of the first column, which unlike round robin needs no sort to be repeatable.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    return df.repartition(cores) if len(files) < cores else df
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
