@@ -250,8 +250,17 @@ _oracle(
        LEFT JOIN cat ON cat.tag = r.tag""",
 )
 
+_oracle("registry_from_files", ["cat"], "SELECT ordinal, tag, dense FROM cat")
+
 # --- sweep ----------------------------------------------------------------------------------
 
+_oracle(
+    "window_size_settings", [],
+    """SELECT run_id, window_size, case when window_size IS NULL then 250 else greatest(250, window_size // 2) end
+         AS window_size_small, 'imw_win' || cast(window_size AS varchar) AS output_dir
+       FROM (SELECT o_orderkey AS run_id, unnest(case when o_orderkey % 3 = 0 then [1024]
+               else [cast(o_custkey % 4096 AS int), 512, NULL] end) AS window_size FROM orders)""",
+)
 _oracle(
     "sweep_grid", ["cat"],
     """SELECT ordinal, tag, window_size, ransac_method, ransac_threshold, ransac_confidence,
@@ -305,6 +314,11 @@ _oracle(
 # --- chips ----------------------------------------------------------------------------------
 
 _oracle("chip_normalize", ["normalized"], f"SELECT chip_id, iy, ix, {_r('img')} AS v FROM normalized")
+_oracle(
+    "chip_pair_source", ["gate"],
+    """SELECT cast(chip_id AS int) AS pair_id, cast(1024 * (chip_id % 7) AS int) AS wx,
+         cast(512 * (chip_id % 7) AS int) AS wy, reject_reason, 1000e0 * chip_id + 5e0 AS x02 FROM gate""",
+)
 _oracle("chip_gate", ["gate"], "SELECT chip_id, reject_reason, valid AS valid1, valid AS valid2 FROM gate")
 _oracle(
     "chip_reject_counts", ["gate"],
@@ -414,6 +428,16 @@ _oracle(
                case when p[2] IN ('HH', 'VV') then 'VV' else 'VH' end AS ref_pol FROM parsed WHERE good)
        WHERE pair_id IN (SELECT s_suppkey % 20 FROM supplier) GROUP BY ALL""",
 )
+_REF = "SELECT DISTINCT cast(s_suppkey % 20 AS int) AS pair_id FROM supplier"
+_oracle(
+    "reference_table", [],
+    "SELECT pair_id, 'VH' AS ref_pol, 'ref/VH/' || cast(pair_id AS varchar) AS ref_path FROM r", r=_REF,
+)
+_oracle(
+    "gcp_file", [],
+    """SELECT s_suppkey AS gcp_id, cast((s_suppkey * 97) % 1000 * 10 + 5 AS double) AS X,
+         cast((s_suppkey * 389) % 1000 * 10 AS double) AS Y FROM supplier""",
+)
 _oracle(
     "nearest_gcp", [],
     f"""SELECT match_id, arg_min(gcp_id, (d2, gcp_id)) AS gcp_id, {_r('sqrt(min(d2))')} AS gcp_distance

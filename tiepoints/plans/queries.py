@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiepoints import fixtures as fx
+from tiepoints import schemas
 from tiepoints.functions import file_ids, geometry, rasters
 from tiepoints.operators import (
     catalog,
@@ -117,9 +118,36 @@ def tag_lookup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def registry_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "registry")
+    specs = catalog.first_valid(fx.specs(spark, sf))
+    specs.where(~F.col("dense")).drop("dense").write.json(f"{path}/sparse")
+    specs.where("dense").drop("dense", "extractor").write.json(f"{path}/dense")
+    fx.confs(spark, sf).write.parquet(f"{path}/confs")
+    read = catalog.all_specs(
+        readers.read_sparse_specs(spark, f"{path}/sparse", "json"),
+        readers.read_dense_specs(spark, f"{path}/dense", "json"),
+    )
+    resolved = catalog.resolve(read, readers.read_conf_tables(spark, f"{path}/confs"))
+    return catalog.catalog(resolved).select("ordinal", "tag", "dense")
+
+
 # --- sweep ----------------------------------------------------------------------------------
 
 
+@query
+def window_size_settings(spark: SparkSession, sf: str) -> DataFrame:
+    setting = F.when(
+        F.col("o_orderkey") % 3 != 0,
+        F.concat_ws(",", (F.col("o_custkey") % 4096).cast("string"), F.lit("512"), F.col("o_orderpriority")),
+    )
+    listed = fx.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("run_id"), F.explode(sweep.int_list(setting)).alias("window_size")
+    )
+    return sweep.derived_parameters(listed).select("run_id", "window_size", "window_size_small", "output_dir")
+
+
 @query
 def sweep_grid(spark: SparkSession, sf: str) -> DataFrame:
     return sweep.sweep_grid(_catalog(spark, sf).select("ordinal", "tag"), "400,1024,2000,2048")
@@ -206,6 +234,20 @@ def chip_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return pixels.select("chip_id", "iy", "ix", r6("v").alias("v"))
 
 
+@query
+def chip_pair_source(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "chip-pairs")
+    pairs = fx.with_geometry(
+        fx.chip_pairs(spark, sf).withColumns(
+            {"pair_id": F.col("chip_id").cast("int"), "chip": (F.col("chip_id") % 7).cast("int"),
+             "window_size": F.lit(fx.CHIP), "nisar_pol": F.lit("HH"), "s1_ref_tag": F.lit("VV")}
+        )
+    )
+    pairs.select(*[f.name for f in schemas.CHIP_PAIR.fields]).write.parquet(path)
+    gated = chips.gate_pairs(readers.read_chip_pairs(spark, path), MIN_VALID)
+    return gated.select("pair_id", "wx", "wy", "reject_reason", F.col("geo.x02").alias("x02"))
+
+
 @query
 def chip_gate(spark: SparkSession, sf: str) -> DataFrame:
     gated = chips.gate_pairs(fx.chip_pairs(spark, sf), MIN_VALID)
@@ -401,6 +443,20 @@ def pol_reference_join(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy("pair_id", "nisar_pol", "ref_pol", "ref_path").agg(F.count("*").alias("runs"))
 
 
+@query
+def reference_table(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "reference")
+    fx.reference_images(spark, sf).write.partitionBy("ref_pol").parquet(path)
+    return readers.read_reference(spark, path, "VH")
+
+
+@query
+def gcp_file(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "gcps")
+    fx.gcps(spark, sf).write.option("header", True).csv(path)
+    return readers.read_gcps(spark, path).unionByName(readers.read_gcps(spark, ""))
+
+
 @query
 def nearest_gcp(spark: SparkSession, sf: str) -> DataFrame:
     found = geo.nearest_gcp(fx.gcp_matches(spark, sf), fx.gcps(spark, sf), 600.0, "match_id")
