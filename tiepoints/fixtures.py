@@ -93,7 +93,11 @@ def with_geometry(rows: DataFrame) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One matcher prediction per order: all points raw, inliers filtered, none for every 7th."""
+    """One matcher prediction per order: all points raw, inliers filtered, none for every 7th.
+
+    A matcher returns a bounded number of points, so an order of more items than that stands for
+    several windows (``part``), each judged by itself.
+    """
     points = correspondences(spark, sf_dir)
     windows = gather_windows(points, ["win"], extra=["outlier"])
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tiepoints import schemas
-from tiepoints.functions.rasters import let
 
 # The tokens of the file-name format.
 DETECTOR_PREFIX = "imw-"
@@ -20,9 +17,8 @@ MATCHER_TOKEN = "lgm"
 MODEL_TOKEN = "aff"
 EXTENSION = ".csv"
 
-# The last extension, unless only dots precede it in the last path component.
-_LAST_EXTENSION = r"([^/.]\.*)\.[^./]*\z"
-_INTEGER = r"^\s*[+-]?\d+\s*$"
+_LAST_EXTENSION = r"\.[^./]*\z"
+_ONLY_DOTS_BEFORE = r"(^|/)\.+[^./]*\z"
 _DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _NAN = r"^\s*[+-]?nan\s*$"
 _INFINITY = r"^\s*[+-]?inf(inity)?\s*$"
@@ -66,11 +62,10 @@ def build_file_id(
 
 
 def strip_extension(name: Column) -> Column:
-    return F.regexp_replace(name, _LAST_EXTENSION, "$1")
-
-
-def _to_long(token: Column) -> Column:
-    return F.when(token.rlike(_INTEGER), F.trim(token).try_cast("bigint"))
+    """Drop the last extension, unless only dots precede it in the last path component."""
+    return F.when(name.rlike(_ONLY_DOTS_BEFORE), name).otherwise(
+        F.regexp_replace(name, _LAST_EXTENSION, "")
+    )
 
 
 def _to_double(token: Column) -> Column:
@@ -83,49 +78,55 @@ def _to_double(token: Column) -> Column:
     )
 
 
-def parse_file_id(name: Column) -> Column:
-    """Decode a file basename into the 14-field key; NULL when it is not of this format.
+def tokens(name: Column) -> Column:
+    """The parts of a file basename without its extension."""
+    return F.split(strip_extension(name), "_")
+
+
+def numbers(parts: Column) -> Column:
+    """The five numeric fields; NULL where a token is missing or unreadable.
+
+    Prefixes are removed wherever they occur and are not required.
+    """
+
+    def whole(i: int, prefix: str) -> Column:
+        return F.replace(F.get(parts, F.lit(i)), F.lit(prefix), F.lit("")).try_cast("bigint")
+
+    return F.struct(
+        whole(3, PAIR_PREFIX).alias("pair_id"),
+        whole(4, SCAN_PREFIX).alias("scan"),
+        whole(5, PIX_PREFIX).alias("pix"),
+        _to_double(F.get(parts, F.lit(9))).alias("ransac_threshold"),
+        _to_double(F.get(parts, F.lit(10))).alias("ransac_confidence"),
+    )
+
+
+def key(parts: Column, values: Column) -> Column:
+    """The 14-field key from ``tokens`` and ``numbers``; NULL when the name is not of this format.
 
-    The literal prefixes are removed wherever they occur and are not required; tokens past
-    the eleventh are ignored; a missing or unreadable one makes the whole key NULL.
+    Tokens past the eleventh are ignored.
     """
 
-    def decode(parts: Column) -> Column:
-        def token(i: int) -> Column:
-            return F.get(parts, F.lit(i))
-
-        def number(i: int, prefix: str) -> Column:
-            return _to_long(F.replace(token(i), F.lit(prefix), F.lit("")))
-
-        numbers = F.struct(
-            number(3, PAIR_PREFIX).alias("pair_id"),
-            number(4, SCAN_PREFIX).alias("scan"),
-            number(5, PIX_PREFIX).alias("pix"),
-            _to_double(token(9)).alias("ransac_threshold"),
-            _to_double(token(10)).alias("ransac_confidence"),
-        )
-        return let(numbers, lambda n: assemble(token, n))
-
-    def assemble(token: Callable[[int], Column], n: Column) -> Column:
-        absent = F.lit(None).cast("string")
-        numeric = ("pair_id", "scan", "pix", "ransac_threshold", "ransac_confidence")
-        fields = {
-            "disk_mode": absent,
-            "det_wt": absent,
-            "desc_wt": F.substring(token(0), len(DETECTOR_PREFIX) + 1, 1 << 30),
-            "detector": token(0),
-            "nisar_pol": token(1),
-            "s1_ref_tag": F.replace(token(2), F.lit(REFERENCE_PREFIX), F.lit("")),
-            "match_method": token(6),
-            "match_parameter": absent,
-            "ransac_method": token(8),
-            **{c: n[c] for c in numeric},
-        }
-        readable = token(0).startswith(DETECTOR_PREFIX) & (token(7) == MODEL_TOKEN)
-        for c in numeric:
-            readable = readable & n[c].isNotNull()
-        return F.when(
-            readable, F.struct(*[fields[f.name].alias(f.name) for f in schemas.FILE_KEY.fields])
-        )
-
-    return let(F.split(strip_extension(name), "_"), decode)
+    def token(i: int) -> Column:
+        return F.get(parts, F.lit(i))
+
+    absent = F.lit(None).cast("string")
+    numeric = ("pair_id", "scan", "pix", "ransac_threshold", "ransac_confidence")
+    fields = {
+        "disk_mode": absent,
+        "det_wt": absent,
+        "desc_wt": F.substring(token(0), len(DETECTOR_PREFIX) + 1, 1 << 30),
+        "detector": token(0),
+        "nisar_pol": token(1),
+        "s1_ref_tag": F.replace(token(2), F.lit(REFERENCE_PREFIX), F.lit("")),
+        "match_method": token(6),
+        "match_parameter": absent,
+        "ransac_method": token(8),
+        **{c: values[c] for c in numeric},
+    }
+    readable = token(0).startswith(DETECTOR_PREFIX) & (token(7) == MODEL_TOKEN)
+    for c in numeric:
+        readable = readable & values[c].isNotNull()
+    return F.when(
+        readable, F.struct(*[fields[f.name].alias(f.name) for f in schemas.FILE_KEY.fields])
+    )

@@ -11,6 +11,9 @@ from tiepoints.functions import rasters
 from tiepoints.operators.joins import join_per_key
 from tiepoints.session import once
 
+# Fixed value: default decimation of the reference image.
+S1_DECIMATION = 10
+
 
 def normalize_chips(chips: DataFrame, px: str = "px", nodata: str = "nodata", suffix: str = "") -> DataFrame:
     """Add ``mask`` and the normalised ``img`` of every chip."""
@@ -64,6 +67,18 @@ def prepare_pairs(gated: DataFrame) -> DataFrame:
     )
 
 
+def resample_chips(chips: DataFrame, k: int = S1_DECIMATION, px: str = "px") -> DataFrame:
+    """Replace the pixels of every chip by the means of its k x k blocks, and its ``w`` and ``h``."""
+    return once(
+        chips,
+        **{
+            px: rasters.block_mean(F.col(px), F.col("w"), F.col("h"), k),
+            "w": F.ceil(F.col("w") / k).cast("int"),
+            "h": F.ceil(F.col("h") / k).cast("int"),
+        },
+    )
+
+
 def explode_pixels(chips: DataFrame, value: str, key: str, width: str = "w") -> DataFrame:
     """One row per pixel: ``key, iy, ix, v``."""
     return chips.select(key, width, F.posexplode(value).alias("_pos", "v")).select(

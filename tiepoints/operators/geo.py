@@ -73,7 +73,7 @@ def nearest_gcp(
             F.ceil(F.count("*") / (MAX_PER_ROW / 2)).cast("int").alias("_slots")
         )
         lists = (
-            spread.join(slots, cell)
+            join_per_key(spread, slots, cell)
             .withColumn("_slot", F.pmod(F.xxhash64("_gcp.gcp_id"), F.col("_slots")))
             .groupBy(*cell, "_slot")
             .agg(F.collect_list("_gcp").alias("_gcps"))

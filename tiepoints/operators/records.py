@@ -90,7 +90,8 @@ def gather_windows(
 
     A window of up to ``max_points`` points is one row with ``part`` 0. A larger one becomes
     several parts of about that size, so that no task ever holds a whole hot window; every
-    point is kept. Within a part points are numbered by ``order``; ``extra`` columns stay with them.
+    point is kept. Clean points before gathering them: later gates judge each part by itself.
+    Within a part points are numbered by ``order``; ``extra`` columns stay with them.
     """
     large = (
         points.groupBy(*keys)
@@ -127,5 +128,7 @@ def explode_records(records: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def parse_keys(files: DataFrame, name: str = "file_name") -> DataFrame:
-    """Add ``key``, decoded once from each file basename; NULL for other formats."""
-    return once(files, key=file_ids.parse_file_id(F.col(name)))
+    """Add ``key``, decoded from each file basename; NULL for names of another format."""
+    split = once(files, _parts=file_ids.tokens(F.col(name)))
+    valued = once(split, _values=file_ids.numbers(F.col("_parts")))
+    return once(valued, key=file_ids.key(F.col("_parts"), F.col("_values"))).drop("_parts", "_values")

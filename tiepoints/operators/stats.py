@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tiepoints.operators.joins import join_settled
+from tiepoints.operators.joins import join_per_key, join_settled
 from tiepoints.session import settle
 
 SKETCH_ACCURACY = 10_000
@@ -160,11 +160,9 @@ def reference_pol(pol: Column) -> Column:
 
 
 def join_reference(runs: DataFrame, reference: DataFrame) -> DataFrame:
-    """Attach the reference image ``(pair_id, ref_pol)`` of every run; both are its partition keys.
+    """Attach the reference image of every run, by pair and reference polarisation.
 
-    ``reference`` has one row per key. File statistics decide on a broadcast; a hot pair of
-    ``runs`` is otherwise split by adaptive execution.
+    ``reference`` has one row per key.
     """
-    return runs.withColumn("ref_pol", reference_pol(F.col("nisar_pol"))).join(
-        reference, ["pair_id", "ref_pol"]
-    )
+    polarised = runs.withColumn("ref_pol", reference_pol(F.col("nisar_pol")))
+    return join_per_key(polarised, reference, ["pair_id", "ref_pol"])

@@ -15,8 +15,6 @@ WINDOW_SIZES = "1024"
 RANSAC_METHODS = ("4",)
 RANSAC_THRESHOLDS = ("1", "2", "3")
 RANSAC_CONFIDENCES = ("0.91", "0.95", "0.99")
-TARGET_RESOLUTION = 10
-S1_DECIMATION = 10
 MAX_KEYPOINTS = 2048
 OOM_EXIT_CODES = (-9, 137)
 
@@ -30,8 +28,8 @@ def int_list(setting: Column, default: str = WINDOW_SIZES) -> Column:
     )
 
 
-def derived_parameters(runs: DataFrame) -> DataFrame:
-    """Parameters that follow from ``window_size``."""
+def derived_parameters(runs: DataFrame, num_features: Column | int = MAX_KEYPOINTS) -> DataFrame:
+    """Parameters that follow from ``window_size``; the keypoint budget is given."""
     win = F.col("window_size")
     return runs.withColumns(
         {
@@ -40,7 +38,7 @@ def derived_parameters(runs: DataFrame) -> DataFrame:
             "debug_mode": win > 2000,
             "min_surviving_chips": F.when(win >= 2000, 1).otherwise(2),
             "output_dir": F.concat(F.lit("imw_win"), win.cast("string")),
-            "num_features": F.lit(MAX_KEYPOINTS),
+            "num_features": F.lit(num_features),
         }
     )
 

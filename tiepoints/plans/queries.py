@@ -280,10 +280,8 @@ def chip_quantize(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def chip_resample(spark: SparkSession, sf: str) -> DataFrame:
-    small = fx.chips(spark, sf).withColumn(
-        "small", rasters.block_mean(F.col("px"), F.col("w"), F.col("h"), 3)
-    ).withColumn("w", F.lit(3))
-    return _pixels(small, "small").select("chip_id", "iy", "ix", r6("v").alias("v"))
+    small = chips.resample_chips(fx.chips(spark, sf), 3)
+    return _pixels(small, "px").select("chip_id", "iy", "ix", r6("v").alias("v"))
 
 
 # --- correspondences ------------------------------------------------------------------------
