@@ -86,6 +86,17 @@ def test_known_shift_is_recovered(spark):
     assert len(window["kp"]) == 64
 
 
+def test_rejected_pairs_keep_their_reason(spark):
+    flat = [5.0] * 256
+    one_, two = (i.ravel().astype(float).tolist() for i in known_pair(16, 2))
+    rows = spark.createDataFrame(
+        [(1, flat, two, None, None, 16, 16, 16, 16), (2, one_, two, None, None, 16, 16, 16, 16)], PAIR
+    )
+    spec = matchers.MatcherSpec("phase", matchers.phase_correlation, {"step": 4})
+    found = registration.match_pairs(rows, [spec], ["id"], 0.9).orderBy("id").collect()
+    assert [(r["reject_reason"], r["kp"] is None) for r in found] == [("all_zero", True), (None, False)]
+
+
 def broken():
     raise OSError("no weights")
 

@@ -68,20 +68,22 @@ def _predict(spec: MatcherSpec, image1: np.ndarray, image2: np.ndarray) -> dict[
 def run_matcher(prepared: DataFrame, spec: MatcherSpec, keep: Sequence[str]) -> DataFrame:
     """Run one matcher over every accepted pair: ``keep, tag``, the point sets, ``error``.
 
+    With ``reject_reason`` among the ``keep`` columns, rejected pairs pass through without points.
     Map-only: pixels stay where they were read, and the ``keep`` columns (window key, geometry,
     masks) pass through Python as Arrow buffers, so nothing has to be joined back. A window
     whose matcher raises keeps a row with the reason in ``error``.
     """
     inputs = ["w1", "h1", "u1", "w2", "h2", "u2"]
-    narrow = prepared.where(F.col("reject_reason").isNull()).select(
-        *keep, *[c for c in inputs if c not in keep]
-    )
+    rows = prepared if "reject_reason" in keep else prepared.where(F.col("reject_reason").isNull())
+    narrow = rows.select(*keep, *[c for c in inputs if c not in keep])
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             u1, h1, w1, u2, h2, w2 = (batch.column(c) for c in ("u1", "h1", "w1", "u2", "h2", "w2"))
             found = [
                 _predict(spec, _rgb(u1[i], h1[i], w1[i]), _rgb(u2[i], h2[i], w2[i]))
+                if u1[i].is_valid and u2[i].is_valid
+                else {}
                 for i in range(batch.num_rows)
             ]
             columns = [batch.column(c) for c in keep]

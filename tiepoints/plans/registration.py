@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiepoints.operators import chips, consensus, correspond, matchers
@@ -41,14 +41,15 @@ def match_pairs(
     """From chip pairs to cleaned windows, for every matcher of a catalog.
 
     Gates and preparation run before the pixels go to Python; sizes and masks travel along, so
-    that the cleaning needs no join. The plan has no shuffle.
+    that the cleaning needs no join. The plan has no shuffle. Every window keeps a row, with the
+    first gate that rejected it in ``reject_reason``.
     """
     prepared = chips.prepare_pairs(chips.gate_pairs(pairs, min_valid_fraction))
-    carried = [*keep, "w1", "h1", "w2", "h2", "mask1", "mask2"]
+    carried = [*keep, "reject_reason", "w1", "h1", "w2", "h2", "mask1", "mask2"]
     found = matchers.run_catalog(prepared, specs, carried)
-    masked: list[Column] = [F.col("mask1"), F.col("mask2")]
+    failed = F.when(F.col("error").isNotNull(), F.lit("matcher_error"))
     return correspond.clean_windows(
-        found.withColumn("reject_reason", F.when(F.col("error").isNotNull(), F.lit("matcher_error"))),
-        correspond.mask_pixel(masked[0], F.col("w1")),
-        correspond.mask_pixel(masked[1], F.col("w2")),
+        found.withColumn("reject_reason", F.coalesce("reject_reason", failed)),
+        correspond.mask_pixel(F.col("mask1"), F.col("w1")),
+        correspond.mask_pixel(F.col("mask2"), F.col("w2")),
     ).select(*keep, "tag", "reject_reason", "kp", "error")

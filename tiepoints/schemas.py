@@ -9,6 +9,8 @@ STRING, BOOLEAN = T.StringType(), T.BooleanType()
 FLOATS, DOUBLES = T.ArrayType(FLOAT), T.ArrayType(DOUBLE)
 POINTS = T.ArrayType(FLOATS)
 
+# Field names are those of the exchanged tables and of the match-file key.
+
 
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
