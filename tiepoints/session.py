@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,22 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, as ``--py-files`` would; once per application.
+
+    The archive is only handed to Spark, which distributes it.
+    """
+    context, package = spark.sparkContext, Path(__file__).resolve().parent
+    if context.applicationId in _shipped or not package.is_dir():
+        return
+    base = Path(tempfile.mkdtemp(prefix="tiepoints-")) / package.name
+    context.addPyFile(shutil.make_archive(str(base), "zip", package.parent, package.name))
+    _shipped.add(context.applicationId)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give the scan of a small file at least one task per core.
 
