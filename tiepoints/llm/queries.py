@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tiepoints.llm import secrets
+from tiepoints.llm import bpe, secrets
 from tiepoints.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +22,8 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 @query
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(documents(spark, sf_dir))
+
+
+@query
+def op8_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
