@@ -26,9 +26,9 @@ from tiepoints.session import settle
 
 PER_CLASS = 4096
 BITS = 18
-LENGTHS = (3, 4, 5)
+LENGTHS = (3, 4, 5, 6)
 #: N-grams whose frequencies differ most between the classes; the others get no weight.
-SELECTED = 1 << 15
+SELECTED = 1 << 12
 RIDGE = 1e-3
 
 
@@ -47,7 +47,7 @@ def hashed_ngrams(text: str) -> np.ndarray:
             break
         rolled = (rolled[:-1] if n > 1 else rolled[: len(points)]) * np.uint32(0x01000193) + points[n - 1 :]
         if n in LENGTHS:
-            mixed = (rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x9E3779B1) + np.uint32(n * 0x2C1B3C6D)
+            mixed = (rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x9E3779B1) + np.uint32(n * 0x2C1B3C6D & 0xFFFFFFFF)
             out.append(mixed >> np.uint32(32 - BITS))
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
@@ -70,13 +70,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     return held.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _class_counts(rows: DataFrame) -> DataFrame:
+    """Documents of each class with an n-gram: gram, p (toxic), q (others).
+
+    Every task adds up its own documents first and emits a hash value once.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
-            grams = [np.unique(hashed_ngrams(t)).astype(np.int32) for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"], "grams": pd.Series(grams, dtype=object, index=batch.index)})
+            for toxic, text in zip(batch["toxic"], batch["text"]):
+                held[toxic, np.unique(hashed_ngrams(text))] += 1
+        seen = np.flatnonzero(held.any(axis=0))
+        yield pd.DataFrame({"gram": seen.astype(np.int32), "p": held[1, seen], "q": held[0, seen]})
 
-    return rows.mapInPandas(build, "toxic int, grams array<int>")
+    counted = rows.mapInPandas(count, "gram int, p long, q long")
+    return counted.groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -126,18 +135,16 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Counts and regression run in tasks; at most ``SELECTED`` weights reach the driver."""
-    rows = settle(_features(training_rows(docs, labels, per_class)), "toxicity")
+    rows = settle(training_rows(docs, labels, per_class), "toxicity")
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     weights = np.zeros(1 << BITS, np.float32)
     if not toxic or not other:
         return Model(weights, np.inf if toxic else -np.inf)
-    counts = rows.select("toxic", F.explode("grams").alias("gram")).groupBy("gram")
-    counts = counts.agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
     p, q, share = F.col("p"), F.col("q"), (F.col("p") + F.col("q")) / (toxic + other)
     ratio = F.log((p + 1) / (toxic + 2)) - F.log((q + 1) / (other + 2))
     apart = F.abs(p / toxic - q / other) / F.sqrt(share * (1 - share) + 1e-6)
-    top = counts.select("gram", ratio.alias("ratio"), apart.alias("apart"))
+    top = _class_counts(rows).select("gram", ratio.alias("ratio"), apart.alias("apart"))
     top = top.orderBy(F.desc("apart"), "gram").limit(SELECTED).select("gram", "ratio").toPandas()
     grams, ratios = top["gram"].to_numpy(), top["ratio"].to_numpy()
     position = np.full(1 << BITS, -1, np.int32)
@@ -145,12 +152,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
     def scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at = [position[g][position[g] >= 0] for g in batch["grams"]]
+            at = [np.unique(position[hashed_ngrams(t)]) for t in batch["text"]]
+            at = [a[a >= 0] for a in at]
             value = pd.Series([ratios[a] for a in at], dtype=object, index=batch.index)
             yield pd.DataFrame(
                 {"toxic": batch["toxic"], "at": pd.Series(at, dtype=object, index=batch.index), "value": value}
             )
 
+    # At most 2 * per_class rows of at most SELECTED values.
     bounded = rows.mapInPandas(scaled, "toxic int, at array<int>, value array<double>")
     fitted = bounded.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_fit, "at int, weight double").toPandas().sort_values("at")
     found = fitted["weight"].to_numpy()
