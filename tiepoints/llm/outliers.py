@@ -34,7 +34,7 @@ SHARE = 0.75
 BINS = 32  # per unit of ln(distance^2)
 FLOOR = 0.15  # least standard deviation of a transformed statistic: one repeated line in 40
 # Quantiles of the chi-square distribution with five degrees of freedom.
-MEDIAN_5, WEIGHT_5, REJECT_5 = 4.3515, 12.8325, 45.0
+MEDIAN_5, WEIGHT_5, REJECT_5 = 4.3515, 12.8325, 30.0
 STATS = ("x0", "x1", "x2", "x3", "x4")
 P = len(STATS)
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
