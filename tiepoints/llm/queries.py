@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tiepoints.llm import bpe, decontam, outliers, secrets, sharding, toxicity
+from tiepoints.llm import bpe, decontam, outliers, pii, secrets, sharding, toxicity
 from tiepoints.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ ORACLE["op6_decontaminate"] = decontam.SQL
 @query
 def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(documents(spark, sf_dir))
+
+
+@query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data_digest(documents(spark, sf_dir))
