@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tiepoints.llm import bpe, decontam, outliers, pii, secrets, sharding, toxicity
+from tiepoints.llm import bpe, decontam, neardup, outliers, pii, secrets, sharding, toxicity
 from tiepoints.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_digest(documents(spark, sf_dir))
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
