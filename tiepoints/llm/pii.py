@@ -9,7 +9,7 @@ both. Texts without an entity are never changed.
 
 Only DataFrame functions are used. Patterns are written so that Java's engine takes linear time and
 constant stack on texts of any length, with the same matches as the plain forms. Copies of a text
-count once. What a row needs of the corpus is joined by (entity, term), never a group's pairs.
+under other doc_ids count once. What a row needs of the corpus is joined by (entity, term), never a group's pairs.
 
 Null texts have no spans. Rows equal in doc_id and text have equal results.
 """
@@ -171,11 +171,13 @@ def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
     both = both.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
     both = settle(both.join(entities, "entity"), "co-occurrence")
     terms = settle(both.select("term").distinct(), "terms")
-    words = texts(docs).where("text is not null").select(
-        F.xxhash64("text").alias("text_hash"),
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"),
-    )
-    counts = join_settled(words, terms, ["term"]).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    # One row of each text; then every task adds up its own texts, and a term is shuffled once per task.
+    copies = found.groupBy("text_hash").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_first"))
+    copies = settle(copies.where("_n > 1").select("text_hash", "_first"), "copies")
+    first = join_settled(texts(docs).withColumn("text_hash", F.xxhash64("text")), copies, ["text_hash"], "left")
+    first = first.where("text is not null and (_first is null or doc_id = _first)")
+    words = first.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"))
+    counts = join_settled(words, terms, ["term"]).groupBy("term").agg(F.count("*").alias("n_term"))
     n_entity, n_term, n_both = F.col("n_entity"), F.col("n_term"), F.col("n_both")
     pmi = F.log(n_both * F.lit(float(total)) / (n_entity * n_term))
     ic = F.log(F.lit(float(total)) / n_entity)
