@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tiepoints.llm import bpe, decontam, neardup, outliers, pii, repeats, secrets, sharding, toxicity
+from tiepoints.llm import bpe, decontam, neardup, outliers, pii, repeats, secrets, sharding, spans, toxicity
 from tiepoints.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir))
+
+
+@query
+def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeated_runs(documents(spark, sf_dir))
