@@ -94,7 +94,7 @@ def test_grid_and_derived_parameters(spark):
     grid = sweep.sweep_grid(configs, "400,2000,2001").where("tag = 'a' AND ransac_threshold = '1' AND ransac_confidence = '0.91'")
     rows = {r["window_size"]: r for r in grid.collect()}
     assert {w: (r["window_size_small"], r["debug_mode"], r["min_surviving_chips"], r["output_dir"]) for w, r in rows.items()} == {
-        400: (250, False, 2, "imw_win400"), 2000: (1000, False, 1, "imw_win2000"), 2001: (1000, True, 1, "imw_win2001"),
+        400: (250, False, 2, "window400"), 2000: (1000, False, 1, "window2000"), 2001: (1000, True, 1, "window2001"),
     }
 
 

@@ -66,24 +66,26 @@ def test_failed_matcher_comes_first(spark):
     assert chips.gate_pairs(flagged, 0.5).first()["reject_reason"] == "load_failed"
 
 
-def known_pair(size=128, shift=8):
-    rng = np.random.default_rng(0)
-    yy, xx = np.mgrid[0:size, 0:size]
-    image = (0.5 * rng.integers(0, 256, (size, size)) + 0.5 * ((xx + yy) % 256)).astype(np.uint8)
-    return image, np.roll(image, shift, axis=1)
+def known_pair(size=128, across=8, down=0):
+    """Soft blobs on a tilted plane, and the same moved round by (across, down)."""
+    y, x = np.mgrid[0:size, 0:size] / size
+    blobs = [(0.21, 0.34, 0.05, 90), (0.72, 0.18, 0.08, 60), (0.55, 0.77, 0.03, 110), (0.12, 0.86, 0.06, 75)]
+    image = 30 * x + 20 * y + sum(h * np.exp(-((x - a) ** 2 + (y - b) ** 2) / (2 * s * s)) for a, b, s, h in blobs)
+    image = np.clip(image, 0, 255).astype(np.uint8)
+    return image, np.roll(image, (down, across), axis=(0, 1))
 
 
-def image_pair(spark, size=128, shift=8):
-    one_, two = (i.ravel().astype(float).tolist() for i in known_pair(size, shift))
+def image_pair(spark, size=128, across=8, down=0):
+    one_, two = (i.ravel().astype(float).tolist() for i in known_pair(size, across, down))
     return spark.createDataFrame([(1, one_, two, None, None, size, size, size, size)], PAIR)
 
 
 def test_known_shift_is_recovered(spark):
     spec = matchers.MatcherSpec("phase", matchers.phase_correlation, {"step": 16})
-    window = registration.match_pairs(image_pair(spark), [spec], ["id"], 0.9).first()
+    window = registration.match_pairs(image_pair(spark, across=8, down=-16), [spec], ["id"], 0.9).first()
     assert window["reject_reason"] is None and window["tag"] == "phase"
-    assert {(p["x2"] - p["x1"], p["y2"] - p["y1"]) for p in window["kp"]} == {(8.0, 0.0)}
-    assert len(window["kp"]) == 64
+    assert {(p["x2"] - p["x1"], p["y2"] - p["y1"]) for p in window["kp"]} == {(8.0, -16.0)}
+    assert len(window["kp"]) == 56
 
 
 def test_rejected_pairs_keep_their_reason(spark):
@@ -133,3 +135,35 @@ def test_images_reach_the_matcher_as_rgb(spark):
 
 def test_valid_fraction(spark):
     assert math.isclose(one(spark, rasters.valid_fraction(F.col("mask")), [0.0], [True, False, True]), 2 / 3)
+
+
+def test_specs_of_one_tag_are_loaded_for_their_own_run(spark):
+    counts = []
+    for step in (64, 32):
+        spec = matchers.MatcherSpec("phase", matchers.phase_correlation, {"step": step})
+        prepared = chips.prepare_pairs(chips.gate_pairs(image_pair(spark), 0.9))
+        counts.append(len(matchers.run_matcher(prepared, spec, ["id"]).first()["raw0"]))
+    assert counts == [4, 16]
+
+
+def wide():
+    return lambda one_, two: {"mm0": np.array([[1, 2, 9], [3, 4, 9]]), "mm1": np.array([[5, 6, 9], [7, 8, 9]])}
+
+
+def ragged():
+    return lambda one_, two: {"mm0": np.arange(5), "mm1": np.arange(5)}
+
+
+def test_predictions_of_other_shapes(spark):
+    prepared = chips.prepare_pairs(chips.gate_pairs(image_pair(spark), 0.9))
+    row = matchers.run_matcher(prepared, matchers.MatcherSpec("wide", wide), ["id"]).first()
+    assert row["mm0"] == [[1.0, 2.0], [3.0, 4.0]] and row["error"] is None
+    row = matchers.run_matcher(prepared, matchers.MatcherSpec("ragged", ragged), ["id"]).first()
+    assert row["mm0"] is None and "shape" in row["error"]
+
+
+def test_malformed_chips_are_rejected_by_row(spark):
+    good = [1.0, 2.0, 3.0, 4.0]
+    gated = chips.gate_pairs(pairs(spark, (None, good, None), (good, [], None), (good, good[:3], None), (good, good, None)), 0.5)
+    found = [r["reject_reason"] for r in gated.orderBy("id").collect()]
+    assert found == ["bad_shape", "bad_shape", "bad_shape", None]

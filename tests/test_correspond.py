@@ -81,11 +81,11 @@ def test_min_matches_counts_per_window(spark):
 
 def record_windows(spark, n):
     return windows(spark, (grid(n), grid(n, 2.0), None, None)).selectExpr(
-        "*", "'a-b' AS tag", "'HH' AS nisar_pol", "'VV' AS s1_ref_tag", "3 AS pair_id",
+        "*", "'a-b' AS tag", "'HH' AS source_pol", "'VV' AS s1_ref_tag", "3 AS pair_id",
         "100 AS wx", "20 AS wy", "7 AS s1_wx", "5 AS s1_wy", "'4' AS ransac_method",
         "'1' AS ransac_threshold", "'0.91' AS ransac_confidence",
         """named_struct('x01', 10D, 'y01', 20D, 'xres1', 2D, 'yres1', -2D, 'x02', 11D, 'y02', 22D,
-           'xres2', 4D, 'yres2', -4D, 'nisar_crop_col_offset', 1000, 'nisar_crop_row_offset', 5000) AS geo""",
+           'xres2', 4D, 'yres2', -4D, 'crop_col_offset', 1000, 'crop_row_offset', 5000) AS geo""",
     )
 
 
@@ -112,14 +112,10 @@ def test_explode_inverts_build(spark):
         assert [r[name] for r in rows] == record[name]
 
 
-def test_large_windows_become_parts(spark):
-    rows = [(1, 5.0, 5.0, 5.0, 5.0)] * 300 + [(1, float(i), 0.0, 0.0, 0.0) for i in range(200)]
-    rows += [(2, float(i), 0.0, 0.0, 0.0) for i in range(10)]
-    points = spark.createDataFrame(rows, "win int, x1 double, y1 double, x2 double, y2 double").repartition(4)
-    parts = records.gather_windows(points, ["win"], max_points=100).collect()
-    assert sum(len(r["kp"]) for r in parts if r["win"] == 1) == 500
-    assert len([r for r in parts if r["win"] == 1]) > 1
-    assert [(r["part"], len(r["kp"])) for r in parts if r["win"] == 2] == [(0, 10)]
-    for r in parts:
-        assert [p["kp_idx"] for p in r["kp"]] == list(range(len(r["kp"])))
-        assert [p["x1"] for p in r["kp"]] == sorted(p["x1"] for p in r["kp"])
+def test_a_large_window_is_gathered_whole_from_any_partitioning(spark):
+    rows = [(1, 5.0, 5.0, 5.0, 5.0)] * 300 + [(1, float(i), 0.0, 0.0, 0.0) for i in range(9000)]
+    points = spark.createDataFrame(rows, "win int, x1 double, y1 double, x2 double, y2 double")
+    two, seven = (records.gather_windows(points.repartition(n), ["win"]).collect() for n in (2, 7))
+    assert two == seven and len(two) == 1
+    assert [p["kp_idx"] for p in two[0]["kp"]] == list(range(9300))
+    assert [p["x1"] for p in two[0]["kp"]] == sorted(p["x1"] for p in two[0]["kp"])

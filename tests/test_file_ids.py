@@ -20,7 +20,7 @@ def test_fields(spark):
     key = parse(spark, [GOOD])[GOOD]
     assert key.asDict() == {
         "disk_mode": None, "det_wt": None, "desc_wt": "sp-lg", "detector": "imw-sp-lg",
-        "nisar_pol": "HH", "s1_ref_tag": "VV", "pair_id": 7, "scan": 12, "pix": 34,
+        "source_pol": "HH", "s1_ref_tag": "VV", "pair_id": 7, "scan": 12, "pix": 34,
         "match_method": "lgm", "match_parameter": None, "ransac_method": "4",
         "ransac_threshold": 1.0, "ransac_confidence": 0.91,
     }
@@ -93,7 +93,7 @@ def test_parse_inverts_build(spark, rows):
     named = df.withColumn("file_name", F.concat(name, F.lit(".csv")))
     for r in parse_keys(named).collect():
         k = r["key"]
-        assert (k["desc_wt"], k["nisar_pol"], k["s1_ref_tag"], k["pair_id"], k["scan"], k["pix"]) == (
+        assert (k["desc_wt"], k["source_pol"], k["s1_ref_tag"], k["pair_id"], k["scan"], k["pix"]) == (
             r["tag"], r["pol"], r["ref"], r["pair"], r["scan"], r["pix"]
         )
         assert (k["ransac_threshold"], k["ransac_confidence"]) == (float(r["t"]), float(r["c"]))

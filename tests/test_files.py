@@ -35,7 +35,7 @@ def test_csv_has_a_row_per_point(spark, tmp_path):
     writers.write_match_csv(records, str(tmp_path / "csv"))
     stored = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert stored.count() == records.agg(F.sum(F.size("x1"))).first()[0]
-    assert {"file_id", "window_size", "detector", "nisar_pol", "distance"} <= set(stored.columns)
+    assert {"file_id", "window_size", "detector", "source_pol", "distance"} <= set(stored.columns)
 
 
 def test_summary_is_replaced_per_window_size(spark, tmp_path):

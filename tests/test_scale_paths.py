@@ -124,7 +124,7 @@ def test_nearest_gcp_against_brute_force(spark, limit, monkeypatch):
     marks[10] = marks[9]
     matches = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "m int, map_x1 double, map_y1 double")
     gcps = spark.createDataFrame([(i, *map(float, g)) for i, g in enumerate(marks)], "gcp_id bigint, X double, Y double")
-    found = {r["m"]: (r["gcp_id"], r["gcp_distance"]) for r in geo.nearest_gcp(matches, gcps, 50.0, "m").collect()}
+    found = {r["m"]: (r["gcp_id"], r["gcp_distance"]) for r in geo.nearest_gcp(matches, gcps, 50.0).collect()}
     d = np.hypot(*(points[:, None, :] - marks[None, :, :]).transpose(2, 0, 1))
     assert len(found) == 80
     for i in range(80):
@@ -132,3 +132,22 @@ def test_nearest_gcp_against_brute_force(spark, limit, monkeypatch):
             assert found[i][0] == d[i].argmin() and found[i][1] == pytest.approx(d[i].min())
         else:
             assert found[i] == (None, None)
+
+
+@pytest.mark.parametrize("whole", [20_000, 0])
+def test_percentiles_count_values_not_rows(spark, whole, monkeypatch):
+    monkeypatch.setattr(stats, "WHOLE_GROUP", whole)
+    rows = [(1, float(i)) for i in range(10)] + [(1, None)] * 3 + [(2, None)] + [(3, float("nan")), (3, 1.0), (3, 2.0)]
+    points = spark.createDataFrame(rows, "k int, v double")
+    found = stats.group_statistics(points, ["k"], {"m": F.avg("v")}, {"p50": ("v", 0.5), "p100": ("v", 1.0)})
+    got = {r["k"]: (r["n"], r["m"], r["p50"]) for r in found.collect()}
+    assert got[1] == (13, 4.5, 4.5) and got[2] == (1, None, None)
+    assert got[3][2] == 2.0
+
+
+def test_a_hot_key_of_one_partition_gets_several_salts(spark):
+    big = spark.range(6000).select(F.lit(1).alias("k"), "id").coalesce(1)
+    small = settle(spark.createDataFrame([(1, "a")], "k int, v string"))
+    joined = joins.join_settled(big, small, ["k"], limit_bytes=0, hot_rows=500)
+    assert joined.count() == 6000
+    assert big.select(F.pmod(joins._row_hash(big), F.lit(12))).distinct().count() > 1

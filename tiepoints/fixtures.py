@@ -38,7 +38,7 @@ def correspondences_of(lineitem: DataFrame) -> DataFrame:
         line.alias("chip"),
         F.col("l_orderkey").alias("win"),
         F.concat(F.lit("imw-d"), (F.col("l_partkey") % 3).cast("string")).alias("detector"),
-        F.when(pol, "HH").otherwise("HV").alias("nisar_pol"),
+        F.when(pol, "HH").otherwise("HV").alias("source_pol"),
         F.when(pol, "VV").otherwise("VH").alias("s1_ref_tag"),
         (~inlier).alias("outlier"),
         (qty / 64).alias("score"),
@@ -86,7 +86,7 @@ def with_geometry(rows: DataFrame) -> DataFrame:
                 x0.alias("x01"), y0.alias("y01"), F.lit(10.0).alias("xres1"), F.lit(-10.0).alias("yres1"),
                 (x0 + 5.0).alias("x02"), (y0 - 5.0).alias("y02"),
                 F.lit(10.0).alias("xres2"), F.lit(-10.0).alias("yres2"),
-                F.lit(100).alias("nisar_crop_col_offset"), F.lit(200).alias("nisar_crop_row_offset"),
+                F.lit(100).alias("crop_col_offset"), F.lit(200).alias("crop_row_offset"),
             ),
         }
     )
@@ -113,7 +113,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("win") % 20).cast("int").alias("pair_id"),
             (F.col("win") % 7 + 1).cast("int").alias("chip"),
             F.concat(F.lit("m"), (F.col("win") % 5).cast("string")).alias("tag"),
-            F.when(F.col("win") % 2 == 0, "HH").otherwise("HV").alias("nisar_pol"),
+            F.when(F.col("win") % 2 == 0, "HH").otherwise("HV").alias("source_pol"),
             F.when(F.col("win") % 2 == 0, "VV").otherwise("VH").alias("s1_ref_tag"),
             *[F.lit(IMAGE).alias(c) for c in ("w1", "h1", "w2", "h2")],
             side(F.col("kp"), "x1", "y1").alias("raw0"),

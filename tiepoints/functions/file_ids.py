@@ -117,7 +117,7 @@ def key(parts: Column, values: Column) -> Column:
         "det_wt": absent,
         "desc_wt": F.substring(token(0), len(DETECTOR_PREFIX) + 1, 1 << 30),
         "detector": token(0),
-        "nisar_pol": token(1),
+        "source_pol": token(1),
         "s1_ref_tag": F.replace(token(2), F.lit(REFERENCE_PREFIX), F.lit("")),
         "match_method": token(6),
         "match_parameter": absent,

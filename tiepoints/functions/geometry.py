@@ -43,8 +43,8 @@ def full_image_point(x: Column, y: Column, wx: Column, wy: Column) -> tuple[Colu
 def global_position(geo: Column, wx: Column, wy: Column) -> dict[str, Column]:
     """Scan and pixel position of the window in the uncropped image."""
     return {
-        "global_scan": (geo["nisar_crop_col_offset"] + wx).cast("int"),
-        "global_pix": (geo["nisar_crop_row_offset"] + wy).cast("int"),
+        "global_scan": (geo["crop_col_offset"] + wx).cast("int"),
+        "global_pix": (geo["crop_row_offset"] + wy).cast("int"),
     }
 
 

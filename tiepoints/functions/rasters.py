@@ -94,7 +94,8 @@ def quantize_u8(img: Column) -> Column:
 
 
 def valid_fraction(mask: Column) -> Column:
-    return F.size(F.filter(mask, lambda ok: ok)) / F.size(mask)
+    """Share of valid pixels; NULL for a chip without pixels."""
+    return F.size(F.filter(mask, lambda ok: ok)) / F.nullif(F.size(mask), F.lit(0))
 
 
 def has_nan(img: Column) -> Column:

@@ -68,9 +68,10 @@ def resolve(specs: DataFrame, confs: DataFrame) -> DataFrame:
 
     ``confs(kind, name, conf)`` has one row per kind (``extract``, ``match``, ``dense``) and
     name. Adds ``feature``, ``matcher_conf`` (both VARIANT) and ``skip_reason``, the first
-    missing lookup; the extractor is checked first. Dense specs have no feature.
+    missing lookup; the extractor is checked first. A conf that is no JSON counts as missing.
+    Dense specs have no feature.
     """
-    parsed = settle(confs, "confs").select("kind", "name", F.parse_json("conf").alias("conf"))
+    parsed = settle(confs, "confs").select("kind", "name", F.try_parse_json("conf").alias("conf"))
     extract = parsed.where("kind = 'extract'").select(
         F.col("name").alias("extractor"), F.col("conf").alias("feature")
     )

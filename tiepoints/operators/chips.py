@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +26,18 @@ def normalize_chips(chips: DataFrame, px: str = "px", nodata: str = "nodata", su
 def gate_pairs(pairs: DataFrame, min_valid_fraction: float) -> DataFrame:
     """Normalise both chips of a pair and name the first gate that rejects it.
 
-    Order: failed matcher (a ``load_failed`` column, if there is one), all zero, NaN, valid
-    fraction strictly below the minimum. ``reject_reason`` is NULL for accepted pairs.
+    Order: failed matcher (a ``load_failed`` column, if there is one), pixels that are NULL, empty or
+    not as many as the size says, all zero, NaN, valid fraction strictly below the minimum. ``reject_reason`` is NULL for accepted pairs.
     """
+    sound = reduce(
+        and_,
+        [
+            F.col(f"px{i}").isNotNull() & (F.col(f"w{i}") > 0) & (F.col(f"h{i}") > 0)
+            & (F.size(f"px{i}") == F.col(f"w{i}") * F.col(f"h{i}"))
+            for i in (1, 2)
+        ],
+    )
+    pairs = pairs.withColumn("_sound", F.coalesce(sound, F.lit(False)))
     both = normalize_chips(normalize_chips(pairs, "px1", "nodata1", "1"), "px2", "nodata2", "2")
 
     def either(test: Callable[[Column, Column], Column]) -> Column:
@@ -35,11 +46,12 @@ def gate_pairs(pairs: DataFrame, min_valid_fraction: float) -> DataFrame:
     latched = F.col("load_failed") if "load_failed" in pairs.columns else F.lit(False)
     reason = (
         F.when(latched, "load_failed")
+        .when(~F.col("_sound"), "bad_shape")
         .when(either(lambda img, _: F.array_max(img) == 0.0), "all_zero")
         .when(either(lambda img, _: rasters.has_nan(img)), "nan")
         .when(either(lambda _, mask: rasters.valid_fraction(mask) < min_valid_fraction), "low_valid")
     )
-    return once(both, reject_reason=reason)
+    return once(both, reject_reason=reason).drop("_sound")
 
 
 def flag_failed(pairs: DataFrame, failed: DataFrame) -> DataFrame:

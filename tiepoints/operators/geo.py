@@ -46,13 +46,13 @@ def _closest(listed: Column, radius: float) -> Column:
 
 
 def nearest_gcp(
-    matches: DataFrame, gcps: DataFrame, radius: float, key: str, x: str = "map_x1", y: str = "map_y1"
+    matches: DataFrame, gcps: DataFrame, radius: float, x: str = "map_x1", y: str = "map_y1"
 ) -> DataFrame:
     """For every match its nearest control point within ``radius``, if any; ties to the lower id.
 
-    Adds ``gcp_id`` and ``gcp_distance``; ``key`` identifies a match. Up to a counted number of
-    control points their grid is broadcast and the matches do not move. Above it, a crowded
-    cell is held as several bounded lists, and the best of each list is reduced per match.
+    Adds ``gcp_id`` and ``gcp_distance``. Up to a counted number of control points their grid is
+    broadcast and the matches do not move. Above it, a crowded cell is held as several bounded
+    lists, and the best of each list is reduced per distinct position.
     """
     gcps = settle(gcps, "gcps")
     spread = _spread(gcps, radius)
@@ -78,13 +78,14 @@ def nearest_gcp(
             .groupBy(*cell, "_slot")
             .agg(F.collect_list("_gcp").alias("_gcps"))
         )
+        # Matches that share a key but not a position have their own nearest points.
         best = (
-            join_per_key(placed.select(key, "_x", "_y", *cell), lists, cell, array_length=MAX_PER_ROW)
-            .select(key, _closest(F.col("_gcps"), radius).alias("_best"))
-            .groupBy(key)
+            join_per_key(placed.select("_x", "_y", *cell).distinct(), lists, cell, array_length=MAX_PER_ROW)
+            .select("_x", "_y", _closest(F.col("_gcps"), radius).alias("_best"))
+            .groupBy("_x", "_y")
             .agg(F.min("_best").alias("_best"))
         )
-        found = placed.join(best, key, "left")
+        found = placed.join(best, ["_x", "_y"], "left")
     return found.select(
         *matches.columns,
         F.col("_best")["gcp_id"].alias("gcp_id"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,9 +61,7 @@ def join_settled(
     # At most one row per ``hot_rows`` rows of ``big``.
     hot = F.broadcast(hot)
     salts = F.coalesce("_salts", F.lit(1))
-    # The partition id depends on neither row order nor values: copies of one row are spread,
-    # and a retried task makes the same salts.
-    salted = big.join(hot, on, "left").withColumn("_salt", F.spark_partition_id() % salts)
+    salted = big.join(hot, on, "left").withColumn("_salt", F.pmod(_row_hash(big), salts).cast("int"))
     repeated = small.join(hot, on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     )
@@ -74,6 +72,15 @@ def join_settled(
     )
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row, and of the partition so that copies of a row are spread as well.
+
+    A key that sits in one partition still gets all salts, and a retried task makes the same ones.
+    """
+    plain = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(*plain) + F.spark_partition_id()
+
+
 def join_per_key(
     big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", **options: int
 ) -> DataFrame:
@@ -90,7 +97,7 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, ran
     narrow = W.partitionBy(*keys, "_salt").orderBy(*order)
     whole = W.partitionBy(*keys).orderBy(*order)
     return (
-        df.withColumn("_salt", F.spark_partition_id() % SALTS)
+        df.withColumn("_salt", F.pmod(_row_hash(df), F.lit(SALTS)))
         .withColumn("_first", F.row_number().over(narrow))
         .where(F.col("_first") <= k)
         .drop("_salt", "_first")

@@ -7,6 +7,7 @@ arrays. Models live outside this package; a small phase-correlation matcher is i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -32,17 +33,18 @@ class MatcherSpec:
     options: Mapping[str, Any] = field(default_factory=dict)
 
 
+# By run: workers are reused, and another run may have other options or weights under the same tag.
 _loaded: dict[str, Matcher | Exception] = {}
 
 
-def _matcher(spec: MatcherSpec) -> Matcher | Exception:
-    """The worker's matcher; a failed load is remembered and not tried again."""
-    if spec.tag not in _loaded:
+def _matcher(spec: MatcherSpec, run: str) -> Matcher | Exception:
+    """The worker's matcher of this run; a failed load is remembered and not tried again."""
+    if run not in _loaded:
         try:
-            _loaded[spec.tag] = spec.load(**spec.options)
+            _loaded[run] = spec.load(**spec.options)
         except Exception as error:  # any failure of a foreign model drops its windows only
-            _loaded[spec.tag] = error
-    return _loaded[spec.tag]
+            _loaded[run] = error
+    return _loaded[run]
 
 
 def _rgb(pixels: pa.Scalar, height: pa.Scalar, width: pa.Scalar) -> np.ndarray:
@@ -50,17 +52,23 @@ def _rgb(pixels: pa.Scalar, height: pa.Scalar, width: pa.Scalar) -> np.ndarray:
     return np.repeat(gray.reshape(height.as_py(), width.as_py())[:, :, None], 3, axis=2)
 
 
-def _predict(spec: MatcherSpec, image1: np.ndarray, image2: np.ndarray) -> dict[str, Any]:
-    model = _matcher(spec)
+def _points(found: Any) -> list[list[float]]:
+    """The first two columns of an N x 2 (or wider) array; an empty prediction has no points."""
+    points = np.asarray(found, dtype=np.float32)
+    if points.size == 0:
+        return []
+    if points.ndim != 2 or points.shape[1] < 2:
+        raise ValueError(f"points of shape {points.shape}")
+    return points[:, :2].tolist()
+
+
+def _predict(spec: MatcherSpec, run: str, chip1: tuple, chip2: tuple) -> dict[str, Any]:
+    model = _matcher(spec, run)
     if isinstance(model, Exception):
         return {"error": f"load failed: {type(model).__name__}: {model}"}
     try:
-        prediction = model(image1, image2)
-        return {
-            name: np.asarray(prediction[name], dtype=np.float32).reshape(-1, 2).tolist()
-            for name in POINT_SETS
-            if prediction.get(name) is not None
-        }
+        prediction = model(_rgb(*chip1), _rgb(*chip2))
+        return {name: _points(prediction[name]) for name in POINT_SETS if prediction.get(name) is not None}
     except Exception as error:
         return {"error": f"{type(error).__name__}: {error}"}
 
@@ -71,17 +79,18 @@ def run_matcher(prepared: DataFrame, spec: MatcherSpec, keep: Sequence[str]) ->
     With ``reject_reason`` among the ``keep`` columns, rejected pairs pass through without points.
     Map-only: pixels stay where they were read, and the ``keep`` columns (window key, geometry,
     masks) pass through Python as Arrow buffers, so nothing has to be joined back. A window
-    whose matcher raises keeps a row with the reason in ``error``.
+    whose matcher raises, or whose pixels do not fit its size, keeps a row with the reason in ``error``.
     """
     inputs = ["w1", "h1", "u1", "w2", "h2", "u2"]
     rows = prepared if "reject_reason" in keep else prepared.where(F.col("reject_reason").isNull())
     narrow = rows.select(*keep, *[c for c in inputs if c not in keep])
+    run = uuid.uuid4().hex
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             u1, h1, w1, u2, h2, w2 = (batch.column(c) for c in ("u1", "h1", "w1", "u2", "h2", "w2"))
             found = [
-                _predict(spec, _rgb(u1[i], h1[i], w1[i]), _rgb(u2[i], h2[i], w2[i]))
+                _predict(spec, run, (u1[i], h1[i], w1[i]), (u2[i], h2[i], w2[i]))
                 if u1[i].is_valid and u2[i].is_valid
                 else {}
                 for i in range(batch.num_rows)

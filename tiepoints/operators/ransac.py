@@ -28,7 +28,8 @@ CONFIDENCES = (0.91, 0.95, 0.99)
 
 BUCKETS = 256
 RESIDUAL_STEPS = 64
-RESIDUAL_CAP = 64
+FINE_PIXELS = 64  # steps of equal width up to here, then as many per doubling
+DOUBLINGS = 20
 
 _PRIME = 2147483647
 _FACTORS = ((73856093, 19349663, 83492791, 39916801), (32452843, 49979687, 15485863, 67867967))
@@ -124,8 +125,8 @@ def fit_affine(
 
     All fits of the grid share one pass: a confidence only limits which hypotheses count, and
     inliers are summed for all thresholds together. ``score='inliers'`` takes the model with
-    most inliers, ``'median'`` the one with the lowest median residual (in 1/64 pixel, capped
-    at 64 pixels); ties go to the lower hypothesis. Output: ``keys, ransac_method,
+    most inliers, ``'median'`` the one with the lowest median residual (in the steps of
+    ``residual_step``); ties go to the lower hypothesis. Output: ``keys, ransac_method,
     ransac_threshold, ransac_confidence, h, n, inliers, model``.
     """
     if score not in ("inliers", "median"):
@@ -177,12 +178,21 @@ def fit_affine(
     return winners.join(models, keys).withColumn("model", chosen).drop("models")
 
 
+def residual_step(r: Column) -> Column:
+    """Number of the residual's step: 1/64 pixel up to 64 pixels, then 64 steps per doubling."""
+    doublings = reduce(add, [(r >= FINE_PIXELS * 2.0**j).cast("int") for j in range(1, DOUBLINGS + 1)])
+    fine = F.floor(r * RESIDUAL_STEPS)
+    scaled = F.floor(r / F.pow(F.lit(2.0), doublings) - FINE_PIXELS)
+    coarse = FINE_PIXELS * RESIDUAL_STEPS + RESIDUAL_STEPS * doublings + scaled
+    return F.when(r < FINE_PIXELS, fine).otherwise(coarse).cast("int")
+
+
 def _median_scores(residuals: DataFrame, keys: list[str], sums: list[Column]) -> DataFrame:
     """Add ``_median``: the residual step that holds the median.
 
     Residuals are counted in a fixed number of steps, so one group never holds more than that.
     """
-    step = F.least(F.floor(F.col("r") * RESIDUAL_STEPS), F.lit(RESIDUAL_STEPS * RESIDUAL_CAP))
+    step = residual_step(F.col("r"))
     names = [f"_in{i}" for i in range(len(sums))]
     steps = residuals.groupBy(*keys, "h", step.cast("int").alias("_step")).agg(
         F.count("*").alias("_n"), *sums

@@ -9,11 +9,8 @@ from pyspark.sql import functions as F
 
 from tiepoints import schemas
 from tiepoints.functions import file_ids, geometry
-from tiepoints.operators.joins import join_per_key
 from tiepoints.session import once
 
-MAX_POINTS = 8192
-
 
 def located_points(points: DataFrame) -> DataFrame:
     """Map coordinates, displacement and full-image pixels of window-local points.
@@ -51,14 +48,14 @@ def _located(kp: Column, window: dict[str, Column]) -> Column:
 def build_records(windows: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
     """One record per row of cleaned windows (``kp`` array, see ``clean_windows``). Map-only.
 
-    Needs ``tag, nisar_pol, s1_ref_tag, pair_id, wx, wy, s1_wx, s1_wy, geo`` and, for the file
+    Needs ``tag, source_pol, s1_ref_tag, pair_id, wx, wy, s1_wx, s1_wy, geo`` and, for the file
     id, the strings ``ransac_method, ransac_threshold, ransac_confidence``. Lists follow
     ``kp_idx``.
     """
     window = {c: F.col(c) for c in ("geo", "wx", "wy", "s1_wx", "s1_wy")}
     position = geometry.global_position(window["geo"], window["wx"], window["wy"])
     file_id = file_ids.build_file_id(
-        F.col("tag"), F.col("nisar_pol"), F.col("s1_ref_tag"), F.col("pair_id"),
+        F.col("tag"), F.col("source_pol"), F.col("s1_ref_tag"), F.col("pair_id"),
         position["global_scan"], position["global_pix"],
         F.col("ransac_method"), F.col("ransac_threshold"), F.col("ransac_confidence"),
     )
@@ -84,32 +81,17 @@ def gather_windows(
     keys: Sequence[str],
     order: Sequence[str] = ("x1", "y1", "x2", "y2"),
     extra: Sequence[str] = (),
-    max_points: int = MAX_POINTS,
 ) -> DataFrame:
-    """Collect point rows into ``kp`` arrays, one row per window and part.
+    """Collect point rows into ``kp`` arrays, one row per window.
 
-    A window of up to ``max_points`` points is one row with ``part`` 0. A larger one becomes
-    several parts of about that size, so that no task ever holds a whole hot window; every
-    point is kept. Clean points before gathering them: later gates judge each part by itself.
-    Within a part points are numbered by ``order``; ``extra`` columns stay with them.
+    A window is bounded by the keypoint budget of whatever produced it (see
+    ``matching.top_keypoints``), so it is one row whatever the partitioning, and later gates judge it
+    as a whole. Points are numbered by ``order``; ``extra`` columns stay with them.
     """
-    large = (
-        points.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > max_points)
-        .select(*keys, F.ceil(F.col("_n") / max_points).cast("int").alias("_parts"))
-    )
-    split = join_per_key(points, large, keys, "left").withColumn(
-        "part",
-        # With the partition id, since copies of one point hash alike.
-        F.pmod(
-            F.xxhash64(*order) + F.spark_partition_id(), F.coalesce("_parts", F.lit(1))
-        ).cast("int"),
-    )
     fields = dict.fromkeys(["x1", "y1", "x2", "y2", *extra])
     payload = F.struct(*dict.fromkeys([*order, *fields]))
     return (
-        split.groupBy(*keys, "part")
+        points.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(payload)).alias("_sorted"))
         .withColumn(
             "kp",

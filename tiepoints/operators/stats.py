@@ -49,22 +49,23 @@ def group_statistics(
     ``percentiles`` maps an output name to ``(column, p)``. One pass computes the aggregates
     and, from a mergeable sketch, a narrow bracket around every percentile. A second pass counts
     the rows below each bracket and reduces those inside to distinct values with counts, so
-    that only the bracket, a small share of a large group, is ever ranked.
+    that only the bracket, a small share of a large group, is ever ranked. NULL values do not count,
+    column by column; NaN is the largest value. A group without values has NULL.
     """
     keys = list(keys)
-    n = F.count("*")
+    columns = list(dict.fromkeys(column for column, _ in percentiles.values()))
     summary = settle(
         points.groupBy(*keys).agg(
-            n.alias("n"),
+            F.count("*").alias("n"),
             *[c.alias(name) for name, c in aggregates.items()],
-            *[_bracket(column, p, n).alias(f"_{name}") for name, (column, p) in percentiles.items()],
+            *[F.count(column).alias(f"_n_{column}") for column in columns],
+            *[_bracket(column, p, F.count(column)).alias(f"_{name}") for name, (column, p) in percentiles.items()],
         ),
         "summary",
     )
     if not percentiles:
         return summary
     brackets = summary.select(*keys, *[f"_{name}" for name in percentiles])
-    columns = list(dict.fromkeys(column for column, _ in percentiles.values()))
     labelled = F.inline(
         F.array(
             *[
@@ -83,18 +84,21 @@ def group_statistics(
     counted = (
         join_settled(points.select(*keys, *columns), brackets, keys)
         .select(*keys, labelled)
-        .where(value <= F.col("_high"))
+        .where((value <= F.col("_high")) | F.isnan(value) & (F.col("_high") == float("inf")))
         .groupBy(*keys, "_what", F.when(value >= F.col("_low"), value).alias("_v"))
         .agg(F.count("*").alias("_c"))
     )
     upto = W.partitionBy(*keys, "_what").orderBy(F.col("_v").asc_nulls_first())
     ranked = counted.withColumn("_end", F.sum("_c").over(upto))
     position = reduce(
-        lambda acc, item: acc.when(F.col("_what") == item[0], F.lit(item[1][1]) * (F.col("n") - 1)),
+        lambda acc, item: acc.when(
+            F.col("_what") == item[0], F.lit(item[1][1]) * (F.col(f"_n_{item[1][0]}") - 1)
+        ),
         percentiles.items(),
         F,
     )
-    found = join_settled(ranked, summary.select(*keys, "n"), keys).withColumn("_pos", position)
+    sizes = summary.select(*keys, *[f"_n_{column}" for column in columns])
+    found = join_settled(ranked, sizes, keys).withColumn("_pos", position)
     below, above = F.floor("_pos"), F.ceil("_pos")
 
     def holds(rank: Column) -> Column:
@@ -114,7 +118,7 @@ def group_statistics(
             F.max(F.when(F.col("_what") == name, exact)).alias(name) for name in percentiles
         ]
     )
-    return summary.select(*keys, "n", *aggregates).join(wide, keys)
+    return summary.select(*keys, "n", *aggregates).join(wide, keys, "left")
 
 
 def match_statistics(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -164,5 +168,5 @@ def join_reference(runs: DataFrame, reference: DataFrame) -> DataFrame:
 
     ``reference`` has one row per key.
     """
-    polarised = runs.withColumn("ref_pol", reference_pol(F.col("nisar_pol")))
+    polarised = runs.withColumn("ref_pol", reference_pol(F.col("source_pol")))
     return join_per_key(polarised, reference, ["pair_id", "ref_pol"])

@@ -28,8 +28,10 @@ def int_list(setting: Column, default: str = WINDOW_SIZES) -> Column:
     )
 
 
-def derived_parameters(runs: DataFrame, num_features: Column | int = MAX_KEYPOINTS) -> DataFrame:
-    """Parameters that follow from ``window_size``; the keypoint budget is given."""
+def derived_parameters(
+    runs: DataFrame, num_features: Column | int = MAX_KEYPOINTS, output_prefix: str = "window"
+) -> DataFrame:
+    """Parameters that follow from ``window_size``; the keypoint budget and folder prefix are given."""
     win = F.col("window_size")
     return runs.withColumns(
         {
@@ -37,7 +39,7 @@ def derived_parameters(runs: DataFrame, num_features: Column | int = MAX_KEYPOIN
             "loftr_max_window": win,
             "debug_mode": win > 2000,
             "min_surviving_chips": F.when(win >= 2000, 1).otherwise(2),
-            "output_dir": F.concat(F.lit("imw_win"), win.cast("string")),
+            "output_dir": F.concat(F.lit(output_prefix), win.cast("string")),
             "num_features": F.lit(num_features),
         }
     )

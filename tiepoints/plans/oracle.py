@@ -15,7 +15,7 @@ _FRAGMENTS = {
     "corr": """
   SELECT cast(l_suppkey % 20 AS int) AS pair_id, l_linenumber AS chip, l_orderkey AS win,
          'imw-d' || cast(l_partkey % 3 AS varchar) AS detector,
-         case when l_partkey % 2 = 0 then 'HH' else 'HV' end AS nisar_pol,
+         case when l_partkey % 2 = 0 then 'HH' else 'HV' end AS source_pol,
          case when l_partkey % 2 = 0 then 'VV' else 'VH' end AS s1_ref_tag,
          not (l_discount <= 0.065e0) AS outlier, l_quantity / 64 AS score, x1, y1,
          x1 + l_suppkey % 5
@@ -257,7 +257,7 @@ _oracle("registry_from_files", ["cat"], "SELECT ordinal, tag, dense FROM cat")
 _oracle(
     "window_size_settings", [],
     """SELECT run_id, window_size, case when window_size IS NULL then 250 else greatest(250, window_size // 2) end
-         AS window_size_small, 'imw_win' || cast(window_size AS varchar) AS output_dir
+         AS window_size_small, 'window' || cast(window_size AS varchar) AS output_dir
        FROM (SELECT o_orderkey AS run_id, unnest(case when o_orderkey % 3 = 0 then [1024]
                else [cast(o_custkey % 4096 AS int), 512, NULL] end) AS window_size FROM orders)""",
 )
@@ -266,7 +266,7 @@ _oracle(
     """SELECT ordinal, tag, window_size, ransac_method, ransac_threshold, ransac_confidence,
          greatest(250, window_size // 2) AS window_size_small, window_size AS loftr_max_window,
          window_size > 2000 AS debug_mode, case when window_size >= 2000 then 1 else 2 end AS min_surviving_chips,
-         'imw_win' || cast(window_size AS varchar) AS output_dir, 2048 AS num_features
+         'window' || cast(window_size AS varchar) AS output_dir, 2048 AS num_features
        FROM cat, (SELECT unnest([400, 1024, 2000, 2048]) AS window_size), (SELECT '4' AS ransac_method),
          (SELECT unnest(['1', '2', '3']) AS ransac_threshold),
          (SELECT unnest(['0.91', '0.95', '0.99']) AS ransac_confidence)""",
@@ -340,12 +340,12 @@ _oracle(
 
 _oracle(
     "select_keypoints", ["chosen"],
-    """SELECT win, 0 AS part, kp_idx, cast(x1 AS float) AS x1, cast(y1 AS float) AS y1,
+    """SELECT win, kp_idx, cast(x1 AS float) AS x1, cast(y1 AS float) AS y1,
          cast(x2 AS float) AS x2, cast(y2 AS float) AS y2 FROM chosen""",
 )
 _oracle(
     "window_clean", ["judged"],
-    """SELECT win, 0 AS part, reject_reason, case when reject_reason IS NULL then n_left end AS n
+    """SELECT win, reject_reason, case when reject_reason IS NULL then n_left end AS n
        FROM judged""",
 )
 _oracle(
@@ -401,7 +401,7 @@ _oracle(
 )
 _oracle(
     "file_id_build", ["corr"],
-    """SELECT win, 'imw-' || detector || '_' || nisar_pol || '_toS1' || s1_ref_tag || '_pair' || pair_id
+    """SELECT win, 'imw-' || detector || '_' || source_pol || '_toS1' || s1_ref_tag || '_pair' || pair_id
          || '_scan' || (100 + 1024 * chip) || '_pix' || (200 + 512 * chip) || '_lgm_aff_4_'
          || (win % 3 + 1) || '_' || (case when win % 2 = 0 then '0.91' else '0.99' end) || '_.csv' AS file_name
        FROM corr""",
@@ -410,7 +410,7 @@ _oracle(
     "file_id_parse", ["parsed"],
     """SELECT file_name, cast(null AS varchar) AS disk_mode, cast(null AS varchar) AS det_wt,
          case when good then substr(p[1], 5) end AS desc_wt, case when good then p[1] end AS detector,
-         case when good then p[2] end AS nisar_pol, case when good then replace(p[3], 'toS1', '') end AS s1_ref_tag,
+         case when good then p[2] end AS source_pol, case when good then replace(p[3], 'toS1', '') end AS s1_ref_tag,
          case when good then try_cast(s_pair AS bigint) end AS pair_id,
          case when good then try_cast(s_scan AS bigint) end AS scan,
          case when good then try_cast(s_pix AS bigint) end AS pix,
@@ -422,9 +422,9 @@ _oracle(
 )
 _oracle(
     "pol_reference_join", ["parsed"],
-    """SELECT pair_id, nisar_pol, ref_pol, 'ref/' || ref_pol || '/' || cast(pair_id AS varchar) AS ref_path,
+    """SELECT pair_id, source_pol, ref_pol, 'ref/' || ref_pol || '/' || cast(pair_id AS varchar) AS ref_path,
          count(*) AS runs
-       FROM (SELECT cast(s_pair AS int) AS pair_id, p[2] AS nisar_pol,
+       FROM (SELECT cast(s_pair AS int) AS pair_id, p[2] AS source_pol,
                case when p[2] IN ('HH', 'VV') then 'VV' else 'VH' end AS ref_pol FROM parsed WHERE good)
        WHERE pair_id IN (SELECT s_suppkey % 20 FROM supplier) GROUP BY ALL""",
 )
@@ -570,12 +570,14 @@ _MODEL = ", ".join(f"{_r(c, 4)} AS m_{c}" for c in "abcdef")
 
 
 def _winners(keys: str, grid: str, order: str) -> dict[str, str]:
+    doublings = " + ".join(f"cast(r >= {64 * 2**j}e0 AS int)" for j in range(1, 21))
+    step = f"(case when r < 64 then floor(r * 64) else 4096 + 64 * ({doublings}) + floor(r / pow(2e0, {doublings}) - 64) end)"
     return {
         "scored": f"""
   SELECT {keys}, h, a, b, c, d, e, f, ransac_threshold, ransac_confidence, count(*) AS n,
          count(*) FILTER (WHERE r <= ransac_threshold) AS inliers,
-         min(least(floor(r * 64), 4096)) FILTER (WHERE at_most * 2 >= total) AS med
-  FROM (SELECT res.*, count(*) OVER (PARTITION BY {keys}, h ORDER BY least(floor(r * 64), 4096)) AS at_most,
+         min({step}) FILTER (WHERE at_most * 2 >= total) AS med
+  FROM (SELECT res.*, count(*) OVER (PARTITION BY {keys}, h ORDER BY {step}) AS at_most,
                count(*) OVER (PARTITION BY {keys}, h) AS total FROM res), {grid}
   WHERE h < cnt GROUP BY ALL""",
         "won": f"""
@@ -653,14 +655,14 @@ _oracle(
 )
 _oracle(
     "match_stats", ["clear"],
-    f"""SELECT detector, nisar_pol, pair_id, count(*) AS n, {_r('avg(along)')} AS mean_along,
+    f"""SELECT detector, source_pol, pair_id, count(*) AS n, {_r('avg(along)')} AS mean_along,
           {_r('avg(across)')} AS mean_across, {_r('stddev_pop(along)')} AS std_along,
           {_r('stddev_pop(across)')} AS std_across, {_r('sqrt(avg(distance * distance))')} AS rmse,
           {_r('quantile_cont(along, 0.5)')} AS median_along, {_r('quantile_cont(across, 0.5)')} AS median_across,
           {_r('quantile_cont(distance, 0.5)')} AS p50_distance, {_r('quantile_cont(distance, 0.9)')} AS p90_distance
         FROM (SELECT *, sqrt(across * across + along * along) AS distance FROM clear) GROUP BY ALL""",
 )
-_PS = "window_size, detector, nisar_pol, s1_ref_tag"
+_PS = "window_size, detector, source_pol, s1_ref_tag"
 _oracle(
     "pol_summary", ["clear"],
     f"""SELECT {_PS}, cast({' + '.join(f'grouping({k})' for k in _PS.split(', '))} AS int) AS level, count(*) AS chips,
@@ -696,7 +698,7 @@ _oracle(
 )
 _oracle(
     "record_files_roundtrip", ["record_points"],
-    """SELECT 1024 AS window_size, 'imw-' || tag AS detector, pol AS nisar_pol, count(DISTINCT win) AS records,
+    """SELECT 1024 AS window_size, 'imw-' || tag AS detector, pol AS source_pol, count(DISTINCT win) AS records,
          count(*) AS points, cast(sum(case when kp_no = 1 then global_scan end) AS bigint) AS scans,
          count(DISTINCT win) AS same_detector
        FROM (SELECT *, row_number() OVER (PARTITION BY win) AS kp_no FROM record_points) GROUP BY tag, pol""",

@@ -240,7 +240,7 @@ def chip_pair_source(spark: SparkSession, sf: str) -> DataFrame:
     pairs = fx.with_geometry(
         fx.chip_pairs(spark, sf).withColumns(
             {"pair_id": F.col("chip_id").cast("int"), "chip": (F.col("chip_id") % 7).cast("int"),
-             "window_size": F.lit(fx.CHIP), "nisar_pol": F.lit("HH"), "s1_ref_tag": F.lit("VV")}
+             "window_size": F.lit(fx.CHIP), "source_pol": F.lit("HH"), "s1_ref_tag": F.lit("VV")}
         )
     )
     pairs.select(*[f.name for f in schemas.CHIP_PAIR.fields]).write.parquet(path)
@@ -303,13 +303,13 @@ def _displaced(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def select_keypoints(spark: SparkSession, sf: str) -> DataFrame:
     chosen = correspond.select_keypoints(fx.predictions(spark, sf))
-    return correspond.explode_points(chosen, ["win", "part"])
+    return correspond.explode_points(chosen, ["win"])
 
 
 @query
 def window_clean(spark: SparkSession, sf: str) -> DataFrame:
     cleaned = correspond.clean_windows(fx.predictions(spark, sf), fx.valid1, fx.valid2)
-    return cleaned.select("win", "part", "reject_reason", F.size("kp").cast("bigint").alias("n"))
+    return cleaned.select("win", "reject_reason", F.size("kp").cast("bigint").alias("n"))
 
 
 @query
@@ -387,7 +387,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
         cleaned.withColumns(
             {"window_size": F.lit(fx.IMAGE), "detector": file_ids.detector_name(F.col("tag"))}
         ),
-        keep=["win", "part", "window_size", "detector", "nisar_pol"],
+        keep=["win", "window_size", "detector", "source_pol"],
     )
 
 
@@ -419,7 +419,7 @@ def file_id_build(spark: SparkSession, sf: str) -> DataFrame:
     position = geometry.global_position(F.col("geo"), F.col("wx"), F.col("wy"))
     key = F.col("win")
     built = file_ids.build_file_id(
-        F.col("detector"), F.col("nisar_pol"), F.col("s1_ref_tag"), F.col("pair_id"),
+        F.col("detector"), F.col("source_pol"), F.col("s1_ref_tag"), F.col("pair_id"),
         position["global_scan"], position["global_pix"], F.lit("4"),
         (key % 3 + 1).cast("string"), F.when(key % 2 == 0, "0.91").otherwise("0.99"),
     )
@@ -435,10 +435,10 @@ def file_id_parse(spark: SparkSession, sf: str) -> DataFrame:
 def pol_reference_join(spark: SparkSession, sf: str) -> DataFrame:
     parsed = records.parse_keys(fx.match_files(spark, sf))
     runs = parsed.where(F.col("key").isNotNull()).select(
-        F.col("key.pair_id").cast("int").alias("pair_id"), "key.nisar_pol", "key.s1_ref_tag"
+        F.col("key.pair_id").cast("int").alias("pair_id"), "key.source_pol", "key.s1_ref_tag"
     )
     joined = stats.join_reference(runs, fx.reference_images(spark, sf))
-    return joined.groupBy("pair_id", "nisar_pol", "ref_pol", "ref_path").agg(F.count("*").alias("runs"))
+    return joined.groupBy("pair_id", "source_pol", "ref_pol", "ref_path").agg(F.count("*").alias("runs"))
 
 
 @query
@@ -457,7 +457,7 @@ def gcp_file(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def nearest_gcp(spark: SparkSession, sf: str) -> DataFrame:
-    found = geo.nearest_gcp(fx.gcp_matches(spark, sf), fx.gcps(spark, sf), 600.0, "match_id")
+    found = geo.nearest_gcp(fx.gcp_matches(spark, sf), fx.gcps(spark, sf), 600.0)
     return found.select("match_id", "gcp_id", r6("gcp_distance").alias("gcp_distance"))
 
 
@@ -557,14 +557,14 @@ def best_config(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def match_stats(spark: SparkSession, sf: str) -> DataFrame:
-    out = stats.match_statistics(_displaced(spark, sf), ["detector", "nisar_pol", "pair_id"])
+    out = stats.match_statistics(_displaced(spark, sf), ["detector", "source_pol", "pair_id"])
     rounded = [c for c, kind in out.dtypes if kind == "double"]
     return out.withColumns({c: r6(c) for c in rounded})
 
 
 @query
 def pol_summary(spark: SparkSession, sf: str) -> DataFrame:
-    keys = ["window_size", "detector", "nisar_pol", "s1_ref_tag"]
+    keys = ["window_size", "detector", "source_pol", "s1_ref_tag"]
     points = _displaced(spark, sf).withColumn("window_size", F.lit(fx.IMAGE))
     survivors = consensus.surviving_chips(points, [*keys, "pair_id"])
     out = stats.polarisation_summary(survivors, keys)
@@ -607,7 +607,7 @@ def record_files_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     named = stored.withColumn("file_name", F.concat("file_id", F.lit(file_ids.EXTENSION)))
     return (
         records.parse_keys(named)
-        .groupBy("window_size", "detector", "nisar_pol")
+        .groupBy("window_size", "detector", "source_pol")
         .agg(
             F.count("*").alias("records"),
             F.sum(F.size("x1")).alias("points"),

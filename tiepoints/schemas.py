@@ -19,12 +19,12 @@ def _struct(**fields: T.DataType) -> T.StructType:
 GEO = _struct(
     x01=DOUBLE, y01=DOUBLE, xres1=DOUBLE, yres1=DOUBLE,
     x02=DOUBLE, y02=DOUBLE, xres2=DOUBLE, yres2=DOUBLE,
-    nisar_crop_col_offset=INT, nisar_crop_row_offset=INT,
+    crop_col_offset=INT, crop_row_offset=INT,
 )
 
 # ``wx`` is a row and ``wy`` a column of the full image.
 CHIP_PAIR = _struct(
-    pair_id=INT, window_size=INT, nisar_pol=STRING, s1_ref_tag=STRING,
+    pair_id=INT, window_size=INT, source_pol=STRING, s1_ref_tag=STRING,
     wx=INT, wy=INT, s1_wx=INT, s1_wy=INT, w1=INT, h1=INT, w2=INT, h2=INT,
     nodata1=FLOAT, nodata2=FLOAT, px1=FLOATS, px2=FLOATS, geo=GEO,
 )
@@ -45,7 +45,7 @@ MATCH_RECORD = _struct(
 )
 MATCH_ROW = _struct(**dict.fromkeys(RECORD_LISTS, DOUBLE))
 FILE_KEY = _struct(
-    disk_mode=STRING, det_wt=STRING, desc_wt=STRING, detector=STRING, nisar_pol=STRING, s1_ref_tag=STRING,
+    disk_mode=STRING, det_wt=STRING, desc_wt=STRING, detector=STRING, source_pol=STRING, s1_ref_tag=STRING,
     pair_id=LONG, scan=LONG, pix=LONG, match_method=STRING, match_parameter=STRING, ransac_method=STRING,
     ransac_threshold=DOUBLE, ransac_confidence=DOUBLE,
 )

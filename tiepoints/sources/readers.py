@@ -65,7 +65,7 @@ def read_match_records(spark: SparkSession, path: str) -> DataFrame:
             *schemas.MATCH_RECORD.fields,
             T.StructField("window_size", T.IntegerType()),
             T.StructField("detector", T.StringType()),
-            T.StructField("nisar_pol", T.StringType()),
+            T.StructField("source_pol", T.StringType()),
         ]
     )
     return spark.read.schema(schema).parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tiepoints.operators.records import explode_records
 
-RECORD_PARTITIONS = ("window_size", "detector", "nisar_pol")
+RECORD_PARTITIONS = ("window_size", "detector", "source_pol")
 
 
 def write_match_records(records: DataFrame, path: str, mode: str = "append") -> None:
