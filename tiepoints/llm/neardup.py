@@ -6,11 +6,13 @@ A candidate pair's signatures are compared in batches. After each batch the pair
 the posterior probability that its similarity reaches the threshold, given the matches so far and a
 uniform prior, is below ``MISS``. Pairs that survive are confirmed on their whole shingle sets.
 
-A bucket is never expanded into all its pairs. First every member meets two hubs of its bucket, the
-smallest id and the smallest hash; links give components. Then, until all is known, a bucket compares
-only members outside its largest component with the members of other components: pairs inside a
-component cannot change the result. So no link between two components is lost that banding finds
-(at similarity 0.85 a pair shares no band with probability 6e-11, at 0.8 with 5e-8).
+A bucket is never expanded into all its pairs. Every member first meets the hub of its bucket, the most
+central member; links give components. What is left are members that are not linked with their
+hub h. If such an x is linked with a y of the same group, then x and y share a shingle that h does not have,
+or else all they share is in h and |x| + |y| <= (1 + s) / s * min(|x & h|, |y & h|) for the threshold
+s. Both cases are found by equi-joins on what differs from the hub, between components only: pairs inside
+a component cannot change the result. So no link between two components is lost that banding
+finds (at similarity 0.85 a pair shares no band with probability 6e-11, at 0.8 with 5e-8).
 
 Null and empty texts have an empty set and are linked with nothing. Texts of fewer words than a
 shingle are one shingle. Rows of equal content are one class. A null doc_id is left alone: its row
@@ -39,6 +41,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-9
+KNOWN = 200_000  # word hashes a task keeps
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,7 +67,7 @@ def shingle_set(text: str | None, words: int, known: dict[str, int]) -> np.ndarr
     found = WORD.findall((text or "").translate(_LOWER))
     if not found:
         return np.zeros(0, np.uint64)
-    if len(known) > 1_000_000:
+    if len(known) > KNOWN:
         known.clear()
     ids = np.empty(len(found), np.uint64)
     for i, word in enumerate(found):
@@ -158,9 +161,9 @@ def _pruned(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     return settle(met.where(alive("sig_a", "sig_b")).select("a", "b"), "survivors")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs whose whole shingle sets reach the threshold. Only documents of pairs are read again."""
-    nodes = settle(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "nodes")
+def _sets(nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """``node`` and its packed shingle set, for the given nodes only; they are read again."""
+    wanted = settle(nodes.select(F.col("node").alias("doc_id")).distinct(), "nodes")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
@@ -170,8 +173,18 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                 sets = [shingle_set(t, rule.words, known).tobytes() for t in some["text"]]
                 yield pd.DataFrame({"node": some["doc_id"], "shingles": sets})
 
-    own = join_settled(texts(docs), nodes, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    sets = settle(own.mapInPandas(build, "node long, shingles binary"), "sets")
+    own = join_settled(texts(docs), wanted, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    return settle(own.mapInPandas(build, "node long, shingles binary"), "sets")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
+    return met.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) whose whole shingle sets reach the threshold."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -182,8 +195,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
             out.append(rule.den * both >= rule.num * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
-    met = met.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+    met = _with_sets(pairs, _sets(nodes, docs, rule))
     return settle(met.where(linked("set_a", "set_b")).select("a", "b"), "links")
 
 
@@ -209,27 +221,79 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """Pairs of every member with the two hubs of its bucket."""
-    first = F.min(F.struct("node"))["node"]
-    other = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"]
-    hubs = members.groupBy("band").agg(first.alias("hub1"), other.alias("hub2"))
-    met = members.join(hubs, "band").select("node", F.explode(F.array("hub1", "hub2")).alias("hub"))
-    pairs = met.where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    """Pairs (a, b) of the hub a of a bucket and every other member b.
+
+    The text that others were made from is in the fullest bucket of every band, a changed copy in
+    smaller ones; so the member with the largest sum of bucket sizes is next to most others.
+    """
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
+    central = members.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("central"))
+    ranked = members.join(settle(central, "central"), "node")
+    hubs = ranked.groupBy("band").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("a"))
+    pairs = members.join(hubs, "band").where("node != a").select("a", F.col("node").alias("b"))
     return settle(pairs.distinct(), "stars")
 
 
-def _stragglers(members: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of one bucket and two components of which at least one is not the bucket's largest."""
-    held = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    held = settle(held.select("band", "node", "label"), "members")
-    sizes = held.groupBy("band", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"))
-    held = settle(held.join(mixed.where("labels > 1").select("band", "main"), "band"), "mixed")
-    out = held.where("label != main").select("band", F.col("node").alias("x"), F.col("label").alias("x_label"))
-    all_ = held.select("band", F.col("node").alias("y"), F.col("label").alias("y_label"), (F.col("label") == F.col("main")).alias("y_main"))
-    met = out.join(all_, "band").where((F.col("x_label") != F.col("y_label")) & (F.col("y_main") | (F.col("x") < F.col("y"))))
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return settle(pairs.join(done, ["a", "b"], "left_anti"), "stragglers")
+def _beyond_hubs(stars: DataFrame, labels: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of one hub's group and two components that can be linked although one is not with the hub."""
+    own = labels.select(F.col("node").alias("b"), "label")
+    held = stars.join(own, "b", "left").withColumn("label", F.coalesce("label", "b"))
+    hub = labels.select(F.col("node").alias("a"), F.col("label").alias("hub_label"))
+    held = held.join(hub, "a", "left").withColumn("hub_label", F.coalesce("hub_label", "a"))
+    held = settle(held.withColumn("out", F.col("label") != F.col("hub_label")), "groups")
+    mixed = held.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("out").alias("any"))
+    held = settle(held.join(mixed.where("any and lo != hi").select("a"), "a", "left_semi"), "mixed")
+
+    @F.pandas_udf("size long, common long, beyond array<long>")
+    def against_hub(hub: pd.Series, node: pd.Series) -> pd.DataFrame:
+        out = []
+        for h, x in zip(hub, node):
+            h, x = np.frombuffer(h, np.uint64), np.frombuffer(x, np.uint64)
+            beyond = np.setdiff1d(x, h, assume_unique=True)
+            out.append((len(x), len(x) - len(beyond), beyond.view(np.int64)))
+        return pd.DataFrame(out, columns=["size", "common", "beyond"])
+
+    nodes = held.select(F.col("a").alias("node")).union(held.select("b"))
+    met = _with_sets(held, _sets(nodes, docs, rule))
+    far = settle(met.select("a", "b", "label", "out", against_hub("set_a", "set_b").alias("d")).select("a", "b", "label", "out", "d.*"), "beyond")
+
+    pieces = far.select("a", "b", "label", F.explode("beyond").alias("e"))
+    shared = pieces.groupBy("a", "e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("a", "e")
+    pieces = settle(pieces.join(shared, ["a", "e"], "left_semi").select("a", "b", "e"), "shared")
+    # Of what a node has beyond its hub, only as much can be shared with others.
+    counts = pieces.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    far = far.drop("beyond").join(counts, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    far = settle(far, "far")
+    fields = ("b", "label", "out", "size", "common", "shared")
+    x = far.where("out").select("a", *[F.col(c).alias(f"x_{c}") for c in fields])
+    y = far.select("a", *[F.col(c).alias(f"y_{c}") for c in fields])
+    # Pairs of two outsiders are found from either side; one is enough. Sizes must allow the threshold.
+    fits = (
+        (F.col("x_label") != F.col("y_label")) & (~F.col("y_out") | (F.col("x_b") < F.col("y_b")))
+        & (F.col("x_size") * rule.den >= F.col("y_size") * rule.num) & (F.col("y_size") * rule.den >= F.col("x_size") * rule.num)
+    )
+    # |x & y| is at most what both share with the hub plus what both have beyond it.
+    at_most = F.least("x_common", "y_common") + F.least("x_shared", "y_shared")
+    enough = (rule.num + rule.den) * at_most >= rule.num * (F.col("x_size") + F.col("y_size"))
+    ends = [F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")]
+
+    def able(side: DataFrame, name: str) -> DataFrame:
+        """Nodes that can reach the threshold with anything, and their shared pieces."""
+        own = F.col(f"{name}_common") + F.col(f"{name}_shared")
+        held = side.where((F.col(f"{name}_shared") > 0) & (own * rule.den >= F.col(f"{name}_size") * rule.num))
+        return held.join(pieces.withColumnRenamed("b", f"{name}_b"), ["a", f"{name}_b"])
+
+    by_shingle = able(x, "x").join(able(y, "y"), ["a", "e"]).where(fits & enough).select(*ends)
+
+    # |x| + |y| <= (num + den) / num * common for both: the room that x leaves for the size of y.
+    room = lambda c, size: (rule.num + rule.den) * F.col(c) / rule.num - F.col(size)
+    small_x = x.withColumn("x_room", room("x_common", "x_size"))
+    most = small_x.groupBy("a").agg(F.max("x_room").alias("most"))
+    small_y = y.withColumn("y_room", room("y_common", "y_size")).join(most, "a").where("y_size <= most").drop("most")
+    least = small_y.groupBy("a").agg(F.min("y_size").alias("least"))
+    small_x = small_x.join(least, "a").where("x_room >= least").drop("least")
+    by_size = small_x.join(small_y, "a").where(fits & (F.col("y_size") <= F.col("x_room")) & (F.col("x_size") <= F.col("y_room"))).select(*ends)
+    return settle(by_shingle.union(by_size).distinct(), "stragglers")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -247,8 +311,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     stars = _stars(members)
     links = _confirmed(_pruned(stars, nodes, rule), docs, rule)
     labels = components(links)
-    rest = _stragglers(members, labels, stars)
-    more = _confirmed(_pruned(rest, nodes, rule), docs, rule)
+    more = _confirmed(_pruned(_beyond_hubs(stars, labels, docs, rule), nodes, rule), docs, rule)
     labels = components(links.union(more)) if more.limit(1).count() else labels
     of_class = classes.join(labels, "node", "left").select(
         F.col("digest").alias("key"), F.coalesce("label", "node").alias("component"), "n"
