@@ -90,11 +90,11 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 
 def transformed(rows: DataFrame) -> DataFrame:
     """Add the base verdict and the statistics the estimate works on."""
-    n = F.col("n_words")
+    n = F.nullif(F.col("n_words"), F.lit(0))  # without words there are no statistics
     return rows.withColumns(
         {
-            "base_failed": (n < 50) | (100 * F.col("n_repeat_words") > 50 * n),
-            "x0": F.log1p(n),
+            "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
+            "x0": F.log1p("n_words"),
             "x1": F.log(F.col("word_chars") / n),
             "x2": F.sqrt(F.col("n_symbols") / n),
             "x3": F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))),
