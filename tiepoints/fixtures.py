@@ -95,8 +95,7 @@ def with_geometry(rows: DataFrame) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One matcher prediction per order: all points raw, inliers filtered, none for every 7th.
 
-    A matcher returns a bounded number of points, so an order of more items than that stands for
-    several windows (``part``), each judged by itself.
+    An order has few items, as a matcher returns a bounded number of points for a window.
     """
     points = correspondences(spark, sf_dir)
     windows = gather_windows(points, ["win"], extra=["outlier"])
@@ -109,7 +108,6 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_geometry(
         windows.select(
             "win",
-            "part",
             (F.col("win") % 20).cast("int").alias("pair_id"),
             (F.col("win") % 7 + 1).cast("int").alias("chip"),
             F.concat(F.lit("m"), (F.col("win") % 5).cast("string")).alias("tag"),
