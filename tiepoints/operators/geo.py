@@ -80,7 +80,7 @@ def nearest_gcp(
         )
         # Matches that share a key but not a position have their own nearest points.
         best = (
-            join_per_key(placed.select("_x", "_y", *cell).distinct(), lists, cell, array_length=MAX_PER_ROW)
+            join_per_key(placed.select("_x", "_y", *cell).distinct(), lists, cell)
             .select("_x", "_y", _closest(F.col("_gcps"), radius).alias("_best"))
             .groupBy("_x", "_y")
             .agg(F.min("_best").alias("_best"))

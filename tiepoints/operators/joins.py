@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,15 +17,27 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 2_000_000
 SALTS = 16
 
-_WIDTH = {T.VariantType: 1024, T.StringType: 64, T.BooleanType: 1, T.IntegerType: 4, T.FloatType: 4}
 
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes a value takes in a broadcast row, from its own length and not from a guess."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value) + 16
+    elif isinstance(kind, T.StructType):
+        size = reduce(add, [_bytes(value[f.name], f.dataType) for f in kind.fields], F.lit(16))
+    elif isinstance(kind, T.ArrayType):
+        each = F.transform(value, lambda v: _bytes(v, kind.elementType).cast("long"))
+        size = F.aggregate(each, F.lit(24).cast("long"), lambda total, n: total + n)
+    elif isinstance(kind, (T.VariantType, T.MapType)):
+        size = F.octet_length(F.to_json(value)) + 16
+    else:
+        size = F.lit(8)
+    return F.coalesce(size.cast("long"), F.lit(8).cast("long"))
 
-def _width(kind: T.DataType, array_length: int) -> int:
-    if isinstance(kind, T.StructType):
-        return sum(_width(f.dataType, array_length) for f in kind.fields)
-    if isinstance(kind, T.ArrayType):
-        return 16 + array_length * _width(kind.elementType, array_length)
-    return _WIDTH.get(type(kind), 8)
+
+def table_bytes(small: DataFrame) -> int:
+    """Bytes of all rows of a written table."""
+    row = reduce(add, [_bytes(F.col(f.name), f.dataType) for f in small.schema], F.lit(32).cast("long"))
+    return small.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
 
 
 def join_settled(
@@ -32,20 +46,18 @@ def join_settled(
     on: Sequence[str],
     how: str = "inner",
     *,
-    array_length: int = 64,
     limit_bytes: int = BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join ``big`` with ``small``, an already written per-key table (see ``settle``).
 
-    Its counted size decides: up to ``limit_bytes`` it is broadcast and ``big`` does not move.
+    Its measured size decides: up to ``limit_bytes`` it is broadcast and ``big`` does not move.
     Above that the rows of ``big`` per key are counted, with partial aggregation. A key with more
     than ``hot_rows`` is split into that many salts and its rows of ``small`` are repeated for
-    each; other keys are shuffled as they are. ``array_length`` is the longest array a row of
-    ``small`` can hold.
+    each; other keys are shuffled as they are.
     """
     on = list(on)
-    if small.count() * _width(small.schema, array_length) <= limit_bytes:
+    if table_bytes(small) <= limit_bytes:
         return big.join(F.broadcast(small), on, how)
     hot = settle(
         big.groupBy(*on)

@@ -135,7 +135,7 @@ def fit_affine(
     counts = {c: hypothesis_count(c) for c in confidences}
     most = max(counts.values())
     models = settle(affine_hypotheses(points, keys, most), "models")
-    paired = join_settled(points.select(*keys, *_COORDS), models, keys, array_length=most)
+    paired = join_settled(points.select(*keys, *_COORDS), models, keys)
     residuals = paired.select(*keys, *_COORDS, F.explode("models").alias("m")).select(
         *keys,
         F.col("m")["h"].alias("h"),
