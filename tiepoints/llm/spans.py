@@ -108,14 +108,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """Runs that are not at their first place: place, text_hash, runs (array of first and end)."""
+    """What runs cover that are not at their first place: place, text_hash, runs (disjoint, first and end)."""
     spans = settle(span_table(docs), "runs")
     counts = spans.groupBy("h").agg(F.count("*").alias("n"), F.min("place").alias("first_place"))
     repeated = settle(counts.where("n > 1"), "repeated")
     rows = spans.count()
     met = back_to_rows(spans, repeated, "h", "n", rows, F.xxhash64("place", "first", "end"))
     later = met.where("place != first_place or again")
-    return later.groupBy("place", "text_hash").agg(F.collect_set(F.struct("first", "end")).alias("runs"))
+    later = later.groupBy("place", "text_hash").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("runs"))
+
+    @F.pandas_udf("array<struct<first:int,end:int>>")
+    def merged(runs: pd.Series) -> pd.Series:
+        out = []
+        for found in runs:
+            stretches: list[dict[str, int]] = []
+            for run in found:
+                if stretches and run["first"] <= stretches[-1]["end"]:
+                    stretches[-1]["end"] = max(stretches[-1]["end"], run["end"])
+                else:
+                    stretches.append({"first": run["first"], "end": run["end"]})
+            out.append(stretches)
+        return pd.Series(out, dtype=object)
+
+    return later.select("place", "text_hash", merged("runs").alias("runs"))
 
 
 def remove_repeated_runs(docs: DataFrame) -> DataFrame:
