@@ -69,8 +69,8 @@ def test_resolve(specs, confs):
 def test_allow_list(spark, tags, left):
     cat = spark.createDataFrame([("a",), ("b",), ("c",)], "tag string")
     assert {r["tag"] for r in catalog.allow_list(cat, tags).collect()} == left
-    if tags:
-        table = spark.createDataFrame([(tags,)], "tags string")
+    for rows in ([(tags,)], [(tags,), (None,), ("",)]):
+        table = spark.createDataFrame(rows, "tags string")
         assert {r["tag"] for r in catalog.allow_table(cat, table).collect()} == left
 
 

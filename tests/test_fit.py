@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -79,6 +80,13 @@ def test_mode_ties_go_to_the_lower_bin(spark):
     assert (chip["n"], chip["across"]) == (3, -20.0)
 
 
+def test_window_size_decides_how_many_chips_must_agree(spark):
+    rows = [(1, 1, 2.0, 0.0)] * 4
+    for window, pairs in ((1024, 0), (2048, 1)):
+        points = chips_of(spark, rows).withColumn("window_size", F.lit(window))
+        assert consensus.chip_consensus(points, ["pair_id", "window_size"]).count() == pairs
+
+
 @pytest.mark.parametrize(("window", "least"), [(1999, 2), (2000, 1), (2048, 1)])
 def test_least_chips(window, least):
     assert consensus.min_surviving_chips(window) == least

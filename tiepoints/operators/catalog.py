@@ -153,9 +153,12 @@ def allow_list(cat: DataFrame, tags: str | None) -> DataFrame:
 
 
 def allow_table(cat: DataFrame, allowed: DataFrame) -> DataFrame:
-    """The same for a table of comma lists (column ``tags``), of any size."""
-    wanted = allowed.select(F.explode(F.split("tags", ",")).alias("tag")).distinct()
-    return cat.join(wanted, "tag", "left_semi")
+    """The same for a table of comma lists (column ``tags``), of any size.
+
+    Without lists, or with empty ones only, all are kept.
+    """
+    wanted = allowed.where("tags <> ''").select(F.explode(F.split("tags", ",")).alias("tag")).distinct()
+    return cat.join(wanted, "tag", "left_semi") if wanted.limit(1).count() else cat
 
 
 def lookup_tags(requested: DataFrame, cat: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiepoints.operators.joins import join_settled
@@ -78,10 +78,22 @@ def surviving_chips(
     )
 
 
+def least_chips(window_size: Column) -> Column:
+    """``min_surviving_chips`` of a column."""
+    return F.when(window_size >= WIDE_WINDOW, 1).otherwise(2)
+
+
 def chip_consensus(
-    points: DataFrame, pair: list[str], chip: str = "chip", *, min_chips: int = 2, **options
+    points: DataFrame, pair: list[str], chip: str = "chip", *, min_chips: int | None = None, **options
 ) -> DataFrame:
-    """Pairs with at least ``min_chips`` agreeing chips, and their mean displacement."""
+    """Pairs with at least ``min_chips`` agreeing chips, and their mean displacement.
+
+    Without ``min_chips`` the rule of the window size holds if ``window_size`` is one of the keys, else 2.
+    """
+    if min_chips is None:
+        least = least_chips(F.col("window_size")) if "window_size" in pair else F.lit(2)
+    else:
+        least = F.lit(min_chips)
     return (
         surviving_chips(points, pair, chip, **options)
         .groupBy(*pair)
@@ -91,5 +103,5 @@ def chip_consensus(
             F.avg("across").alias("across"),
             F.avg("along").alias("along"),
         )
-        .where(F.col("chips") >= min_chips)
+        .where(F.col("chips") >= least)
     )

@@ -20,7 +20,7 @@ def displacement_consensus(
     window: Sequence[str],
     pair: list[str],
     *,
-    min_chips: int = 2,
+    min_chips: int | None = None,
 ) -> DataFrame:
     """From raw correspondences to the agreed displacement of every pair.
 
