@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tiepoints.functions import rasters
@@ -167,3 +168,11 @@ def test_malformed_chips_are_rejected_by_row(spark):
     gated = chips.gate_pairs(pairs(spark, (None, good, None), (good, [], None), (good, good[:3], None), (good, good, None)), 0.5)
     found = [r["reject_reason"] for r in gated.orderBy("id").collect()]
     assert found == ["bad_shape", "bad_shape", "bad_shape", None]
+
+
+@pytest.mark.parametrize("per_pass", [1, 2, 4])
+def test_a_catalog_in_passes(spark, per_pass):
+    prepared = chips.prepare_pairs(chips.gate_pairs(image_pair(spark), 0.9))
+    specs = [matchers.MatcherSpec(f"step{s}", matchers.phase_correlation, {"step": s}) for s in (64, 32, 128)]
+    found = matchers.run_catalog(prepared, specs, ["id"], per_pass).collect()
+    assert {r["tag"]: len(r["raw0"]) for r in found} == {"step64": 4, "step32": 16, "step128": 1}

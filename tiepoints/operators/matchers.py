@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tiepoints.session import settle
+
 Matcher = Callable[[np.ndarray, np.ndarray], Mapping[str, Any]]
 POINT_SETS = ("mm0", "mm1", "raw0", "raw1")
 POINTS = pa.list_(pa.list_(pa.float32()))
@@ -81,6 +83,10 @@ def run_matcher(prepared: DataFrame, spec: MatcherSpec, keep: Sequence[str]) ->
     masks) pass through Python as Arrow buffers, so nothing has to be joined back. A window
     whose matcher raises, or whose pixels do not fit its size, keeps a row with the reason in ``error``.
     """
+    return _one_pass(prepared, [spec], keep)
+
+
+def _one_pass(prepared: DataFrame, specs: Sequence[MatcherSpec], keep: Sequence[str]) -> DataFrame:
     inputs = ["w1", "h1", "u1", "w2", "h2", "u2"]
     rows = prepared if "reject_reason" in keep else prepared.where(F.col("reject_reason").isNull())
     narrow = rows.select(*keep, *[c for c in inputs if c not in keep])
@@ -89,17 +95,18 @@ def run_matcher(prepared: DataFrame, spec: MatcherSpec, keep: Sequence[str]) ->
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             u1, h1, w1, u2, h2, w2 = (batch.column(c) for c in ("u1", "h1", "w1", "u2", "h2", "w2"))
-            found = [
-                _predict(spec, run, (u1[i], h1[i], w1[i]), (u2[i], h2[i], w2[i]))
-                if u1[i].is_valid and u2[i].is_valid
-                else {}
-                for i in range(batch.num_rows)
-            ]
-            columns = [batch.column(c) for c in keep]
-            columns.append(pa.array([spec.tag] * batch.num_rows, pa.string()))
-            columns += [pa.array([f.get(n) for f in found], POINTS) for n in POINT_SETS]
-            columns.append(pa.array([f.get("error") for f in found], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "tag", *POINT_SETS, "error"])
+            for number, spec in enumerate(specs):
+                found = [
+                    _predict(spec, f"{run}-{number}", (u1[i], h1[i], w1[i]), (u2[i], h2[i], w2[i]))
+                    if u1[i].is_valid and u2[i].is_valid
+                    else {}
+                    for i in range(batch.num_rows)
+                ]
+                columns = [batch.column(c) for c in keep]
+                columns.append(pa.array([spec.tag] * batch.num_rows, pa.string()))
+                columns += [pa.array([f.get(n) for f in found], POINTS) for n in POINT_SETS]
+                columns.append(pa.array([f.get("error") for f in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [*keep, "tag", *POINT_SETS, "error"])
 
     points = T.ArrayType(T.ArrayType(T.FloatType()))
     schema = T.StructType(
@@ -113,9 +120,18 @@ def run_matcher(prepared: DataFrame, spec: MatcherSpec, keep: Sequence[str]) ->
     return narrow.mapInArrow(batches, schema)
 
 
-def run_catalog(prepared: DataFrame, specs: Sequence[MatcherSpec], keep: Sequence[str]) -> DataFrame:
-    """Every matcher of a catalog over every pair, one map-only pass each."""
-    return reduce(DataFrame.unionByName, [run_matcher(prepared, s, keep) for s in specs])
+def run_catalog(
+    prepared: DataFrame, specs: Sequence[MatcherSpec], keep: Sequence[str], per_pass: int = 4
+) -> DataFrame:
+    """Every matcher of a catalog over every pair, ``per_pass`` matchers in one map-only pass.
+
+    A pass reads and prepares a pair once and holds its matchers in memory together. If there are
+    several passes, the prepared pairs are written once and read by each.
+    """
+    if len(specs) > per_pass:
+        prepared = settle(prepared, "prepared")
+    passes = [_one_pass(prepared, specs[i : i + per_pass], keep) for i in range(0, len(specs), per_pass)]
+    return reduce(DataFrame.unionByName, passes)
 
 
 def phase_correlation(step: int = 64) -> Matcher:
