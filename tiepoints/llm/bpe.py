@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -94,24 +95,24 @@ class Coder:
             self._bytes[i] = token.encode()
         self.texts = [str(i) for i in range(len(self._bytes))]
         self._specials = "all" if special else set()
-        self.shared: dict[bytes, list[int]] = {}
-        self._cache: dict[bytes, list[int]] = {}
+        self.shared: dict[bytes, array] = {}
+        self._cache: dict[bytes, array] = {}
         self._cached = 0
         self.encoded = 0  # chunks encoded, not reused
 
     def plain(self, data: bytes) -> list[int]:
         return self._bpe.encode(data.decode("utf-8"), allowed_special=self._specials) if data else []
 
-    def inner(self, chunk: bytes, first: int, last: int) -> list[int]:
+    def inner(self, chunk: bytes, first: int, last: int) -> array:
         """Tokens between the first and last break of a chunk, encoded or reused."""
         key = chunk_key(chunk)
         ids = self.shared.get(key)
         if ids is None:
             ids = self._cache.get(key)
         if ids is None:
-            ids = self.plain(chunk[first:last])
+            ids = array("i", self.plain(chunk[first:last]))
             self.encoded += 1
-            size = 100 + 8 * len(ids)
+            size = 200 + 4 * len(ids)
             if self._cached + size > CACHE_BYTES:
                 self._cache.clear()
                 self._cached = 0
@@ -173,7 +174,7 @@ def chunk_census(docs: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1")
 
 
-def dictionary(docs: DataFrame, path: str, size: int = DICTIONARY) -> dict[bytes, list[int]]:
+def dictionary(docs: DataFrame, path: str, size: int = DICTIONARY) -> dict[bytes, array]:
     """The ``size`` most frequent chunks and their inner tokens, each encoded in one place.
 
     The only rows that reach the driver: at most ``size`` chunks.
@@ -197,7 +198,8 @@ def dictionary(docs: DataFrame, path: str, size: int = DICTIONARY) -> dict[bytes
                         out.append((key, own.plain(chunk[found.start() : _last_break(chunk)])))
             yield pd.DataFrame(out, columns=["key", "ids"])
 
-    return {bytes(r.key): list(r.ids) for r in held.mapInPandas(encode, "key binary, ids array<int>").collect()}
+    found = held.mapInPandas(encode, "key binary, ids array<int>").toLocalIterator()
+    return {bytes(r.key): array("i", r.ids) for r in found}
 
 
 def _coder_with(path: str, shared) -> Coder:
