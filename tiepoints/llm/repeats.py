@@ -5,7 +5,7 @@ Every byte covered by a string of ``LENGTH`` bytes that starts anywhere else too
 A difference cover of period v is a set of residues in which every difference modulo v occurs. If the
 positions with such residues are sampled, then two equal strings, wherever they start, have a
 sampled position at the same offset below v in both. The cover used here has q + 1 residues for the
-period q*q + q + 1, a fourteenth part of the positions instead of the two thirds of period 3.
+period q*q + q + 1, a thirteenth of the positions instead of the two thirds of period 3.
 
 1. Sampled tuples: each sampled position gets a name for the ``LENGTH - v + 1`` bytes from it. Names
    are dealt out by value, sorted, and a name equal to its neighbour is repeated.
