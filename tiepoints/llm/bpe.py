@@ -100,6 +100,11 @@ class Coder:
         self._cached = 0
         self.encoded = 0  # chunks encoded, not reused
 
+    def release(self) -> None:
+        """Forget reused chunks at the end of a task; the worker may go on to other work."""
+        self._cache.clear()
+        self.shared, self._cached = {}, 0
+
     def plain(self, data: bytes) -> list[int]:
         return self._bpe.encode(data.decode("utf-8"), allowed_special=self._specials) if data else []
 
@@ -217,6 +222,7 @@ def encode_documents(docs: DataFrame, path: str, size: int = DICTIONARY) -> Data
         own = _coder_with(path, shared)
         for batch in batches:
             yield pd.Series([own.encode(t) for t in batch], dtype=object)
+        own.release()
 
     return texts(docs).withColumn("ids", encode(filled(F.col("text"))))
 
@@ -248,5 +254,6 @@ def encode_digest(docs: DataFrame, path: str, size: int = DICTIONARY) -> DataFra
                 decoded = own.decode(ids).encode("utf-8")
                 out.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        own.release()
 
     return texts(docs).select("doc_id", digest(filled(F.col("text"))).alias("d")).select("doc_id", "d.*")
