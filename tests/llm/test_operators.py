@@ -102,6 +102,23 @@ def test_sentence_spans(docs_of, odd):
     assert expected[20][0] == 0 and not expected[21][1].strip() and passage not in expected[22][1]
 
 
+def test_plain_repeated_passages_are_found(docs_of):
+    words = lambda seed, n: prose(seed, n).replace(".", "").split()
+    texts, passages = {900: " ".join(words(900, 101)), 901: " ".join(words(900, 101))}, {}
+    for i in range(60):
+        passage = words(1000 + i, 51 + i % 20)
+        passage[7:9] = ["one,", "two,"] if i % 3 else ["end.", "Next"]
+        for d in (2 * i, 2 * i + 1):
+            texts[d] = " ".join(words(2000 + d, 30 + 7 * d % 50) + passage + words(4000 + d, 20 + 11 * d % 40))
+        passages[2 * i + 1] = set(passage)
+    found = rows(spans.remove_repeated_runs(docs_of(texts)))
+    assert found[901]["text"] == "" and found[900]["text"] == texts[900]
+    for d, passage in passages.items():
+        gone = Counter(texts[d].split()) - Counter(found[d]["text"].split())
+        assert gone.total() >= 20 and set(gone) <= passage, d
+        assert found[d - 1]["text"] == texts[d - 1]
+
+
 # --- personal data --------------------------------------------------------------------------
 
 PLAIN = {

@@ -1,8 +1,14 @@
 """Substring dedup: repeated runs of consecutive sentences.
 
 A text is cut into sentences: after a full stop, question or exclamation mark with white space behind it,
-and at line breaks; a sentence of more than ``LONG`` words is also cut at commas, semicolons, colons
-and bars. A run is at least ``RUN`` consecutive sentences with at least ``LEAST_WORDS`` words. From every
+and at line breaks. A stretch without such a break is cut further where its words say so: of every
+``WINDOW`` consecutive gaps between words at least one is cut, the one of least hash of the two words beside it,
+after commas, semicolons, colons and bars first. So a cut depends on the words around it and not on the
+length of the sentence or where it stands. A passage of 50 words or more shared by two texts is cut
+equally in both from one of its first ``WINDOW`` gaps to one of its last: 20 words and two pieces at least,
+which make a run. A sentence is cut the same whatever stands before and after it.
+
+A run is at least ``RUN`` consecutive sentences with at least ``LEAST_WORDS`` words. From every
 sentence the shortest run that starts there and the shortest run that ends there are hashed, so a passage
 shared by two texts has equal runs in both wherever it stands. Runs are compared as lower-cased words.
 
@@ -20,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,32 +38,47 @@ from tiepoints.llm.common import back_to_rows, texts
 from tiepoints.operators.joins import join_settled
 from tiepoints.session import settle
 
-RUN, LEAST_WORDS, LONG = 2, 20, 25
-END = re.compile(r"(?<=[.!?])\s+|\n+")
-CLAUSE = re.compile(r"(?<=[,;:|])\s+")
+RUN, LEAST_WORDS = 2, 20
+WINDOW = 15  # gaps; 49 of them, less two windows, leave LEAST_WORDS words between the outermost common cuts
+GAP = re.compile(r"(\s+)")
+END, CLAUSE = frozenset(".!?"), frozenset(",;:|")
 LAST = (1 << 63) - 1
 
 
+def cuts(words: list[str], gaps: list[str]) -> np.ndarray:
+    """Which gaps between words are cut: all sentence ends, and the least gap of every window."""
+    n = len(words) - 1
+    h = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, n + 1)
+    value = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(2)
+    ends = np.fromiter((w[-1] in END or "\n" in g for w, g in zip(words, gaps)), bool, n)
+    clause = np.fromiter((w[-1] in CLAUSE for w in words[:n]), bool, n)
+    value += np.where(clause, np.uint64(1), np.uint64(1 << 62))
+    value[ends] = 0
+    cut = ends.copy()
+    if n >= WINDOW:
+        windows = np.lib.stride_tricks.sliding_window_view(value[::-1], WINDOW)
+        # Of equal gaps the last: a window that reaches out of a passage then cuts nothing between its common cuts.
+        cut[n - 1 - (np.arange(len(windows)) + windows.argmin(axis=1))] = True
+    return cut
+
+
 def sentences(text: str) -> list[tuple[int, int, tuple[str, ...]]]:
-    """(start, end, words) of every piece with a word; pieces with their white space cover the text."""
-
-    def pieces(pattern: re.Pattern, start: int, end: int) -> Iterator[tuple[int, int]]:
-        for found in pattern.finditer(text, start, end):
-            yield start, found.end()
-            start = found.end()
-        if start < end:
-            yield start, end
-
-    out = []
-    for start, end in pieces(END, 0, len(text)):
-        words = text[start:end].lower().split()
-        if len(words) > LONG:
-            for a, b in pieces(CLAUSE, start, end):
-                if part := text[a:b].lower().split():
-                    out.append((a, b, tuple(part)))
-        elif words:
-            out.append((start, end, tuple(words)))
-    return out
+    """(start, end, words) of every piece; pieces with their white space cover the text."""
+    parts = GAP.split(text)
+    first = 0 if parts[0] else 2  # white space in front
+    last = len(parts) if parts[-1] else len(parts) - 2
+    if first >= last:
+        return []
+    words, gaps = text.lower().split(), parts[first + 1 : last : 2]
+    at = np.cumsum([len(p) for p in parts[:last]])
+    out, begin, word = [], 0, 0
+    for i in np.flatnonzero(cuts(words, gaps)).tolist():
+        end = int(at[first + 2 * i + 1])
+        if words[i][-1] not in END and "\n" in gaps[i]:
+            end -= len(gaps[i]) - gaps[i].rindex("\n") - 1  # the indent of a line stays with it
+        out.append((begin, end, tuple(words[word : i + 1])))
+        begin, word = end, i + 1
+    return [*out, (begin, len(text), tuple(words[word:]))]
 
 
 def runs(sizes: np.ndarray, run: int = RUN, least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
