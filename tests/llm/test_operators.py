@@ -173,6 +173,19 @@ def test_terms_that_disclose_are_sanitised(docs_of):
     assert out[3]["t"] == texts[3] and out[4]["t"] == "the common [EMAIL]" and out[55]["t"] == texts[55]
 
 
+def test_terms_far_from_their_entity_are_marked(docs_of):
+    texts = {50 + i: prose(50 + i) for i in range(20)} | {
+        1: "Kestrelwood " + prose(1) + " far.away@mail.com " + prose(2) + " kestrelwood",
+        2: "far.away@mail.com " + prose(3, 300) + " KESTRELWOOD, kestrelwoods",
+        3: "kestrelwood alone",
+    }
+    found = rows(pii.find_personal_data(docs_of(texts)))
+    for d in (1, 2):
+        at = [m.span() for m in re.finditer(r"(?i)\bkestrelwood\b", texts[d])]
+        assert [(s["start"], s["end"]) for s in found[d]["extra"]] == at, d
+    assert not found[3]["extra"] and not found[55]["extra"]
+
+
 # --- toxicity -------------------------------------------------------------------------------
 
 

@@ -1,11 +1,14 @@
 """Personal data: fixed patterns, and terms that give the protected values away.
 
-Emails, addresses, card and phone numbers found by pattern are the protected entities. A term near
-an entity (a word of three letters or more, within ``CONTEXT`` characters) discloses it as far as
+Emails, addresses, card and phone numbers found by pattern are the protected entities. A term (a word of
+three letters or more outside of all entities, anywhere in a text that holds the entity) discloses it as far as
 knowing the term tells of the entity: PMI(entity; term) / IC(entity), from counts of distinct texts
 over the whole corpus. 1 means that the term never occurs without the entity. From ``GENERALISE``
-on a term near its entity is generalised, from ``REMOVE`` on removed; at least ``SUPPORT`` texts must show
-both. Texts without an entity are never changed.
+on every occurrence of the term in the texts with the entity is generalised, from ``REMOVE`` on removed;
+at least ``SUPPORT`` texts must show both. Texts without an entity are never changed.
+
+As no more texts show both than show the entity, a term in more than N^(1 - g) * n_entity^g of N texts
+(g = ``GENERALISE``) discloses nothing; pairs with such a term are not made.
 
 Only DataFrame functions are used. Patterns are written so that Java's engine takes linear time and
 constant stack on texts of any length, with the same matches as the plain forms. Copies of a text
@@ -38,7 +41,6 @@ BASE = {
 BASE_KINDS = tuple(BASE)
 EXTRA_KINDS = ("generalised", "removed")
 TERM = r"\p{L}{3,}+"
-CONTEXT = 100
 SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
 _FOUND = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -124,88 +126,95 @@ def entity_of(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), plain)
 
 
-def _terms(context: Column, at: Column, entity: Column) -> Column:
-    matches = F.regexp_extract_all(context, F.lit(TERM), 0)
-    return F.transform(
-        located(context, matches, TERM, "term"),
-        lambda t: F.struct(
-            entity.alias("entity"),
-            F.lower(t["value"]).alias("term"),
-            (at + t["start"]).alias("start"),
-            (at + t["end"]).alias("end"),
-        ),
-    )
+def entities_of(spans: Column) -> Column:
+    return F.array_distinct(F.transform(spans, entity_of))
 
 
-def near_terms(text: Column, spans: Column) -> Column:
-    """Terms within ``CONTEXT`` of every span that lie outside of all spans, with their positions."""
+def outside(text: Column, spans: Column) -> Column:
+    """The text with every span replaced by a space."""
+    walked = F.aggregate(
+        F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.concat(acc["out"], F.array(text.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))))).alias("out"),
+        ),
+        lambda acc: F.concat_ws(" ", acc["out"], text.substr(acc["at"] + 1, F.length(text))),
+    )
+    return walked
 
-    def around(span: Column) -> Column:
-        # Words cut by the window are left out: up to the first, or from the last, white space.
-        first = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        left = text.substr(first + 1, span["start"] - first)
-        cut = F.when(first > 0, F.length(F.regexp_extract(left, r"^\S*+", 0))).otherwise(0)
-        right = F.regexp_replace(text.substr(span["end"] + 1, F.lit(CONTEXT)), r"(?<=\s)\S*+$", "")
-        return F.concat(
-            _terms(left.substr(cut + 1, F.lit(CONTEXT)), first + cut, entity_of(span)),
-            _terms(right, span["end"], entity_of(span)),
-        )
 
-    return F.filter(
-        F.flatten(F.transform(spans, around)),
-        lambda t: ~F.exists(spans, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])),
-    )
+def _most(total: int, n_entity: Column) -> Column:
+    """Texts a term may be in and still disclose an entity of ``n_entity`` texts."""
+    return F.pow(F.lit(float(total)), F.lit(1 - GENERALISE)) * F.pow(n_entity, F.lit(GENERALISE)) * (1 + 1e-9)
 
 
 def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Terms that disclose an entity: entity, term, disclosure.
+    """Terms to change in each text: text_hash, marks of (term, disclosure).
 
-    ``found`` has ``text_hash``, ``spans`` and ``near``; ``docs`` are all documents, whose distinct
-    texts are counted.
+    ``found`` has ``text_hash``, ``spans`` and, where there are spans, ``terms``; ``docs`` are all
+    documents, whose distinct texts are counted.
     """
     total = found.select("text_hash").distinct().count()
-    held = found.where(F.size("spans") > 0).select("text_hash", "spans", "near").dropDuplicates(["text_hash"])
-    of_text = held.select("text_hash", F.explode(F.array_distinct(F.transform("spans", entity_of))).alias("entity"))
+    held = found.where(F.size("spans") > 0).select("doc_id", "text_hash", entities_of(F.col("spans")).alias("entities"), "terms")
+    of_text = held.select("text_hash", F.explode("entities").alias("entity")).distinct()
     entities = of_text.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
-    both = held.select("text_hash", F.inline("near")).select("text_hash", "entity", "term").distinct()
-    both = both.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    both = settle(both.join(entities, "entity"), "co-occurrence")
-    terms = settle(both.select("term").distinct(), "terms")
+    entities = settle(entities, "entities")
+    largest = entities.agg(F.max("n_entity")).first()[0] or 0
     # One row of each text; then every task adds up its own texts, and a term is shuffled once per task.
     copies = found.groupBy("text_hash").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_first"))
     copies = settle(copies.where("_n > 1").select("text_hash", "_first"), "copies")
+    one = F.expr("_first is null or doc_id = _first")
+    shown = join_settled(held.select("doc_id", "text_hash", "terms"), copies, ["text_hash"], "left").where(one)
+    terms = shown.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("_n"))
+    terms = settle(terms.where(F.col("_n") >= SUPPORT).select("term"), "terms")
     first = join_settled(texts(docs).withColumn("text_hash", F.xxhash64("text")), copies, ["text_hash"], "left")
-    first = first.where("text is not null and (_first is null or doc_id = _first)")
+    first = first.where(one & F.col("text").isNotNull())
     words = first.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"))
     counts = join_settled(words, terms, ["term"]).groupBy("term").agg(F.count("*").alias("n_term"))
+    counts = settle(counts.where(F.col("n_term") <= _most(total, F.lit(largest))), "rare-terms")
+    pairs = join_settled(held.select("text_hash", "entities", F.explode("terms").alias("term")), counts, ["term"])
+    pairs = pairs.select("text_hash", "term", "n_term", F.explode("entities").alias("entity"))
+    pairs = join_settled(pairs, entities, ["entity"]).where(F.col("n_term") <= _most(total, F.col("n_entity")))
+    pairs = settle(pairs.distinct(), "pairs")
+    both = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both"))
     n_entity, n_term, n_both = F.col("n_entity"), F.col("n_term"), F.col("n_both")
     pmi = F.log(n_both * F.lit(float(total)) / (n_entity * n_term))
     ic = F.log(F.lit(float(total)) / n_entity)
-    known = both.join(counts, "term").withColumn("disclosure", F.when(ic > 0, F.least(pmi / ic, F.lit(1.0))))
-    return known.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
+    known = both.where(n_both >= SUPPORT).withColumn("disclosure", F.when(ic > 0, F.least(pmi / ic, F.lit(1.0))))
+    known = settle(known.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure"), "disclosures")
+    marks = join_settled(pairs.select("text_hash", "entity", "term"), known, ["entity", "term"])
+    marks = marks.groupBy("text_hash", "term").agg(F.max("disclosure").alias("disclosure"))
+    return marks.groupBy("text_hash").agg(F.collect_list(F.struct("term", "disclosure")).alias("marks"))
+
+
+def marked(text: Column, spans: Column, marks: Column) -> Column:
+    """Every occurrence of the marked terms outside of all spans: (kind, start, end)."""
+    known = F.transform(marks, lambda m: m["term"])
+    forms = F.filter(
+        F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), 0)), lambda w: F.array_contains(known, F.lower(w))
+    )
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))
+    found = located(text, F.regexp_extract_all(text, pattern, F.lit(0)), pattern, "term")
+    found = F.filter(found, lambda t: ~F.exists(spans, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+    sure = F.transform(F.filter(marks, lambda m: m["disclosure"] >= REMOVE), lambda m: m["term"])
+    kind = lambda t: F.when(F.array_contains(sure, F.lower(t["value"])), "removed").otherwise("generalised")
+    return F.sort_array(F.transform(found, lambda t: F.struct(kind(t).alias("kind"), t["start"].alias("start"), t["end"].alias("end"))))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Every document's spans: doc_id, text_hash, spans (base, with values), extra (generalised, removed)."""
     rows = texts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), filled(F.col("text")).alias("text"))
     rows = with_base_spans(rows)
-    near = F.when(F.size("spans") > 0, near_terms(F.col("text"), F.col("spans")))
-    found = settle(rows.select("doc_id", "text_hash", "spans", near.alias("near")), "personal")
-    flagged = settle(disclosures(found, docs), "disclosures")
-    at = found.where(F.size("near") > 0).select("doc_id", "text_hash", F.inline("near"))
-    at = join_settled(at, flagged, ["entity", "term"])
-    at = at.groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    kind = F.when(F.col("disclosure") >= REMOVE, "removed").otherwise("generalised")
-    extra = at.groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_list(F.struct(kind.alias("kind"), "start", "end"))).alias("extra")
-    )
-    extra = settle(extra.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "extra"), "extra")
-    # Documents with personal data only; the key is null-safe because a null doc_id is a value here.
-    keyed = extra.select(F.coalesce("_d", F.lit(-(1 << 63))).alias("_d"), F.coalesce("_h", F.lit(0)).alias("_h"), "extra")
-    found = found.withColumns({"_d": F.coalesce("doc_id", F.lit(-(1 << 63))), "_h": F.coalesce("text_hash", F.lit(0))})
-    joined = join_settled(found, settle(keyed, "extra"), ["_d", "_h"], "left")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(outside(F.col("text"), F.col("spans"))), F.lit(TERM), 0))
+    private = F.size("spans") > 0
+    found = rows.select("doc_id", "text_hash", "spans", F.when(private, words).alias("terms"), F.when(private, F.col("text")).alias("text"))
+    found = settle(found, "personal")
+    marks = settle(disclosures(found.drop("text"), docs), "marks")
+    joined = join_settled(found.drop("terms"), marks, ["text_hash"], "left")
+    extra = F.when(F.col("marks").isNotNull(), marked(F.col("text"), F.col("spans"), F.col("marks")))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return joined.select("doc_id", "text_hash", "spans", F.coalesce("extra", none).alias("extra"))
+    return once(joined, extra=F.coalesce(extra, none)).select("doc_id", "text_hash", "spans", "extra")
 
 
 def _plain(spans: Column) -> Column:
