@@ -311,6 +311,18 @@ def test_secrets(docs_of, odd):
     assert rows(masked)[42]["t"] == "see [SECRET] here" and rows(masked)[0]["t"] is None
 
 
+def test_allow_list_judges_the_flagged_span_only():
+    key, letters = "Zx9Qw3Er7Ty1Ui5Op0As", "ZxQwErTyUiOpAsDfGhJk"
+    for text in (f"host/example-bucket/{key}", f"EXAMPLE_SERVICE_KEY={key}", f"placeholder-{key}", letters, f"0123456789/{letters}"):
+        kind, start, end = secrets.spans_of(text)[-1]
+        assert kind == "entropy" and start <= max(text.find(key), text.find(letters)) and end == len(text), text
+    for text in (
+        "id=7f3c9a12-4be8-4d61-9c0f-5a2e81b7d934", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "12345678901234567890",
+        "MyVeryLongConfigurationBackgroundName", "home/public/workflow_templates/daylight",
+    ):
+        assert secrets.spans_of(text, ()) and not secrets.spans_of(text), text
+
+
 # --- BPE ------------------------------------------------------------------------------------
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")

@@ -37,13 +37,26 @@ CLASSES = (
     ("base64", CANDIDATE, 3.9),
 )
 #: Flagged strings that are no secrets: words run together, numbers, UUIDs, counting sequences,
-#: and documentation placeholders.
+#: and documentation placeholders. A flagged span is left out only if each of its parts between / and =
+#: is allowed: the first three must match all of a part, the last must cover more than half of it.
+WORDS = r"[A-Za-z_+-]+"
+PLACEHOLDER = r"(?i:0123456789|abcdefghij(?:klmnopqrstuvwxyz)?|example|placeholder|x{6,})"
 ALLOW = (
-    r"[A-Za-z_/=+-]+",
-    r"[0-9_/=+-]+",
+    WORDS,
+    r"[0-9_+-]+",
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"(?i:.*(?:0123456789|abcdefghij|example|placeholder|xxxxxx).*)",
+    PLACEHOLDER,
 )
+PART = re.compile(r"[^/=]+")
+#: Letters count as words if they change case like words and most of their neighbours are common pairs.
+CASED = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+COMMON = frozenset(
+    "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve "
+    "ra ld ur ro ri io ic ne li ll co me ma el om us ec ta ch la ho be ce di wa no ei ie au ge un ss sc ck tr pr "
+    "pl ct rs ns ts ry ly ee oo ow ai ue qu os do da lo mo po so pe pa ca ad am em im il ir id ig ag ac ap ef if ev "
+    "iv av ke ki nk rd rt rn rm rk lt ls mp nc ff pp tt ss mm nn rr ss ub ul ut su tu bu bl br cr cl dr fr fl gr gl".split()
+)
+WORD_LENGTH, WORD_PAIRS = 3.0, 0.5
 
 _C_LOG_C = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
 
@@ -78,9 +91,35 @@ def high_entropy_runs(text: str, least: float, window: int = WINDOW) -> list[tup
     return [(a, b) for a, b in runs]
 
 
+def wordlike(part: str) -> bool:
+    """Whether letters read as words: cased words of some length, and mostly common pairs of letters."""
+    words = CASED.findall(part)
+    if len(part) < 4:  # too short to be a secret or to tell
+        return True
+    pairs = [w[i : i + 2].lower() for w in words for i in range(len(w) - 1)]
+    if sum(map(len, words)) < WORD_LENGTH * len(words):
+        return False
+    return sum(p in COMMON for p in pairs) >= WORD_PAIRS * len(pairs)
+
+
 @lru_cache(maxsize=8)
-def _allowed(allow: tuple[str, ...]) -> re.Pattern:
-    return re.compile("|".join(f"(?:{p})" for p in allow))
+def _compiled(allow: tuple[str, ...]) -> tuple[re.Pattern, ...]:
+    return tuple(re.compile(p) for p in allow)
+
+
+def allowed(text: str, start: int, end: int, allow: tuple[str, ...] = ALLOW) -> bool:
+    """Whether every part of a flagged span is on the allow-list; an empty list allows nothing."""
+
+    def part_allowed(a: int, b: int) -> bool:
+        for pattern, found in zip(allow, _compiled(allow)):
+            if pattern == PLACEHOLDER:
+                if 2 * sum(m.end() - m.start() for m in found.finditer(text, a, b)) > b - a:
+                    return True
+            elif found.fullmatch(text, a, b) and (pattern != WORDS or wordlike(text[a:b])):
+                return True
+        return False
+
+    return bool(allow) and all(part_allowed(*m.span()) for m in PART.finditer(text, start, end))
 
 
 def spans_of(text: str, allow: tuple[str, ...] = ALLOW) -> list[tuple[str, int, int]]:
@@ -89,16 +128,14 @@ def spans_of(text: str, allow: tuple[str, ...] = ALLOW) -> list[tuple[str, int,
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    base, extra, suppressed = list(found), set(), _allowed(allow)
+    base, extra = list(found), set()
     for candidate in CANDIDATE.finditer(text):
-        if suppressed.fullmatch(candidate[0]):
-            continue
         for _, pattern, least in CLASSES:
             for run in pattern.finditer(candidate[0]):
                 for a, b in high_entropy_runs(run[0], least):
                     start = candidate.start() + run.start() + a
                     end = candidate.start() + run.start() + b
-                    if not suppressed.fullmatch(text, start, end):
+                    if not allowed(text, start, end, allow):
                         extra.add((start, end))
     last = -1
     for start, end in sorted(extra, key=lambda s: (s[0], -s[1])):  # the classes overlap; keep the outer span
