@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tiepoints.llm import bpe, decontam, neardup, outliers, pii, repeats, secrets, sharding, spans, toxicity
+from tiepoints.llm import bpe, decontam, neardup, outliers, pii, repeats, secrets, sharding, spans, toxicity, warc
 from tiepoints.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,11 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeated_runs(documents(spark, sf_dir))
+
+
+@query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+ORACLE["op11_warc"] = warc.SQL
