@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tiepoints.llm import bpe, decontam, neardup, outliers, pii, repeats, secrets, sharding, spans, toxicity, warc
+from tiepoints.llm import bpe, collocation, decontam, neardup, outliers, pii, ranked, repeats, secrets, sharding, spans, toxicity, warc
 from tiepoints.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,19 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op11_warc"] = warc.SQL
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(documents(spark, sf_dir))
+
+
+ORACLE["op12_collocations"] = collocation.SQL
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLE["op13_ranked_search"] = ranked.SQL
