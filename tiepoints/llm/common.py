@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
+#: Rows that a worker turns into Python objects at a time; a batch may hold ten thousand long texts.
+SLICE = 256
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system at the end of a task.
+
+    Workers are reused, and each would otherwise keep the most it ever held, whatever stage comes next.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiepoints.llm.common import filled, texts
+from tiepoints.llm.common import filled, give_back, texts
 from tiepoints.session import settle
 
 PER_CLASS = 4096
@@ -81,6 +82,7 @@ def _class_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for toxic, text in zip(batch["toxic"], batch["text"]):
                 held[toxic, np.unique(hashed_ngrams(text))] += 1
+        give_back()
         seen = np.flatnonzero(held.any(axis=0))
         yield pd.DataFrame({"gram": seen.astype(np.int32), "p": held[1, seen], "q": held[0, seen]})
 
@@ -88,22 +90,30 @@ def _class_counts(rows: DataFrame) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
 
 
-def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    """Logistic regression by L-BFGS over rows of (toxic, positions, values); classes weigh equally."""
+def _fit(rows: pd.DataFrame, ratios: np.ndarray, step: int = 256) -> pd.DataFrame:
+    """Logistic regression by L-BFGS over rows of (toxic, packed positions of features); classes weigh equally.
+
+    Documents are passed in groups of ``step``, so that only the positions of all are held at a time.
+    """
     y = rows["toxic"].to_numpy() > 0
-    lengths = np.array([len(p) for p in rows["at"]])
-    at = np.concatenate([*rows["at"], np.zeros(0, np.int32)]).astype(np.int64)
-    value = np.concatenate([*rows["value"], np.zeros(0, np.float64)]).astype(np.float64)
-    row = np.repeat(np.arange(len(y)), lengths)
-    size = int(at.max()) + 1 if len(at) else 0
+    each = [np.frombuffer(p, np.int16) for p in rows["at"]]
+    groups = [slice(i, i + step) for i in range(0, len(each), step)]
+    held = [(np.concatenate(each[g]), np.array([len(p) for p in each[g]])) for g in groups]
+    size = len(ratios)
     weight = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
     sign = np.where(y, 1.0, -1.0)
 
     def loss(z):
-        margin = sign * (np.bincount(row, z[at] * value, len(y)) + z[-1])
-        slope = -weight * sign / (1 + np.exp(np.clip(margin, -500, 500)))
-        grad = np.bincount(at, value * slope[row], size) + RIDGE * z[:-1]
-        return weight @ np.logaddexp(0, -margin) + RIDGE / 2 * z[:-1] @ z[:-1], np.append(grad, slope.sum())
+        scaled, total, grad, bias = z[:-1] * ratios, 0.0, np.zeros(size), 0.0
+        for g, (at, lengths) in zip(groups, held):
+            at = at.astype(np.intp)
+            margin = sign[g] * (np.bincount(np.repeat(np.arange(len(lengths)), lengths), scaled[at], len(lengths)) + z[-1])
+            slope = -weight[g] * sign[g] / (1 + np.exp(np.clip(margin, -500, 500)))
+            grad += np.bincount(at, np.repeat(slope, lengths), size)
+            total += weight[g] @ np.logaddexp(0, -margin)
+            bias += slope.sum()
+        grad = grad * ratios + RIDGE * z[:-1]
+        return total + RIDGE / 2 * z[:-1] @ z[:-1], np.append(grad, bias)
 
     z, history = np.zeros(size + 1), deque(maxlen=8)
     now, grad = loss(z)
@@ -130,6 +140,7 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
         now, grad = then, grad_then
         if done:
             break
+    give_back()
     return pd.DataFrame({"at": np.arange(size + 1), "weight": z})
 
 
@@ -150,18 +161,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     position = np.full(1 << BITS, -1, np.int32)
     position[grams] = np.arange(len(grams))
 
-    def scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [np.unique(position[hashed_ngrams(t)]) for t in batch["text"]]
-            at = [a[a >= 0] for a in at]
-            value = pd.Series([ratios[a] for a in at], dtype=object, index=batch.index)
-            yield pd.DataFrame(
-                {"toxic": batch["toxic"], "at": pd.Series(at, dtype=object, index=batch.index), "value": value}
-            )
-
-    # At most 2 * per_class rows of at most SELECTED values.
-    bounded = rows.mapInPandas(scaled, "toxic int, at array<int>, value array<double>")
-    fitted = bounded.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_fit, "at int, weight double").toPandas().sort_values("at")
+            packed = []
+            for text in batch.column("text"):
+                at = np.unique(position[hashed_ngrams(text.as_py())])
+                packed.append(at[at >= 0].astype(np.int16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(packed, pa.binary())], ["toxic", "at"])
+        give_back()
+
+    # At most 2 * per_class rows of at most SELECTED positions of two bytes.
+    bounded = rows.select("toxic", "text").mapInArrow(features, "toxic int, at binary").withColumn("all", F.lit(0))
+    fitted = bounded.groupBy("all").applyInPandas(lambda rows: _fit(rows, ratios), "at int, weight double")
+    fitted = fitted.toPandas().sort_values("at")
     found = fitted["weight"].to_numpy()
     weights[grams[: len(found) - 1]] = found[:-1] * ratios[: len(found) - 1]
     return Model(weights, float(found[-1]))
@@ -170,15 +182,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 def score(text: Column, model: Model) -> Column:
     """Probability of label 1 for a text column."""
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weighted = model.weights != 0
         for batch in batches:
             sums = np.full(len(batch), model.bias)
-            for i, text in enumerate(batch):
-                grams = hashed_ngrams(text)
+            for i, text in enumerate(batch):  # one text at a time becomes a Python object
+                grams = hashed_ngrams(text.as_py())
                 sums[i] += model.weights[np.unique(grams[weighted[grams]])].sum(dtype=np.float64)
-            yield pd.Series((1 / (1 + np.exp(-np.clip(sums, -500, 500)))).round(12))
+            yield pa.array((1 / (1 + np.exp(-np.clip(sums, -500, 500)))).round(12))
+        give_back()
 
     return run(filled(text))
 
