@@ -22,7 +22,6 @@ takes part in no class and keeps itself.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,10 +29,11 @@ from math import lgamma
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiepoints.llm.common import back_to_rows, texts
+from tiepoints.llm.common import SLICE, back_to_rows, give_back, texts
 from tiepoints.operators.joins import join_settled
 from tiepoints.session import settle
 
@@ -42,8 +42,6 @@ HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-9
 KNOWN = 200_000  # word hashes a task keeps
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -62,19 +60,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, words: int, known: dict[str, int]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles. ``known`` caches word hashes within a task."""
-    found = WORD.findall((text or "").translate(_LOWER))
+class WordHashes(dict):
+    """Hashes of words, kept within a task."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return h
+
+
+def shingle_set(text: str | None, words: int, known: WordHashes) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles.
+
+    On bytes, ``lower`` changes A-Z only and ``split`` parts at blanks and the characters 9 to 13 only.
+    """
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.zeros(0, np.uint64)
     if len(known) > KNOWN:
         known.clear()
-    ids = np.empty(len(found), np.uint64)
-    for i, word in enumerate(found):
-        h = known.get(word)
-        if h is None:
-            h = known[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        ids[i] = h
+    ids = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     size = min(words, len(ids))
     out = np.full(len(ids) - size + 1, size, np.uint64)
     for k in range(size):
@@ -84,30 +88,30 @@ def shingle_set(text: str | None, words: int, known: dict[str, int]) -> np.ndarr
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """Minimum of ``HASHES`` multiply-shift hashes, 32 bits each."""
-    out = np.empty(HASHES, np.uint32)
-    for i in range(HASHES):
-        out[i] = (shingles * _ODD[i]).min() >> np.uint64(32)
-    return out
+    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(least, (_ODD[:, None] * shingles[at : at + 1024]).min(axis=1), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32)
 
 
 def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, digest of the set and signature; the last two are null for an empty set."""
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                found = shingle_set(text, rule.words, known)
-                if len(found):
-                    digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                    out.append((doc_id, len(found), digest, signature(found).tobytes()))
-                else:
-                    out.append((doc_id, 0, None, None))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "sig"])
-            yield frame.astype({"doc_id": "Int64"})
+            for at in range(0, batch.num_rows, SLICE):
+                part, sizes, digests, sigs = batch.slice(at, SLICE), [], [], []
+                for text in part.column("text").to_pylist():
+                    found = shingle_set(text, rule.words, known)
+                    sizes.append(len(found))
+                    digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                    sigs.append(signature(found).tobytes() if len(found) else None)
+                columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "sig"])
+        give_back()
 
-    return texts(docs).mapInPandas(build, "doc_id long, n_shingles long, digest binary, sig binary")
+    return texts(docs).mapInArrow(build, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
 @lru_cache(maxsize=8)
@@ -165,16 +169,17 @@ def _sets(nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """``node`` and its packed shingle set, for the given nodes only; they are read again."""
     wanted = settle(nodes.select(F.col("node").alias("doc_id")).distinct(), "nodes")
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            for part in range(0, len(batch), 256):
-                some = batch.iloc[part : part + 256]
-                sets = [shingle_set(t, rule.words, known).tobytes() for t in some["text"]]
-                yield pd.DataFrame({"node": some["doc_id"], "shingles": sets})
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                sets = [shingle_set(t, rule.words, known).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["node", "shingles"])
+        give_back()
 
     own = join_settled(texts(docs), wanted, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return settle(own.mapInPandas(build, "node long, shingles binary"), "sets")
+    return settle(own.mapInArrow(build, "node long, shingles binary"), "sets")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -186,14 +191,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) whose whole shingle sets reach the threshold."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(rule.den * both >= rule.num * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
+    @F.arrow_udf("boolean")
+    def linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            out = []
+            for x, y in zip(a, b):  # one pair of sets at a time, as views of the batch
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(rule.den * both >= rule.num * (len(x) + len(y) - both))
+            yield pa.array(out, pa.bool_())
+        give_back()
 
     met = _with_sets(pairs, _sets(nodes, docs, rule))
     return settle(met.where(linked("set_a", "set_b")).select("a", "b"), "links")
@@ -244,14 +251,20 @@ def _beyond_hubs(stars: DataFrame, labels: DataFrame, docs: DataFrame, rule: Rul
     mixed = held.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("out").alias("any"))
     held = settle(held.join(mixed.where("any and lo != hi").select("a"), "a", "left_semi"), "mixed")
 
-    @F.pandas_udf("size long, common long, beyond array<long>")
-    def against_hub(hub: pd.Series, node: pd.Series) -> pd.DataFrame:
-        out = []
-        for h, x in zip(hub, node):
-            h, x = np.frombuffer(h, np.uint64), np.frombuffer(x, np.uint64)
-            beyond = np.setdiff1d(x, h, assume_unique=True)
-            out.append((len(x), len(x) - len(beyond), beyond.view(np.int64)))
-        return pd.DataFrame(out, columns=["size", "common", "beyond"])
+    @F.arrow_udf("size long, common long, beyond array<long>")
+    def against_hub(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for hub, node in batches:
+            size, beyond = [], []
+            for h, x in zip(hub, node):
+                h, x = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64)
+                size.append(len(x))
+                beyond.append(np.setdiff1d(x, h, assume_unique=True).view(np.int64))
+            common = [n - len(b) for n, b in zip(size, beyond)]
+            values = pa.array(np.concatenate([np.zeros(0, np.int64), *beyond]))
+            offsets = pa.array(np.cumsum([0, *map(len, beyond)]), pa.int32())
+            columns = [pa.array(size, pa.int64()), pa.array(common, pa.int64()), pa.ListArray.from_arrays(offsets, values)]
+            yield pa.StructArray.from_arrays(columns, ["size", "common", "beyond"])
+        give_back()
 
     nodes = held.select(F.col("a").alias("node")).union(held.select("b"))
     met = _with_sets(held, _sets(nodes, docs, rule))
