@@ -24,11 +24,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiepoints.llm.common import filled, texts
+from tiepoints.llm.common import filled, give_back, texts
 
 DICTIONARY = 8192
 CACHE_BYTES = 32 << 20
@@ -243,17 +244,19 @@ def encode_digest(docs: DataFrame, path: str, size: int = DICTIONARY) -> DataFra
     """Encode, decode and digest every document in one task each: tokens do not travel."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs, path, size))
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _coder_with(path, shared)
         for batch in batches:
-            out = []
-            for text in batch:
-                ids = own.encode(text)
-                listed = ",".join([own.texts[i] for i in ids]).encode()
-                decoded = own.decode(ids).encode("utf-8")
-                out.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            sizes, listed, decoded = [], [], []
+            for text in batch:  # one text at a time becomes a Python object
+                ids = own.encode(text.as_py())
+                sizes.append(len(ids))
+                listed.append(hashlib.sha256(",".join([own.texts[i] for i in ids]).encode()).hexdigest())
+                decoded.append(hashlib.sha256(own.decode(ids).encode("utf-8")).hexdigest())
+            columns = [pa.array(sizes, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
         own.release()
+        give_back()
 
     return texts(docs).select("doc_id", digest(filled(F.col("text"))).alias("d")).select("doc_id", "d.*")

@@ -12,10 +12,11 @@ from functools import lru_cache
 from math import log2
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiepoints.llm.common import SPANS, filled, n_kind, of_kinds, sha256, span_list, texts
+from tiepoints.llm.common import SPANS, filled, give_back, n_kind, of_kinds, sha256, span_list, texts
 
 # The kinds in the order of the result, their patterns and least lengths.
 BASE_KINDS = ("assign", "access", "hex")
@@ -149,12 +150,13 @@ def spans_of(text: str, allow: tuple[str, ...] = ALLOW) -> list[tuple[str, int,
 def secret_spans(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
     """Spans ``(kind, start, end)`` of a text column, in code points with the end exclusive."""
 
-    @F.pandas_udf(SPANS)
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(SPANS)
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            yield pd.Series(
-                [[{"kind": k, "start": a, "end": b} for k, a, b in spans_of(t, allow)] for t in batch], dtype=object
-            )
+            found = [spans_of(text.as_py(), allow) for text in batch]  # one text at a time becomes a Python object
+            yield pa.array([[dict(zip(("kind", "start", "end"), s)) for s in spans] for spans in found], kind)
+        give_back()
 
     return scan(filled(text))
 
