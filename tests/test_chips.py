@@ -1,52 +1,101 @@
+import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tiepoints.functions import rasters
+from tiepoints.functions import pixels
 from tiepoints.operators import chips, matchers
 from tiepoints.plans import registration
 
 NAN = float("nan")
+SF = "/root/testdata/sf0.001"
 PAIR = "id int, px1 array<float>, px2 array<float>, nodata1 float, nodata2 float, w1 int, h1 int, w2 int, h2 int"
 
 
-def one(spark, column, px, mask=None, nodata=None, width=4):
-    df = spark.createDataFrame([(px, mask, nodata, width)], "px array<float>, mask array<boolean>, nodata float, w int")
-    return df.select(column).first()[0]
-
-
 def pairs(spark, *rows):
     return spark.createDataFrame([(i, a, b, n, n, 2, 2, 2, 2) for i, (a, b, n) in enumerate(rows)], PAIR)
 
 
-def test_mask_and_normalise(spark):
-    mask = rasters.valid_mask(F.col("px"), F.col("nodata"))
-    assert one(spark, mask, [1.0, None, -9.0, 3.0], nodata=-9.0) == [True, False, False, True]
-    assert one(spark, mask, [1.0, NAN], nodata=NAN) == [True, False]
-    img = rasters.normalize(F.col("px"), mask)
-    assert one(spark, img, [1.0, None, -9.0, 3.0, 2.0], nodata=-9.0) == [0.0, 0.0, 0.0, 1.0, 0.5]
-    assert one(spark, img, [2.0, 2.0, None]) == [0.0, 0.0, 0.0]
-    assert one(spark, img, [None, None]) == [0.0, 0.0]
+def chip(px):
+    """Values and which are NULL, as a kernel gets them."""
+    return np.array([0.0 if v is None else v for v in px], np.float32), np.array([v is None for v in px], bool)
+
+
+def test_mask_and_normalise():
+    px = chip([1.0, None, -9.0, 3.0])
+    mask = pixels.valid_mask(*px, -9.0)
+    assert mask.tolist() == [True, False, False, True]
+    assert pixels.valid_mask(*chip([1.0, NAN]), NAN).tolist() == [True, False]
+    px = chip([1.0, None, -9.0, 3.0, 2.0])
+    assert pixels.normalize(px[0], pixels.valid_mask(*px, -9.0)).tolist() == [0.0, 0.0, 0.0, 1.0, 0.5]
+    for flat in ([2.0, 2.0, None], [None, None], [NAN, NAN], []):
+        px = chip(flat)
+        assert pixels.normalize(px[0], ~px[1]).tolist() == [0.0] * len(flat)
+    px = chip([1.0, NAN, None])
+    assert [math.isnan(v) for v in pixels.normalize(px[0], ~px[1])] == [True, True, False]
+
+
+def test_inpaint():
+    px = np.array([9.0, 1.0, 9.0, 2.0, 9.0, 9.0, 9.0, 9.0, 9.0, 9.0, 9.0, 3.0])
+    mask = np.array([False, True, False, True, False, False, False, False, False, False, False, True])
+    assert pixels.fill(px, mask, 4).tolist() == [1.0, 1.0, 1.0, 2.0, 0.0, 0.0, 0.0, 0.0, 3.0, 3.0, 3.0, 3.0]
+    # Of two valid pixels as near, the first in row-major order.
+    assert pixels.fill(px, mask, 4, "nearest").tolist() == [1.0, 1.0, 1.0, 2.0, 1.0, 1.0, 1.0, 2.0, 1.0, 1.0, 3.0, 3.0]
+    assert pixels.fill(px, np.zeros(12, bool), 4, "nearest").tolist() == [0.0] * 12
 
 
-def test_inpaint(spark):
-    fill = rasters.inpaint(F.col("px"), F.col("mask"), F.col("w"))
-    px = [9.0, 1.0, 9.0, 2.0, 9.0, 9.0, 9.0, 9.0, 9.0, 9.0, 9.0, 3.0]
-    mask = [False, True, False, True, False, False, False, False, False, False, False, True]
-    assert one(spark, fill, px, mask) == [1.0, 1.0, 1.0, 2.0, 0.0, 0.0, 0.0, 0.0, 3.0, 3.0, 3.0, 3.0]
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 9), st.integers(1, 9), st.integers(0, 2**32 - 1), st.floats(0, 1))
+def test_nearest_valid_equals_brute_force(height, width, seed, share):
+    mask = np.random.default_rng(seed).random((height, width)) < share
+    valid = [(y, x) for y in range(height) for x in range(width) if mask[y, x]]
+    expected = [
+        min(((y - b) ** 2 + (x - a) ** 2, b * width + a) for b, a in valid)[1] if valid else -1
+        for y in range(height) for x in range(width)
+    ]
+    assert pixels.nearest_valid(mask).ravel().tolist() == expected
 
 
-def test_quantise_truncates_and_clips(spark):
-    values = [0.0, 0.5, 1.0, -0.1, 1.5, 254.9 / 255]
-    assert one(spark, rasters.quantize_u8(F.col("px").cast("array<double>")), values)[:5] == [0, 127, 255, 0, 255]
+def test_quantise_truncates_and_clips():
+    values = np.array([0.0, 0.5, 1.0, -0.1, 1.5, 254.9 / 255])
+    assert pixels.quantize_u8(values).tolist() == [0, 127, 255, 0, 255, 254]
 
 
 def test_block_mean(spark):
-    mean = rasters.block_mean(F.col("px"), F.col("w"), F.lit(2), 2)
-    assert one(spark, mean, [1.0, 2.0, 3.0, 4.0, 5.0, None, 7.0, 8.0], width=4) == [8 / 3, 5.5]
-    assert one(spark, mean, [1.0, 2.0, None, 4.0, 5.0, None], width=3) == [3.0, None]
+    schema = "id int, px array<float>, w int, h int, nodata float"
+    rows = [(1, [1.0, 2.0, 3.0, 4.0, 5.0, None, 7.0, 8.0], 4, 2, None), (2, [1.0, 2.0, None, 4.0, 5.0, None], 3, 2, None), (3, None, 4, 2, None), (4, [1.0], 2, 2, None)]
+    found = {r["id"]: (r["px"], r["w"], r["h"]) for r in chips.resample_chips(spark.createDataFrame(rows, schema), 2).collect()}
+    assert found == {1: ([8 / 3, 5.5], 2, 1), 2: ([3.0, None], 2, 1), 3: (None, 2, 1), 4: (None, 1, 1)}
+
+
+def test_normalised_chips_keep_their_other_columns(spark):
+    rows = [(1, [1.0, None, 3.0, -9.0], 2, 2, -9.0), (2, None, 2, 2, None), (3, [], 2, 2, None)]
+    df = spark.createDataFrame(rows, "id int, px array<float>, w int, h int, nodata float")
+    found = {r["id"]: r for r in chips.normalize_chips(df, fill="nearest").collect()}
+    assert (bytes(found[1]["mask"]), found[1]["img"], found[1]["filled"]) == (b"\x01\x00\x01\x00", [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 1.0, 1.0])
+    assert found[2]["img"] is found[2]["mask"] is None and found[3]["img"] == [] and found[1]["nodata"] == -9.0
+
+
+def test_large_chips(spark, tmp_path):
+    """Four pairs of 1024 x 1024 pixels, tiled from the given vectors."""
+    vectors = np.array([r["embedding"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("embedding").limit(300).collect()])
+    image = np.resize(vectors.ravel(), 1024 * 1024).astype(np.float32)
+    image[np.abs(image) < 0.01] = -9999.0
+    n = 1 << 20
+    lists = pa.ListArray.from_arrays(np.arange(5) * n, pa.array(np.tile(image, 4), pa.float32()))
+    same = {f"{c}{i}": pa.array([v] * 4, t) for i in (1, 2) for c, v, t in (("w", 1024, pa.int32()), ("h", 1024, pa.int32()), ("nodata", -9999.0, pa.float32()))}
+    pq.write_table(pa.table({"id": pa.array(range(4), pa.int32()), "px1": lists, "px2": lists, **same}), tmp_path / "pairs.parquet", row_group_size=1)
+    stored = spark.read.parquet(str(tmp_path / "pairs.parquet")).repartition(4, "id")
+    found = chips.prepare_pairs(stored, 0.5).select("reject_reason", F.octet_length("u1").alias("n"), F.sha2("u2", 256).alias("s")).collect()
+    mask = image != np.float32(-9999.0)
+    whole = pixels.quantize_u8(pixels.fill(pixels.normalize(image, mask), mask, 1024))
+    assert {tuple(r) for r in found} == {(None, n, hashlib.sha256(whole.tobytes()).hexdigest())}
 
 
 def test_gate_order(spark):
@@ -129,20 +178,21 @@ def test_images_reach_the_matcher_as_rgb(spark):
 
         return match
 
-    prepared = chips.prepare_pairs(chips.gate_pairs(image_pair(spark, 16, 2), 0.9))
+    prepared = chips.prepare_pairs(image_pair(spark, 16, 2), 0.9)
     row = matchers.run_matcher(prepared, matchers.MatcherSpec("x", load), ["id"]).first()
     assert (row["raw0"], row["raw1"], row["mm0"], row["error"]) == ([[255.0, 0.0]], [[0.0, 0.0]], None, None)
 
 
-def test_valid_fraction(spark):
-    assert math.isclose(one(spark, rasters.valid_fraction(F.col("mask")), [0.0], [True, False, True]), 2 / 3)
+def test_valid_fractions_and_packed_masks(spark):
+    row = chips.gate_pairs(pairs(spark, ([1.0, 2.0, None, 4.0], [1.0, 2.0, 3.0, 0.0], 0.0)), 0.5).first()
+    assert (row["valid1"], row["valid2"], bytes(row["mask1"]), bytes(row["mask2"])) == (0.75, 0.75, b"\1\1\0\1", b"\1\1\1\0")
 
 
 def test_specs_of_one_tag_are_loaded_for_their_own_run(spark):
     counts = []
     for step in (64, 32):
         spec = matchers.MatcherSpec("phase", matchers.phase_correlation, {"step": step})
-        prepared = chips.prepare_pairs(chips.gate_pairs(image_pair(spark), 0.9))
+        prepared = chips.prepare_pairs(image_pair(spark), 0.9)
         counts.append(len(matchers.run_matcher(prepared, spec, ["id"]).first()["raw0"]))
     assert counts == [4, 16]
 
@@ -156,7 +206,7 @@ def ragged():
 
 
 def test_predictions_of_other_shapes(spark):
-    prepared = chips.prepare_pairs(chips.gate_pairs(image_pair(spark), 0.9))
+    prepared = chips.prepare_pairs(image_pair(spark), 0.9)
     row = matchers.run_matcher(prepared, matchers.MatcherSpec("wide", wide), ["id"]).first()
     assert row["mm0"] == [[1.0, 2.0], [3.0, 4.0]] and row["error"] is None
     row = matchers.run_matcher(prepared, matchers.MatcherSpec("ragged", ragged), ["id"]).first()
@@ -172,7 +222,7 @@ def test_malformed_chips_are_rejected_by_row(spark):
 
 @pytest.mark.parametrize("per_pass", [1, 2, 4])
 def test_a_catalog_in_passes(spark, per_pass):
-    prepared = chips.prepare_pairs(chips.gate_pairs(image_pair(spark), 0.9))
+    prepared = chips.prepare_pairs(image_pair(spark), 0.9)
     specs = [matchers.MatcherSpec(f"step{s}", matchers.phase_correlation, {"step": s}) for s in (64, 32, 128)]
     found = matchers.run_catalog(prepared, specs, ["id"], per_pass).collect()
     assert {r["tag"]: len(r["raw0"]) for r in found} == {"step64": 4, "step32": 16, "step128": 1}

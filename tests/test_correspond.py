@@ -52,7 +52,7 @@ def test_bounds_are_half_open_and_drop_nan(spark):
 
 def test_mask_on_the_row(spark):
     rows = windows(spark, (grid(8), grid(8), None, None)).withColumn(
-        "mask", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i % 8 >= 3)
+        "mask", F.lit(bytes(i % 8 >= 3 for i in range(64)))
     )
     valid = correspond.mask_pixel(F.col("mask"), F.col("w1"))
     kept = correspond.clean_windows(rows, valid, anywhere).first()["kp"]
@@ -66,7 +66,7 @@ def test_earlier_reason_is_kept(spark):
 
 def test_point_rows_with_nan_do_not_raise(spark):
     points = spark.createDataFrame([(NAN, 1.0, 1.0, 1.0), (1.0, 1.0, 2.0, 2.0)], "x1 double, y1 double, x2 double, y2 double")
-    mask = F.array(*[F.lit(True)] * 64)
+    mask = F.lit(b"\1" * 64)
     valid = correspond.mask_pixel(mask, F.lit(8))
     kept = correspond.drop_nodata(correspond.in_bounds(points, 8, 8, 8, 8), valid, valid)
     assert kept.count() == 1

@@ -1,7 +1,4 @@
-"""Whole-chip pixel operations on row-major arrays (pixel ``(iy, ix)`` at ``iy * w + ix``).
-
-A chip is one row, so all of these are map-only; pixels are never shuffled.
-"""
+"""Columns over packed rasters: one byte per pixel, row-major (pixel ``(iy, ix)`` at ``iy * w + ix``)."""
 
 from __future__ import annotations
 
@@ -20,113 +17,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _bound(body: Callable[..., Column], **columns: Column) -> Column:
-    """``let`` for several columns at once."""
-    return let(
-        F.struct(*[c.alias(name) for name, c in columns.items()]),
-        lambda s: body(**{name: s[name] for name in columns}),
-    )
-
-
-def valid_mask(px: Column, nodata: Column) -> Column:
-    """True where a pixel is neither NULL nor the nodata value."""
-    return F.transform(px, lambda v: v.isNotNull() & ~v.eqNullSafe(nodata))
-
-
-def normalize(px: Column, mask: Column) -> Column:
-    """Scale valid pixels to [0, 1] by their min and max; nodata becomes 0.
-
-    A flat or empty chip becomes all 0. The definition is this package's own.
-    """
-
-    def scale(px: Column, mask: Column, lo: Column, hi: Column) -> Column:
-        return F.zip_with(
-            px,
-            mask,
-            lambda v, ok: F.when(ok & (hi > lo), (v.cast("double") - lo) / (hi - lo)).otherwise(
-                F.lit(0.0)
-            ),
-        )
-
-    def by_range(px: Column, mask: Column) -> Column:
-        def with_kept(kept: Column) -> Column:
-            lo, hi = F.array_min(kept).cast("double"), F.array_max(kept).cast("double")
-            return _bound(lambda lo, hi: scale(px, mask, lo, hi), lo=lo, hi=hi)
-
-        return let(F.filter(px, lambda v, i: F.get(mask, i)), with_kept)
-
-    return _bound(by_range, px=px, mask=mask)
-
-
-def inpaint(img: Column, mask: Column, width: Column) -> Column:
-    """Fill nodata with the nearest valid pixel to the left in its row, else to the right, else 0.
-
-    Each row is rebuilt from runs: every valid pixel is repeated up to the next valid one, the
-    first also back to the row start. Linear in pixels.
-    """
+def mask_at(mask: Column, width: Column, ix: Column, iy: Column) -> Column:
+    """Whether a pixel of a packed mask is valid; False outside."""
+    at = iy * width + ix
+    found = (ix >= 0) & (iy >= 0) & (ix < width) & (F.substring(mask, at + 1, F.lit(1)) == F.lit(b"\x01"))
+    return F.coalesce(found, F.lit(False))
 
-    def fill(img: Column, mask: Column) -> Column:
-        def fill_row(start: Column) -> Column:
-            def from_valid(at: Column) -> Column:
-                def run(at_k: Column, k: Column) -> Column:
-                    begin = F.when(k == 0, F.lit(0)).otherwise(at_k)
-                    end = F.coalesce(F.get(at, k + 1), width)
-                    return F.array_repeat(F.get(img, start + at_k), end - begin)
-
-                return F.when(F.size(at) == 0, F.array_repeat(F.lit(0.0), width)).otherwise(
-                    F.flatten(F.transform(at, run))
-                )
-
-            columns = F.sequence(F.lit(0), width - 1)
-            return let(F.filter(columns, lambda ix: F.get(mask, start + ix)), from_valid)
-
-        starts = F.sequence(F.lit(0), F.size(img) - width, width)
-        return F.flatten(F.transform(starts, fill_row))
-
-    return _bound(fill, img=img, mask=mask)
-
-
-def quantize_u8(img: Column) -> Column:
-    """Times 255, clipped to [0, 255] and truncated."""
-    return F.transform(
-        img, lambda v: F.floor(F.least(F.greatest(v * 255.0, F.lit(0.0)), F.lit(255.0))).cast("int")
-    )
-
-
-def valid_fraction(mask: Column) -> Column:
-    """Share of valid pixels; NULL for a chip without pixels."""
-    return F.size(F.filter(mask, lambda ok: ok)) / F.nullif(F.size(mask), F.lit(0))
-
-
-def has_nan(img: Column) -> Column:
-    return F.exists(img, lambda v: F.isnan(v))
-
-
-def block_mean(px: Column, width: Column, height: Column, k: int) -> Column:
-    """Mean of the valid pixels of every k x k block; NULL pixels do not count.
-
-    The definition is this package's own.
-    """
-    across, down = F.ceil(width / k).cast("int"), F.ceil(height / k).cast("int")
 
-    def means(px: Column) -> Column:
-        def mean_of(cell: Column) -> Column:
-            row0, col0 = F.floor(cell / across).cast("int") * k, (cell % across) * k
-            rows = F.sequence(row0, F.least(row0 + k, height) - 1)
-            values = F.flatten(
-                F.transform(
-                    rows, lambda r: F.slice(px, r * width + col0 + 1, F.least(F.lit(k), width - col0))
-                )
-            )
-            return F.aggregate(
-                F.filter(values, lambda v: v.isNotNull()),
-                F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
-                lambda acc, v: F.struct(
-                    (acc["s"] + v.cast("double")).alias("s"), (acc["n"] + 1).alias("n")
-                ),
-                lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"]),
-            )
+def byte_values(packed: Column) -> Column:
+    """Bytes as an array of integers, for reports; whole images stay packed."""
 
-        return F.transform(F.sequence(F.lit(0), across * down - 1), mean_of)
+    def value(i: Column) -> Column:
+        return F.conv(F.hex(F.substring(packed, i + 1, F.lit(1))), 16, 10).cast("int")
 
-    return let(px, means)
+    return F.transform(F.sequence(F.lit(0), F.octet_length(packed) - 1), value)

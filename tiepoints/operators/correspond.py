@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiepoints.functions.rasters import let
+from tiepoints.functions.rasters import let, mask_at
 from tiepoints.operators.joins import join_per_key
 from tiepoints.session import once
 
@@ -66,12 +66,11 @@ def in_bounds(points: DataFrame, w1, h1, w2, h2) -> DataFrame:
 
 
 def mask_pixel(mask: Column, width: Column) -> Pixel:
-    """Validity of the pixel under a point, from a mask array on the same row."""
+    """Validity of the pixel under a point, from a mask of one byte per pixel on the same row."""
 
     def valid(x: Column, y: Column) -> Column:
         # try_cast: a NaN point that an earlier predicate drops must not raise here.
-        ix, iy = F.floor(x).try_cast("int"), F.floor(y).try_cast("int")
-        return F.coalesce(F.get(mask, iy * width + ix), F.lit(False))
+        return mask_at(mask, width, F.floor(x).try_cast("int"), F.floor(y).try_cast("int"))
 
     return valid
 

@@ -50,7 +50,7 @@ def _matcher(spec: MatcherSpec, run: str) -> Matcher | Exception:
 
 
 def _rgb(pixels: pa.Scalar, height: pa.Scalar, width: pa.Scalar) -> np.ndarray:
-    gray = pixels.values.to_numpy(zero_copy_only=False).astype(np.uint8)
+    gray = np.frombuffer(pixels.as_buffer(), np.uint8)
     return np.repeat(gray.reshape(height.as_py(), width.as_py())[:, :, None], 3, axis=2)
 
 

@@ -325,6 +325,14 @@ _oracle(
     "SELECT coalesce(reject_reason, 'accepted') AS reject_reason, count(*) AS n FROM gate GROUP BY ALL",
 )
 _oracle("chip_inpaint", ["filled"], f"SELECT chip_id, iy, ix, {_r('v')} AS v FROM filled")
+_oracle(
+    "chip_inpaint_nearest", ["normalized"],
+    f"""SELECT chip_id, iy, ix, {_r('v')} AS v FROM (
+          SELECT a.chip_id, a.iy, a.ix, coalesce(arg_min(b.img,
+            ((a.iy - b.iy) * (a.iy - b.iy) + (a.ix - b.ix) * (a.ix - b.ix)) * 64 + b.iy * 8 + b.ix), 0e0) AS v
+          FROM normalized a LEFT JOIN normalized b ON a.chip_id = b.chip_id AND b.ok
+          GROUP BY a.chip_id, a.iy, a.ix)""",
+)
 _oracle(
     "chip_quantize", ["filled", "gate"],
     """SELECT chip_id, iy, ix, cast(floor(least(greatest(v * 255, 0), 255)) AS int) AS u8

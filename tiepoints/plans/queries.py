@@ -251,10 +251,7 @@ def chip_pair_source(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def chip_gate(spark: SparkSession, sf: str) -> DataFrame:
     gated = chips.gate_pairs(fx.chip_pairs(spark, sf), MIN_VALID)
-    return gated.select(
-        "chip_id", "reject_reason", rasters.valid_fraction(F.col("mask1")).alias("valid1"),
-        rasters.valid_fraction(F.col("mask2")).alias("valid2"),
-    )
+    return gated.select("chip_id", "reject_reason", "valid1", "valid2")
 
 
 @query
@@ -264,16 +261,21 @@ def chip_reject_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def chip_inpaint(spark: SparkSession, sf: str) -> DataFrame:
-    filled = chips.normalize_chips(fx.chips(spark, sf)).withColumn(
-        "filled", rasters.inpaint(F.col("img"), F.col("mask"), F.col("w"))
-    )
+    filled = chips.normalize_chips(fx.chips(spark, sf), fill="row")
+    return _pixels(filled, "filled").select("chip_id", "iy", "ix", r6("v").alias("v"))
+
+
+@query
+def chip_inpaint_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    filled = chips.normalize_chips(fx.chips(spark, sf), fill="nearest")
     return _pixels(filled, "filled").select("chip_id", "iy", "ix", r6("v").alias("v"))
 
 
 @query
 def chip_quantize(spark: SparkSession, sf: str) -> DataFrame:
-    ready = chips.prepare_pairs(chips.gate_pairs(fx.chip_pairs(spark, sf), MIN_VALID))
-    return chips.explode_pixels(ready.where(F.col("reject_reason").isNull()), "u1", "chip_id", "w1").select(
+    ready = chips.prepare_pairs(fx.chip_pairs(spark, sf), MIN_VALID).where(F.col("reject_reason").isNull())
+    listed = ready.withColumn("u1", rasters.byte_values(F.col("u1")))
+    return chips.explode_pixels(listed, "u1", "chip_id", "w1").select(
         "chip_id", "iy", "ix", F.col("v").alias("u8")
     )
 
@@ -576,7 +578,7 @@ def pol_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def matcher_udf(spark: SparkSession, sf: str) -> DataFrame:
-    prepared = chips.prepare_pairs(chips.gate_pairs(fx.chip_pairs(spark, sf, nodata=False), MIN_VALID))
+    prepared = chips.prepare_pairs(fx.chip_pairs(spark, sf, nodata=False), MIN_VALID)
     specs = [
         matchers.MatcherSpec("phase-fine", matchers.phase_correlation, {"step": 1}),
         matchers.MatcherSpec("phase-coarse", matchers.phase_correlation, {"step": 2}),

@@ -44,7 +44,7 @@ def match_pairs(
     that the cleaning needs no join. The plan has no shuffle. Every window keeps a row, with the
     first gate that rejected it in ``reject_reason``.
     """
-    prepared = chips.prepare_pairs(chips.gate_pairs(pairs, min_valid_fraction))
+    prepared = chips.prepare_pairs(pairs, min_valid_fraction)
     carried = [*keep, "reject_reason", "w1", "h1", "w2", "h2", "mask1", "mask2"]
     found = matchers.run_catalog(prepared, specs, carried)
     failed = F.when(F.col("error").isNotNull(), F.lit("matcher_error"))
