@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiepoints.functions.rasters import let
+from tiepoints.operators.matchers import Matcher, phase_correlation
 from tiepoints.operators.records import gather_windows
 from tiepoints.session import spread
 
@@ -256,6 +257,48 @@ def chip_pairs(spark: SparkSession, sf_dir: str, nodata: bool = True) -> DataFra
     )
 
 
+def registration_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chip pairs of several window sizes and polarisations, with known shifts.
+
+    All chips of a pair are moved by the same columns, but for every 11th; every 50th is a pair of its own.
+    """
+    vec = F.col("vec_id")
+    pair = F.when(vec % 50 == 0, 1000 + vec).otherwise(vec % 40).cast("int")
+    base = table(spark, sf_dir, "embeddings").select(
+        pair.alias("pair_id"), vec.cast("int").alias("chip"), F.col("embedding").alias("px1"), "vec_id"
+    )
+    shift = F.pmod(F.col("pair_id") % CHIP + F.when(vec % 11 == 0, 2).otherwise(0), F.lit(CHIP))
+    pol = F.col("pair_id") % 2 == 0
+    rows = base.select(
+        "pair_id", "chip", "px1", _rolled(F.col("px1"), shift).alias("px2"),
+        F.when(F.col("pair_id") % 20 == 19, 512).when(F.col("pair_id") % 3 == 0, 2048).otherwise(1024).alias("window_size"),
+        F.when(pol, "HH").otherwise("HV").alias("source_pol"), F.when(pol, "VV").otherwise("VH").alias("s1_ref_tag"),
+        *[F.lit(None).cast("float").alias(c) for c in ("nodata1", "nodata2")],
+        *[F.lit(CHIP).alias(c) for c in ("w1", "h1", "w2", "h2")],
+    )
+    return with_geometry(rows)
+
+
+def done_window_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest in which the window sizes of some regions are done."""
+    region = table(spark, sf_dir, "region").where(F.col("r_regionkey") < 2)
+    return region.select((512 + 3584 * F.col("r_regionkey")).cast("int").alias("window_size"), F.lit(True).alias("done"))
+
+
+def wanted_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comma lists of the tags that a run is to use, one list per nation."""
+    nation = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("int").alias("ordinal"))
+    return specs(spark, sf_dir).join(F.broadcast(nation), "ordinal").select(F.col("tag").alias("tags"))
+
+
+def load_matcher(conf: dict) -> Matcher:
+    """Phase correlation in steps that the model's name tells; a conf without a name cannot be loaded."""
+    name = conf["matcher"]["model"].get("name")
+    if name is None:
+        raise ValueError("model without name")
+    return phase_correlation(1 + int(name[-1]) % 2)
+
+
 def gcps(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(

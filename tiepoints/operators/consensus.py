@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +40,15 @@ def surviving_chips(
     bin_m: float = MODE_BIN_M,
     min_inliers: int = MIN_INLIERS_PER_CHIP,
     fitted: DataFrame | None = None,
+    means: DataFrame | None = None,
 ) -> DataFrame:
     """Chips whose mean displacement agrees with their pair: ``pair, chip, n, across, along``.
 
     ``points`` has ``across`` and ``along``. Inliers of a chip are the rows of ``fitted`` when
-    given (see ``ransac.inliers``), else its points within ``tolerance`` of its own mode. Points
-    are only ever counted into bins or averaged, both with map-side combine; what is joined back
-    is one row per chip.
+    given (see ``ransac.inliers``), else its points within ``tolerance`` of its own mode. With
+    ``means`` their number ``n`` and means are known already, for one fit per chip or for several with
+    columns of their own, which stay. Points are only ever counted into bins or averaged, both with
+    map-side combine; what is joined back is one row per chip.
     """
     keys = [*pair, chip]
     binned = points.groupBy(
@@ -60,6 +64,9 @@ def surviving_chips(
     def near(value: str, mode: str):
         return F.abs(F.col(value) - F.col(mode)) <= tolerance
 
+    if means is not None:
+        known = join_settled(means, modes, keys).where(F.col("n") >= min_inliers)
+        return known.where(near("across", "pair_across") & near("along", "pair_along")).select(means.columns)
     kept = join_settled(points if fitted is None else fitted, modes, keys)
     if fitted is None:
         kept = kept.where(near("across", "chip_across") & near("along", "chip_along"))
@@ -84,11 +91,11 @@ def least_chips(window_size: Column) -> Column:
 
 
 def chip_consensus(
-    points: DataFrame, pair: list[str], chip: str = "chip", *, min_chips: int | None = None, **options
+    points: DataFrame, pair: list[str], chip: str = "chip", *, min_chips: int | None = None, fit: Sequence[str] = (), **options
 ) -> DataFrame:
     """Pairs with at least ``min_chips`` agreeing chips, and their mean displacement.
 
-    Without ``min_chips`` the rule of the window size holds if ``window_size`` is one of the keys, else 2.
+    ``fit`` names the columns that tell several fits of ``means`` apart. Without ``min_chips`` the rule of the window size holds if ``window_size`` is one of the keys, else 2.
     """
     if min_chips is None:
         least = least_chips(F.col("window_size")) if "window_size" in pair else F.lit(2)
@@ -96,7 +103,7 @@ def chip_consensus(
         least = F.lit(min_chips)
     return (
         surviving_chips(points, pair, chip, **options)
-        .groupBy(*pair)
+        .groupBy(*pair, *fit)
         .agg(
             F.count("*").alias("chips"),
             F.sum("n").alias("n"),

@@ -7,10 +7,12 @@ arrays. Models live outside this package; a small phase-correlation matcher is i
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import batched
 from typing import Any
 
 import numpy as np
@@ -134,6 +136,34 @@ def run_catalog(
     return reduce(DataFrame.unionByName, passes)
 
 
+def catalog_specs(cat: DataFrame, load: Callable[..., Matcher]) -> Iterator[MatcherSpec]:
+    """The rows of a catalog table (``catalog.catalog``) as matchers, in catalog order.
+
+    ``load(conf)`` makes the matcher of a row from its conf; it runs on the workers only. Rows are read one
+    by one, so the driver holds no more of a catalog than its caller keeps.
+    """
+    rows = cat.select("dense", "ordinal", "tag", F.to_json("conf").alias("conf")).orderBy("dense", "ordinal")
+    for row in rows.toLocalIterator():
+        yield MatcherSpec(row["tag"], load, {"conf": json.loads(row["conf"])})
+
+
+def run_catalog_table(
+    prepared: DataFrame, specs: Iterable[MatcherSpec], keep: Sequence[str], path: str, finish: Callable[[DataFrame], DataFrame], per_pass: int = 4
+) -> DataFrame:
+    """Every matcher over every pair of a written table, in passes whose results are kept below ``path``.
+
+    Each pass is a job of its own, so the plan does not grow with the catalog, and what a pass has written is
+    there whatever happens to a later one. ``finish`` turns its windows into what is kept.
+    """
+    number = None
+    for number, chunk in enumerate(batched(specs, per_pass)):
+        finished = finish(_one_pass(prepared, chunk, keep))
+        finished.write.parquet(f"{path}/pass={number}")
+    if number is None:
+        return finish(_one_pass(prepared, [], keep))
+    return prepared.sparkSession.read.schema(finished.schema).parquet(path).select(finished.columns)
+
+
 def phase_correlation(step: int = 64) -> Matcher:
     """Matcher for a translation: the peak of the phase correlation, as a grid of point pairs."""
 

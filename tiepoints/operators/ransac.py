@@ -9,7 +9,7 @@ and however many copies of a point it holds. Scoring is linear in points.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import add
 
@@ -120,6 +120,7 @@ def fit_affine(
     thresholds: Sequence[float] = THRESHOLDS,
     confidences: Sequence[float] = CONFIDENCES,
     score: str = "inliers",
+    carry: Mapping[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Best affine model of every group for every method, threshold and confidence.
 
@@ -127,7 +128,11 @@ def fit_affine(
     inliers are summed for all thresholds together. ``score='inliers'`` takes the model with
     most inliers, ``'median'`` the one with the lowest median residual (in the steps of
     ``residual_step``); ties go to the lower hypothesis. Output: ``keys, ransac_method,
-    ransac_threshold, ransac_confidence, h, n, inliers, model``.
+    ransac_threshold, ransac_confidence, h, n, inliers, model``, and a column for each ``carry``.
+
+    ``carry`` maps a name to an aggregate over the inliers, given as a function of the condition that a point
+    is one (the residual is column ``r``). They are summed up in the scoring pass, so that means and errors
+    of the winning models need no second pass over the points.
     """
     if score not in ("inliers", "median"):
         raise ValueError(f"unknown score {score!r}")
@@ -135,17 +140,21 @@ def fit_affine(
     counts = {c: hypothesis_count(c) for c in confidences}
     most = max(counts.values())
     models = settle(affine_hypotheses(points, keys, most), "models")
-    paired = join_settled(points.select(*keys, *_COORDS), models, keys)
-    residuals = paired.select(*keys, *_COORDS, F.explode("models").alias("m")).select(
-        *keys,
+    paired = join_settled(points, models, keys)
+    carry = dict(carry or {})
+    residuals = paired.select(*points.columns, F.explode("models").alias("m")).select(
+        *points.columns,
         F.col("m")["h"].alias("h"),
         affine_residual(F.col("m")["model"], *(F.col(c) for c in _COORDS)).alias("r"),
     )
     sums = [F.count_if(F.col("r") <= t).alias(f"_in{i}") for i, t in enumerate(thresholds)]
+    sums += [of(F.col("r") <= t).alias(f"_{name}{i}") for name, of in carry.items() for i, t in enumerate(thresholds)]
     if score == "inliers":
         scored = residuals.groupBy(*keys, "h").agg(F.count("*").alias("n"), *sums).withColumn(
             "_median", F.lit(0)
         )
+    elif carry:
+        raise ValueError("carry goes with score='inliers'")
     else:
         scored = _median_scores(residuals, keys, sums)
     grid = F.array(
@@ -153,7 +162,7 @@ def fit_affine(
             F.struct(
                 F.lit(m).alias("ransac_method"), F.lit(float(t)).alias("ransac_threshold"),
                 F.lit(float(c)).alias("ransac_confidence"), F.lit(counts[c]).alias("_count"),
-                F.col(f"_in{i}").alias("inliers"),
+                F.col(f"_in{i}").alias("inliers"), *[F.col(f"_{name}{i}").alias(name) for name in carry],
             )
             for m in methods for i, t in enumerate(thresholds) for c in confidences
         ]
@@ -168,16 +177,29 @@ def fit_affine(
                 F.struct(
                     (-F.col("_median")).alias("score"),
                     (F.col("inliers") if score == "inliers" else F.lit(0).cast("bigint")).alias("hits"),
-                    (-F.col("h")).alias("order"), "h", "n", "inliers",
+                    (-F.col("h")).alias("order"), "h", "n", "inliers", *carry,
                 )
             ).alias("_best")
         )
-        .select(*keys, *fit_keys, *[F.col("_best")[c].alias(c) for c in ("h", "n", "inliers")])
+        .select(*keys, *fit_keys, *[F.col("_best")[c].alias(c) for c in ("h", "n", "inliers", *carry)])
     )
     chosen = F.filter("models", lambda m: m["h"] == F.col("h"))[0]["model"]
     return winners.join(models, keys).withColumn("model", chosen).drop("models")
 
 
+def inlier_sum(value: Column) -> Callable[[Column], Column]:
+    """For ``carry``: the sum of ``value`` over the inliers."""
+    return lambda near: F.sum(F.when(near, value))
+
+
+def inlier_extent(column: str) -> dict[str, Callable[[Column], Column]]:
+    """For ``carry``: least and greatest value of a column over the inliers, ``<column>_min`` and ``<column>_max``."""
+    return {
+        f"{column}_min": lambda near: F.min(F.when(near, F.col(column))),
+        f"{column}_max": lambda near: F.max(F.when(near, F.col(column))),
+    }
+
+
 def residual_step(r: Column) -> Column:
     """Number of the residual's step: 1/64 pixel up to 64 pixels, then 64 steps per doubling."""
     doublings = reduce(add, [(r >= FINE_PIXELS * 2.0**j).cast("int") for j in range(1, DOUBLINGS + 1)])

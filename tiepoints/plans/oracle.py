@@ -704,6 +704,44 @@ _oracle(
          0e0 AS along FROM d""",
     s=_SHIFT, d="SELECT chip_id, case when s > 4 then s - 8 else s end AS dx FROM s",
 )
+_RUN = "window_size, detector, source_pol, s1_ref_tag"
+_oracle(
+    "registration_report", ["cat"],
+    f"""SELECT {_RUN}, windows, accepted, outcome, ransac_method, ransac_threshold, ransac_confidence, pairs,
+          cast(chips AS bigint) AS chips, cast(inliers AS bigint) AS inliers, across, along, rmse
+        FROM tried LEFT JOIN agreed USING ({_RUN})""",
+    allowed="""
+  SELECT tag, matcher_name, 1 + cast(right(matcher_name, 1) AS int) % 2 AS step FROM cat
+  WHERE tag IN (SELECT tag FROM specs WHERE ordinal - 1 IN (SELECT n_nationkey FROM nation))""",
+    c="""
+  SELECT *, case when s > 4 then s - 8 else s end AS dx,
+         cast(case when pair_id % 20 = 19 then 512 when pair_id % 3 = 0 then 2048 else 1024 end AS int) AS window_size,
+         case when pair_id % 2 = 0 then 'HH' else 'HV' end AS source_pol,
+         case when pair_id % 2 = 0 then 'VV' else 'VH' end AS s1_ref_tag
+  FROM (SELECT *, (pair_id % 8 + (case when vec_id % 11 = 0 then 2 else 0 end)) % 8 AS s
+        FROM (SELECT vec_id, case when vec_id % 50 = 0 then 1000 + vec_id else vec_id % 40 end AS pair_id FROM embeddings))""",
+    w="""
+  SELECT c.*, 'imw-' || tag AS detector, matcher_name IS NOT NULL AS loaded, 25e0 - 10 * dx AS across,
+         (case when dx >= 0 then (8 - dx + step - 1) // step else (8 + dx) // step end) * (8 // step) AS n,
+         (case when dx >= 0 then (7 - dx) // step * step else 8 - step - (-dx + step - 1) // step * step end) * (8 - step) AS area
+  FROM c, allowed WHERE window_size NOT IN (SELECT 512 + 3584 * r_regionkey FROM region WHERE r_regionkey < 2)""",
+    tried=f"""
+  SELECT {_RUN}, count(*) AS windows, count(*) FILTER (WHERE loaded) AS accepted,
+         case when bool_and(loaded) then 'ok' else 'load failed' end AS outcome FROM w GROUP BY ALL""",
+    pair_mode=f"""
+  SELECT {_RUN}, pair_id, across AS mode FROM (
+    SELECT *, row_number() OVER (PARTITION BY {_RUN}, pair_id ORDER BY n DESC, across) AS rn
+    FROM (SELECT {_RUN}, pair_id, across, sum(n) AS n FROM w WHERE loaded GROUP BY ALL)) WHERE rn = 1""",
+    survivors=f"""
+  SELECT w.* FROM w JOIN pair_mode USING ({_RUN}, pair_id) WHERE loaded AND n >= 3 AND area >= 13 AND across = mode""",
+    pairs=f"""
+  SELECT {_RUN}, pair_id, count(*) AS chips, sum(n) AS n, avg(across) AS across FROM survivors GROUP BY ALL
+  HAVING count(*) >= (case when window_size >= 2000 then 1 else 2 end)""",
+    agreed=f"""
+  SELECT {_RUN}, '4' AS ransac_method, cast(t AS double) AS ransac_threshold, cf AS ransac_confidence, count(*) AS pairs,
+         sum(chips) AS chips, sum(n) AS inliers, round(avg(across), 6) + 0e0 AS across, 25e0 AS along, 0e0 AS rmse
+  FROM pairs, (SELECT unnest([1, 2, 3]) AS t), (SELECT unnest([0.91e0, 0.95e0, 0.99e0]) AS cf) GROUP BY ALL""",
+)
 _oracle(
     "record_files_roundtrip", ["record_points"],
     """SELECT 1024 AS window_size, 'imw-' || tag AS detector, pol AS source_pol, count(DISTINCT win) AS records,

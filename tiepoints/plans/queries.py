@@ -520,8 +520,11 @@ def ransac_median(spark: SparkSession, sf: str) -> DataFrame:
     return _fit_columns(fits, CHIP)
 
 
-def _single_fit(points: DataFrame, keys: list[str]) -> DataFrame:
-    return ransac.fit_affine(points, keys, thresholds=[3.0], confidences=[0.99])
+def _single_fit(points: DataFrame, keys: list[str], **sums: Column) -> DataFrame:
+    """One fit per group with sums over its inliers, by the scoring pass."""
+    carry = {name: ransac.inlier_sum(value) for name, value in sums.items()}
+    fits = ransac.fit_affine(points, keys, thresholds=[3.0], confidences=[0.99], carry=carry)
+    return fits.where(F.col("inliers") > 0)
 
 
 @query
@@ -535,8 +538,10 @@ def chip_consensus(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def chip_consensus_fitted(spark: SparkSession, sf: str) -> DataFrame:
     points = _displaced(spark, sf)
-    fitted = ransac.inliers(points, _single_fit(points, CHIP), CHIP)
-    agreed = consensus.chip_consensus(points, PAIR, fitted=fitted)
+    fits = _single_fit(points, CHIP, across=F.col("across"), along=F.col("along"))
+    mean = lambda c: (F.col(c) / F.col("inliers")).alias(c)
+    means = fits.select(*CHIP, F.col("inliers").alias("n"), mean("across"), mean("along"))
+    agreed = consensus.chip_consensus(points, PAIR, means=means)
     return agreed.withColumns({"across": r6("across"), "along": r6("along")})
 
 
@@ -547,13 +552,8 @@ def min_area(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def best_config(spark: SparkSession, sf: str) -> DataFrame:
-    points = _bounded(spark, sf)
-    fits = _single_fit(points, CHIP_DETECTOR)
-    chosen = ransac.residuals(points, fits, CHIP_DETECTOR).where(F.col("residual") <= F.col("ransac_threshold"))
-    scored = chosen.groupBy(*CHIP_DETECTOR).agg(
-        F.count("*").alias("inliers"),
-        r6(F.sqrt(F.avg(F.col("residual") * F.col("residual")))).alias("rmse"),
-    )
+    fits = _single_fit(_bounded(spark, sf), CHIP_DETECTOR, squares=F.col("r") * F.col("r"))
+    scored = fits.select(*CHIP_DETECTOR, "inliers", r6(F.sqrt(F.col("squares") / F.col("inliers"))).alias("rmse"))
     return ransac.best_fit_per_chip(scored.withColumnRenamed("detector", "name"), CHIP)
 
 
@@ -601,6 +601,20 @@ def registration_run(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _registration(spark: SparkSession, sf: str) -> registration.Registration:
+    cat = catalog.allow_table(_catalog(spark, sf), fx.wanted_tags(spark, sf))
+    return registration.run(
+        fx.registration_pairs(spark, sf), cat, fx.load_matcher, manifest=fx.done_window_sizes(spark, sf),
+        min_valid_fraction=MIN_VALID, min_area=13.0,
+    )
+
+
+@query
+def registration_report(spark: SparkSession, sf: str) -> DataFrame:
+    out = _registration(spark, sf).report
+    return out.withColumns({c: r6(c) for c in ("across", "along", "rmse")})
+
+
 @query
 def record_files_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "records")
