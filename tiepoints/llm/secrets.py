@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 from math import log2
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,25 +166,35 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", secret_spans(F.col("text")).alias("spans"))
 
 
-def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """The text with the union of its spans replaced by ``mask``; null stays null."""
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        out = []
-        for t, a, b in zip(text, starts, ends):
-            if t is None or not len(a):
-                out.append(t)
-                continue
-            parts, at = [], 0
-            for start, end in sorted(zip(a, b)):
-                if start >= at:
-                    parts += [t[at:start], mask]
-                at = max(at, end)
-            out.append("".join([*parts, t[at:]]))
-        return pd.Series(out, dtype=object)
-
-    return cut(text, spans["start"], spans["end"])
+def redacted(text: str, spans: list[tuple[str, int, int]], mask: str) -> str:
+    """A text with the union of its spans replaced by ``mask``."""
+    parts, at = [], 0
+    for _, start, end in sorted(spans, key=lambda s: s[1:]):
+        if start >= at:
+            parts += [text[at:start], mask]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def masked(text: Column, allow: tuple[str, ...] = ALLOW, mask: str = "[SECRET]") -> Column:
+    """Struct of ``text`` with every secret replaced by ``mask``, and whether it had one; null stays null.
+
+    Scanning and replacing are one function, so that a task needs one worker and not two.
+    """
+
+    @F.arrow_udf("text string, found boolean")
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out, found = [], []
+            for value in batch:
+                own = value.as_py()
+                spans = spans_of(own, allow) if own is not None else []
+                out.append(redacted(own, spans, mask) if spans else own)
+                found.append(bool(spans))
+            yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(found, pa.bool_())], ["text", "found"])
+        give_back()
+
+    return scan(text)
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
