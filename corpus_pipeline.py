@@ -40,11 +40,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets in their texts are replaced and ``n_chars`` follows the new text."""
     ship_package(spark)
-    text = F.col("text").cast("string")
-    found = docs.withColumn("_spans", secrets.secret_spans(text))
-    masked = found.withColumn("text", F.when(F.size("_spans") > 0, secrets.redact(text, F.col("_spans"))).otherwise(text))
-    changed = F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return masked.withColumn("n_chars", changed).select(docs.columns)
+    scanned = docs.withColumn("_masked", secrets.masked(F.col("text").cast("string")))
+    changed = F.when(F.col("_masked.found"), F.length("_masked.text").cast("long")).otherwise(F.col("n_chars"))
+    return scanned.withColumns({"n_chars": changed, "text": F.col("_masked.text")}).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
