@@ -1,10 +1,13 @@
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from tiepoints import fixtures as fx
 from tiepoints import schemas
 from tiepoints.operators import stats
 from tiepoints.plans.queries import _records
-from tiepoints.sources import readers, writers
+from tiepoints.sources import match_files, readers, writers
 from tiepoints.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
@@ -30,12 +33,69 @@ def test_records_survive_writing(spark, tmp_path):
     assert stored.exceptAll(expected).count() == expected.exceptAll(stored).count() == 0
 
 
-def test_csv_has_a_row_per_point(spark, tmp_path):
-    records = _records(spark, SF)
-    writers.write_match_csv(records, str(tmp_path / "csv"))
-    stored = spark.read.option("header", True).csv(str(tmp_path / "csv"))
-    assert stored.count() == records.agg(F.sum(F.size("x1"))).first()[0]
-    assert {"file_id", "window_size", "detector", "source_pol", "distance"} <= set(stored.columns)
+RECORD = "window_size int, detector string, source_pol string, file_id string, " + ", ".join(f"{c} array<double>" for c in schemas.RECORD_LISTS)
+
+
+def record(file_id, *values, detector="imw-a", size=1024, pol="HH"):
+    return (size, detector, pol, file_id, *[[v + i for v in values] for i in range(len(schemas.RECORD_LISTS))])
+
+
+def test_match_files_are_named_after_their_ids_and_read_back(spark, tmp_path):
+    records, path = _records(spark, SF), str(tmp_path / "files")
+    writers.write_match_files(records, path)
+    listed = sorted(str(f.relative_to(path)) for f in (tmp_path / "files").rglob("*") if f.is_file() and f.suffix == ".csv")
+    expected = records.select(F.format_string("window_size=%s/detector=%s/source_pol=%s/%s.csv", "window_size", "detector", "source_pol", "file_id"))
+    assert listed == sorted({r[0] for r in expected.collect()})
+    stored = readers.read_match_files(spark, path)
+    lists = records.select(F.concat("file_id", F.lit(".csv")).alias("file_name"), F.inline(F.arrays_zip(*schemas.RECORD_LISTS)))
+    found = stored.select(lists.columns)
+    assert found.exceptAll(lists).count() == lists.exceptAll(found).count() == 0
+    assert stored.where("key is null or key.detector != detector").count() == 0
+    told = json.loads((tmp_path / "files" / "_SUCCESS").read_text())
+    assert told == {"files": len(listed), "rows": lists.count()}
+    assert not [f for f in (tmp_path / "files").rglob(".*") if not f.name.endswith(".crc")]
+
+
+def test_records_of_one_id_share_a_file_and_odd_values_survive(spark, tmp_path):
+    odd = [float("nan"), float("inf"), -float("inf"), 1e-300, 0.1 + 0.2]
+    rows = [record("a b%c", 1.0), record("a b%c", 2.0), record("a b%c", 1.0, detector="imw-b"), record("x", *odd), record("none"), record("x", 5.0, pol=None)]
+    df = spark.createDataFrame(rows, RECORD).withColumn("y2", F.when(F.col("file_id") == "x", F.transform("y2", lambda v: F.lit(None).cast("double"))).otherwise(F.col("y2")))
+    path = f"file://{tmp_path}/files"
+    writers.write_match_files(df, path)
+    files = {str(f.relative_to(tmp_path / "files")) for f in (tmp_path / "files").rglob("*.csv")}
+    here, null = "window_size=1024/detector=imw-a/source_pol=HH", "window_size=1024/detector=imw-a/source_pol=__HIVE_DEFAULT_PARTITION__"
+    assert files == {f"{here}/a b%25c.csv", f"{here.replace('-a', '-b')}/a b%25c.csv", f"{here}/x.csv", f"{here}/none.csv", f"{null}/x.csv"}
+    stored = readers.read_match_files(spark, path).where("source_pol = 'HH' and detector = 'imw-a'").collect()
+    x = [r["x1"] for r in stored if r["distance"] is not None and r["y2"] is None]
+    assert sorted(map(repr, x)) == sorted(map(repr, odd))
+    assert sorted(r["x1"] for r in stored if r["y2"] is not None) == [1.0, 2.0]
+
+
+def test_a_task_that_runs_twice_leaves_the_same_files(tmp_path):
+    rows = [dict(zip(["window_size", "detector", "source_pol", "file_id", *schemas.RECORD_LISTS], record(i, 1.0, 2.0))) for i in ("a", "a", "b")]
+    writer = match_files.MatchFileWriter(str(tmp_path), overwrite=False)
+    first, second = writer.write(iter(rows)), writer.write(iter(rows))
+    assert first == second and first.rows == 6 and len(first.files) == 2
+    writer.commit([first, None])
+    assert json.loads((tmp_path / "_SUCCESS").read_text()) == {"files": 2, "rows": 6}
+    assert len((tmp_path / first.files[0]).read_text().splitlines()) == 5
+    writer.abort([first, None])
+    writer.abort([first])
+    assert not list(tmp_path.rglob("*.csv"))
+
+
+def test_match_files_refuse_what_they_cannot_keep(spark, tmp_path):
+    df = spark.createDataFrame([record(None, 1.0)], RECORD)
+    with pytest.raises(Exception, match="without file id"):
+        writers.write_match_files(df, str(tmp_path / "a"))
+    spark.dataSource.register(match_files.MatchFiles)
+    good = spark.createDataFrame([record("a", 1.0)], RECORD)
+    with pytest.raises(Exception, match="appended"):
+        good.write.format(match_files.FORMAT).mode("overwrite").save(str(tmp_path / "b"))
+    with pytest.raises(Exception, match="lack"):
+        good.drop("along").write.format(match_files.FORMAT).mode("append").save(str(tmp_path / "b"))
+    writers.write_match_files(good.limit(0), str(tmp_path / "empty"))
+    assert json.loads((tmp_path / "empty" / "_SUCCESS").read_text()) == {"files": 0, "rows": 0}
 
 
 def test_summary_is_replaced_per_window_size(spark, tmp_path):

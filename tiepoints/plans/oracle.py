@@ -749,6 +749,15 @@ _oracle(
          count(DISTINCT win) AS same_detector
        FROM (SELECT *, row_number() OVER (PARTITION BY win) AS kp_no FROM record_points) GROUP BY tag, pol""",
 )
+_oracle(
+    "match_files_roundtrip", ["moved"],
+    f"""SELECT 1024 AS window_size, 'imw-' || tag AS detector, pol AS source_pol, file_id || '.csv' AS file_name,
+          cast(pair_id AS bigint) AS pair_id, cast(global_scan AS bigint) AS scan, cast(global_pix AS bigint) AS pix,
+          ref AS s1_ref_tag, 1e0 AS ransac_threshold, 0.95e0 AS ransac_confidence, count(*) AS points,
+          {_r('sum(distance)', 4)} AS distance,
+          {', '.join(f'cast(sum({c} * 8) AS bigint) AS {c}' for c in ('x1', 'y1', 'x2', 'y2', 'map_x1', 'map_y2', 'along', 'across'))}
+        FROM moved GROUP BY ALL""",
+)
 _oracle(
     "incremental_run", ["located"],
     """SELECT pair_id, chip, map_x1, map_y1, map_x2, map_y2, map_y1 - map_y2 AS along, map_x1 - map_x2 AS across

@@ -633,6 +633,19 @@ def record_files_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def match_files_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "match-files")
+    writers.write_match_files(_records(spark, sf), path)
+    found = readers.read_match_files(spark, path).groupBy("window_size", "detector", "source_pol", "file_name", "key")
+    sums = {c: F.sum(F.col(c) * 8).cast("bigint") for c in ("x1", "y1", "x2", "y2", "map_x1", "map_y2", "along", "across")}
+    out = found.agg(F.count("*").alias("points"), r6(F.sum("distance"), 4).alias("distance"), *[v.alias(c) for c, v in sums.items()])
+    return out.select(
+        "window_size", "detector", "source_pol", "file_name", "key.pair_id", "key.scan", "key.pix", "key.s1_ref_tag",
+        "key.ransac_threshold", "key.ransac_confidence", "points", "distance", *sums,
+    )
+
+
 @query
 def incremental_run(spark: SparkSession, sf: str) -> DataFrame:
     items = fx.table(spark, sf, "lineitem")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiepoints.operators.records import explode_records
+from tiepoints import schemas
+from tiepoints.sources.match_files import FORMAT, MatchFiles
 
 RECORD_PARTITIONS = ("window_size", "detector", "source_pol")
 
@@ -15,15 +16,16 @@ def write_match_records(records: DataFrame, path: str, mode: str = "append") ->
     records.write.mode(mode).partitionBy(*RECORD_PARTITIONS).parquet(path)
 
 
-def write_match_csv(records: DataFrame, path: str, mode: str = "append") -> None:
-    """The same directories as CSV with one row per point; the file id is a column."""
-    (
-        explode_records(records, ["file_id", *RECORD_PARTITIONS])
-        .write.mode(mode)
-        .partitionBy(*RECORD_PARTITIONS)
-        .option("header", True)
-        .csv(path)
-    )
+def write_match_files(records: DataFrame, path: str) -> None:
+    """One CSV file per file id, named after it, in the same directories (see ``match_files``).
+
+    Records that share a file id are one file. They are brought together by a shuffle on the id, so each file
+    is written by one task, and they are streamed into it, however many there are.
+    """
+    records.sparkSession.dataSource.register(MatchFiles)
+    key = [*RECORD_PARTITIONS, "file_id"]
+    together = records.select(*key, *schemas.RECORD_LISTS).repartition(*key).sortWithinPartitions(*key, *schemas.RECORD_LISTS)
+    together.write.format(FORMAT).mode("append").save(path)
 
 
 def write_run_summary(summary: DataFrame, path: str) -> None:
