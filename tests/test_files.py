@@ -148,3 +148,35 @@ def test_incremental_run_reads_every_file_once(spark, tmp_path):
     items.where("l_suppkey >= 5").coalesce(2).write.mode("append").parquet(source)
     assert run() == transform(items).count()
 
+
+
+def test_records_met_in_an_earlier_increment_are_dropped(spark, tmp_path):
+    source, out, check = (str(tmp_path / d) for d in ("in", "out", "check"))
+
+    def add(*rows):
+        made = spark.createDataFrame([(k, v) for k, v in rows], "k int, v string").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+        made.coalesce(1).write.mode("append").parquet(source)
+        found = incremental.incremental_run(spark, source, made.schema, lambda s: s, out, check, keys=["k"]).collect()
+        return sorted((r["k"] is None, r["k"] or 0, r["v"]) for r in found)
+
+    assert add((1, "a"), (2, "b"), (None, "n")) == [(False, 1, "a"), (False, 2, "b"), (True, 0, "n")]
+    assert add((2, "later"), (3, "c"), (None, "m")) == [(False, 1, "a"), (False, 2, "b"), (False, 3, "c"), (True, 0, "n")]
+    assert add((1, "a")) == [(False, 1, "a"), (False, 2, "b"), (False, 3, "c"), (True, 0, "n")]
+
+
+def test_state_may_be_bounded_by_a_watermark(spark, tmp_path):
+    source, out, check = (str(tmp_path / d) for d in ("in", "out", "check"))
+    rows = spark.createDataFrame([(1, "2024-01-01"), (1, "2024-01-01"), (2, "2024-01-02")], "k int, d string").select("k", F.col("d").cast("timestamp").alias("at"))
+    rows.coalesce(1).write.parquet(source)
+    found = incremental.incremental_run(spark, source, rows.schema, lambda s: s, out, check, keys=["k"], within=("at", "30 days"))
+    assert sorted(r["k"] for r in found.collect()) == [1, 2]
+
+
+def test_bad_windows_are_read_apart(spark, tmp_path):
+    rows = [(1, "a", None, None, [1]), (2, "a", "nan", None, None), (3, "b", "matcher_error", "ValueError: x", None)]
+    windows = spark.createDataFrame(rows, "id int, tag string, reject_reason string, error string, kp array<int>")
+    writers.write_windows(windows, str(tmp_path / "w"))
+    bad = readers.read_windows(spark, str(tmp_path / "w"), True)
+    assert {tuple(r) for r in bad.select("id", "reject_reason", "error").collect()} == {(2, "nan", None), (3, "matcher_error", "ValueError: x")}
+    assert [r["id"] for r in readers.read_windows(spark, str(tmp_path / "w"), False).collect()] == [1]
+    assert "PartitionFilters: [isnotnull(rejected" in bad._jdf.queryExecution().toString()

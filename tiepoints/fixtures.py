@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -279,6 +280,52 @@ def registration_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_geometry(rows)
 
 
+def flawed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chip pairs of which most have a flaw, told by ``vec_id % 10``: 0 to 3 in shape, 4 to 7 in image 2 only."""
+    case, px = F.col("vec_id") % 10, F.col("embedding")
+    second = (
+        F.when(case == 1, F.array().cast("array<float>"))
+        .when(case == 2, F.slice("embedding", 1, CHIP * CHIP - 1))
+        .when(case == 4, F.transform(px, lambda v: F.lit(0.25).cast("float")))
+        .when(case == 5, F.transform(px, lambda v, i: F.when(i == 9, F.lit(float("nan")).cast("float")).otherwise(v)))
+        .when(case == 6, F.transform(px, lambda v, i: F.when(i >= 20, v)))
+        .when(case == 7, F.transform(px, lambda v: F.lit(None).cast("float")))
+        .otherwise(px)
+    )
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("chip_id"), F.when(case != 0, px).alias("px1"), second.alias("px2"),
+        *[F.lit(None).cast("float").alias(c) for c in ("nodata1", "nodata2")],
+        *[F.lit(CHIP).alias(c) for c in ("w1", "h1", "w2")], F.when(case == 3, -CHIP).otherwise(CHIP).alias("h2"),
+    )
+
+
+def flawed_matcher(kind: str) -> Matcher:
+    """Matchers that go wrong in the ways that matchers do."""
+    grid = np.array([(x, y, 1.0) for y in range(0, CHIP, 2) for x in range(0, CHIP, 2)])
+
+    def match(image1, image2):
+        if kind == "raising":
+            raise ValueError("cannot match")
+        if kind == "flat":
+            return {"mm0": np.arange(5), "mm1": np.arange(5)}
+        if kind == "wide":  # more columns than two are cut off
+            return {"mm0": grid, "mm1": grid}
+        if kind == "uneven":
+            return {"raw0": grid[:, :2], "raw1": grid[1:, :2]}
+        if kind == "outside":
+            return {"raw0": grid[:, :2] + CHIP, "raw1": grid[:, :2]}
+        if kind == "few":
+            return {"raw0": grid[:3, :2], "raw1": grid[:3, :2]}
+        return {"mm0": [], "raw0": None}
+
+    if kind == "missing":
+        raise OSError("no weights")
+    return match
+
+
+FLAWED = ("wide", "flat", "uneven", "outside", "few", "empty", "raising", "missing")
+
+
 def done_window_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest in which the window sizes of some regions are done."""
     region = table(spark, sf_dir, "region").where(F.col("r_regionkey") < 2)

@@ -763,3 +763,22 @@ _oracle(
     """SELECT pair_id, chip, map_x1, map_y1, map_x2, map_y2, map_y1 - map_y2 AS along, map_x1 - map_x2 AS across
        FROM located""",
 )
+_oracle(
+    "incremental_overlap", ["clear"],
+    """SELECT DISTINCT win, pair_id, chip, x1, y1, x2, y2, map_y1 - map_y2 AS along, map_x1 - map_x2 AS across FROM located""",
+    **{name: _FRAGMENTS[name] for name in ("placed", "located")},
+)
+_oracle(
+    "bad_windows", [],
+    """SELECT chip_id, tag, coalesce(gate, cause) AS reject_reason, case when gate IS NULL then error end AS error,
+         cast(case when gate IS NULL AND cause IS NULL then 16 else 0 end AS bigint) AS points
+       FROM g, m""",
+    g="""
+  SELECT vec_id AS chip_id, case vec_id % 10 when 4 then 'all_zero' when 5 then 'nan' when 6 then 'low_valid'
+    when 7 then 'all_zero' when 8 then NULL when 9 then NULL else 'bad_shape' end AS gate FROM embeddings""",
+    m="""
+  SELECT * FROM (VALUES ('wide', NULL, NULL), ('flat', 'matcher_error', 'ValueError: points of shape (5,)'),
+    ('uneven', 'ragged', NULL), ('outside', 'out_of_bounds', NULL), ('few', 'too_few', NULL), ('empty', 'no_points', NULL),
+    ('raising', 'matcher_error', 'ValueError: cannot match'),
+    ('missing', 'matcher_error', 'load failed: OSError: no weights')) AS v(tag, cause, error)""",
+)

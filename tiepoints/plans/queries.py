@@ -601,6 +601,17 @@ def registration_run(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def bad_windows(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "windows")
+    specs = [matchers.MatcherSpec(kind, fx.flawed_matcher, {"kind": kind}) for kind in fx.FLAWED]
+    writers.write_windows(registration.match_pairs(fx.flawed_pairs(spark, sf), specs, ["chip_id"], MIN_VALID), path)
+    bad, good = readers.read_windows(spark, path, True), readers.read_windows(spark, path, False)
+    return bad.select("chip_id", "tag", "reject_reason", "error", F.lit(0).cast("bigint").alias("points")).union(
+        good.select("chip_id", "tag", "reject_reason", "error", F.size("kp").cast("bigint"))
+    )
+
+
 def _registration(spark: SparkSession, sf: str) -> registration.Registration:
     cat = catalog.allow_table(_catalog(spark, sf), fx.wanted_tags(spark, sf))
     return registration.run(
@@ -660,3 +671,25 @@ def incremental_run(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.incremental_run(
         spark, sf, items.schema, transform, f"{path}/out", f"{path}/checkpoint", "lineitem.parquet"
     )
+
+
+@query
+def incremental_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Two increments that share a third of their rows, the second after the first is done."""
+    items = fx.table(spark, sf, "lineitem")
+    path = fresh_path(spark, "overlap")
+
+    def transform(stream: DataFrame) -> DataFrame:
+        points = fx.with_geometry(fx.correspondences_of(stream))
+        return incremental.clean_and_locate(points, fx.IMAGE, fx.valid1, fx.valid2).select(
+            "win", "pair_id", "chip", "x1", "y1", "x2", "y2", "along", "across"
+        )
+
+    out = None
+    for left_out in (0, 1):
+        items.where(F.col("l_suppkey") % 3 != left_out).write.mode("append").parquet(f"{path}/in")
+        out = incremental.incremental_run(
+            spark, f"{path}/in", items.schema, transform, f"{path}/out", f"{path}/checkpoint",
+            keys=["win", "pair_id", "chip", "x1", "y1", "x2", "y2"],
+        )
+    return out

@@ -52,6 +52,11 @@ def read_gcps(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.read.schema(schemas.GCP).option("header", True).csv(path)
 
 
+def read_windows(spark: SparkSession, path: str, rejected: bool) -> DataFrame:
+    """The bad or the good windows of ``writers.write_windows``; the other half is not read."""
+    return spark.read.parquet(path).where(F.col("rejected") == rejected).drop("rejected")
+
+
 def read_match_files(spark: SparkSession, path: str, schema: T.StructType = schemas.MATCH_ROW) -> DataFrame:
     """Per-window CSV files; the key parsed from each file name becomes column ``key``."""
     rows = spark.read.schema(schema).option("header", True).csv(path)

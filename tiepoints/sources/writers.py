@@ -28,6 +28,15 @@ def write_match_files(records: DataFrame, path: str) -> None:
     together.write.format(FORMAT).mode("append").save(path)
 
 
+def write_windows(windows: DataFrame, path: str) -> None:
+    """Good and bad windows side by side, in one pass: ``rejected=false`` and ``rejected=true``.
+
+    A bad window keeps its key, its ``reject_reason`` and the ``error`` behind it, so none is lost unseen.
+    """
+    rejected = F.col("reject_reason").isNotNull()
+    windows.withColumn("rejected", rejected).write.partitionBy("rejected").parquet(path)
+
+
 def write_run_summary(summary: DataFrame, path: str) -> None:
     """Summary of finished window sizes; replaces those it contains and no others."""
     (
