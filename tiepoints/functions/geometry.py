@@ -53,3 +53,30 @@ def affine_residual(m: Column, x1: Column, y1: Column, x2: Column, y2: Column) -
     dx = m["a"] * x1 + m["b"] * y1 + m["c"] - x2
     dy = m["d"] * x1 + m["e"] * y1 + m["f"] - y2
     return F.sqrt(dx * dx + dy * dy)
+
+
+def moments(x: Column, y: Column, u: Column, v: Column) -> dict[str, Column]:
+    """What a least-squares affine map from (x, y) to (u, v) is made of, as values to be summed over its points."""
+    return {
+        "s_x": x, "s_y": y, "s_xx": x * x, "s_xy": x * y, "s_yy": y * y,
+        "s_u": u, "s_xu": x * u, "s_yu": y * u, "s_v": v, "s_xv": x * v, "s_yv": y * v,
+    }
+
+
+#: Of the product of both variances; below it points count as being on one line.
+COLLINEAR = 1e-9
+
+
+def affine_from_sums(n: Column) -> Column:
+    """Least-squares affine map from the sums of ``moments`` over ``n`` points, NULL if they are on one line."""
+    s = {name: F.col(f"s_{name}") for name in ("x", "y", "xx", "xy", "yy", "u", "xu", "yu", "v", "xv", "yv")}
+    xx, xy, yy = n * s["xx"] - s["x"] * s["x"], n * s["xy"] - s["x"] * s["y"], n * s["yy"] - s["y"] * s["y"]
+    det = xx * yy - xy * xy
+
+    def row(t: str) -> list[Column]:
+        xt, yt = n * s[f"x{t}"] - s["x"] * s[t], n * s[f"y{t}"] - s["y"] * s[t]
+        first, second = (xt * yy - yt * xy) / det, (yt * xx - xt * xy) / det
+        return [first, second, (s[t] - first * s["x"] - second * s["y"]) / n]
+
+    model = F.struct(*[c.alias(name) for name, c in zip("abcdef", [*row("u"), *row("v")])])
+    return F.when((n >= 3) & (det > COLLINEAR * xx * yy), model)

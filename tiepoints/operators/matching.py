@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tiepoints.functions.geometry import affine_from_sums, moments
 from tiepoints.operators.joins import join_per_key, join_settled, top_per_key
 from tiepoints.session import settle
 
@@ -329,6 +330,58 @@ def _adjacent_bins(bins: DataFrame, keys: list[str], place: list[str], least: in
     return small.join(others.hint("merge"), [*keys, *block]).where(near).drop(*block)
 
 
+def seeded_affine(
+    matches: DataFrame, keys: Sequence[str], *, cell: float, spread: float, radius: float, least: int, score: str = "score"
+) -> DataFrame:
+    """Matches that fit the local affine motion around at least one well supported seed.
+
+    The seed of a grid cell is its best match by ``score`` (then the first by coordinates). Its local set are
+    the matches in the 3 x 3 cells around that moved like it, up to ``spread`` per component. The least-squares
+    affine map of that set is the seed's motion, and a seed with ``least`` matches within ``radius`` of its
+    motion is supported. A match is kept if a supported seed around it has it within ``radius``.
+
+    A cell has one seed, so a match meets at most nine; a set is only ever summed up, with map-side combine,
+    however many matches it has. What is joined back is one row per cell with its seeds or motions.
+    """
+    keys = list(keys)
+    coords = ["x1", "y1", "x2", "y2"]
+    placed = matches.withColumns({"_cx": F.floor(F.col("x1") / cell), "_cy": F.floor(F.col("y1") / cell)})
+    place = [*keys, "_cx", "_cy"]
+    best = F.min(F.struct((-F.col(score)).alias("_rank"), *coords)).alias("_s")
+    seeds = placed.groupBy(*place).agg(best).select(*place, *[F.col("_s")[c].alias(f"s{c}") for c in coords])
+
+    def around(table: DataFrame, label: str) -> DataFrame:
+        """Per cell the rows of the nine cells around it, in ``_near``."""
+        values = [c for c in table.columns if c not in keys]
+        beside = table.select(*keys, F.struct(*values).alias("_v"))
+        for name in ("_cx", "_cy"):
+            beside = beside.withColumn(name, F.explode(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.col("_v")[name] + d)))  # noqa: B023
+        return settle(beside.groupBy(*place).agg(F.collect_list("_v").alias("_near")), label)
+
+    met = join_settled(placed.select(*place, *coords), around(seeds, "seeds"), place)
+    met = met.select(*keys, *coords, F.explode("_near").alias("_s"))
+    x, y = F.col("x1") - F.col("_s.sx1"), F.col("y1") - F.col("_s.sy1")
+    u = F.col("x2") - F.col("x1") - (F.col("_s.sx2") - F.col("_s.sx1"))
+    v = F.col("y2") - F.col("y1") - (F.col("_s.sy2") - F.col("_s.sy1"))
+    sums = moments(x, y, u, v)
+    local = met.where((F.abs(u) <= spread) & (F.abs(v) <= spread)).select(*keys, "_s", *[c.alias(name) for name, c in sums.items()])
+    summed = local.groupBy(*keys, "_s").agg(F.count("*").alias("n"), *[F.sum(name).alias(name) for name in sums])
+    motion = summed.select(*keys, "_s.*", affine_from_sums(F.col("n").cast("double")).alias("m")).where("m is not null")
+    motion = settle(motion, "motions")
+
+    def follows(s: Column) -> Column:
+        x, y = F.col("x1") - s["sx1"], F.col("y1") - s["sy1"]
+        du = s["m"]["a"] * x + s["m"]["b"] * y + s["m"]["c"] - (F.col("x2") - F.col("x1") - (s["sx2"] - s["sx1"]))
+        dv = s["m"]["d"] * x + s["m"]["e"] * y + s["m"]["f"] - (F.col("y2") - F.col("y1") - (s["sy2"] - s["sy1"]))
+        return du * du + dv * dv <= radius * radius
+
+    tested = join_settled(placed.select(*place, *coords), around(motion, "motions-around"), place)
+    support = tested.select(*keys, F.explode(F.filter("_near", follows)).alias("_s")).groupBy(*keys, "_s._cx", "_s._cy")
+    support = support.agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    kept = around(join_per_key(motion, support, place, "left_semi"), "supported")
+    return join_settled(placed, kept, place).where(F.exists("_near", follows)).select(*matches.columns)
+
+
 def top_keypoints(
     keypoints: DataFrame,
     chip: Sequence[str],

@@ -16,7 +16,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiepoints.functions.geometry import affine_residual
+from tiepoints.functions.geometry import affine_from_sums, affine_residual, moments
 from tiepoints.functions.rasters import let
 from tiepoints.operators.joins import join_settled
 from tiepoints.session import settle
@@ -200,6 +200,18 @@ def inlier_extent(column: str) -> dict[str, Callable[[Column], Column]]:
     }
 
 
+def refit_affine(points: DataFrame, keys: Sequence[str], **grid: Sequence) -> DataFrame:
+    """``fit_affine``, with ``refined``: the least-squares map of all inliers of the best model.
+
+    A sample of three points decides which points are inliers; their sums, taken in the scoring pass, give
+    the map itself. ``refined`` is the sampled model where the inliers are on one line.
+    """
+    sums = moments(*(F.col(c) for c in _COORDS))
+    fits = fit_affine(points, keys, carry={name: inlier_sum(value) for name, value in sums.items()}, **grid)
+    refined = F.coalesce(affine_from_sums(F.col("inliers")), F.col("model"))
+    return fits.withColumn("refined", refined).drop(*sums)
+
+
 def residual_step(r: Column) -> Column:
     """Number of the residual's step: 1/64 pixel up to 64 pixels, then 64 steps per doubling."""
     doublings = reduce(add, [(r >= FINE_PIXELS * 2.0**j).cast("int") for j in range(1, DOUBLINGS + 1)])

@@ -505,6 +505,47 @@ _oracle(
   SELECT *, cx + dx AS nx, cy + dy AS ny
   FROM u, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)""",
 )
+
+
+def _least_squares(n: str) -> str:
+    """The affine map of summed moments, a to f, and its determinant."""
+    xx, xy, yy = f"({n} * s_xx - s_x * s_x)", f"({n} * s_xy - s_x * s_y)", f"({n} * s_yy - s_y * s_y)"
+    parts = [f"{xx} AS xx", f"{xy} AS xy", f"{yy} AS yy"]
+    for t in "uv":
+        parts += [f"({n} * s_x{t} - s_x * s_{t}) AS x{t}", f"({n} * s_y{t} - s_y * s_{t}) AS y{t}"]
+    return ", ".join(parts)
+
+
+_SUMS = ", ".join(
+    f"sum({value}) AS s_{name}" for name, value in (
+        ("x", "x"), ("y", "y"), ("xx", "x * x"), ("xy", "x * y"), ("yy", "y * y"), ("u", "u"), ("xu", "x * u"),
+        ("yu", "y * u"), ("v", "v"), ("xv", "x * v"), ("yv", "y * v"))
+)
+_SOLVED = """
+  SELECT *, (u_ - a * s_x - b * s_y) / n AS c, (v_ - d * s_x - e * s_y) / n AS f FROM (
+    SELECT *, s_u AS u_, s_v AS v_, (xu * yy - yu * xy) / (xx * yy - xy * xy) AS a, (yu * xx - xu * xy) / (xx * yy - xy * xy) AS b,
+           (xv * yy - yv * xy) / (xx * yy - xy * xy) AS d, (yv * xx - xv * xy) / (xx * yy - xy * xy) AS e
+    FROM (SELECT *, {least} FROM {source}) WHERE n >= 3 AND xx * yy - xy * xy > 1e-9 * xx * yy)"""
+_oracle(
+    "seeded_affine", ["bounded"],
+    """SELECT pair_id, x1, y1, x2, y2 FROM b WHERE EXISTS (SELECT 1 FROM tested t JOIN supported USING (pair_id, gx, gy)
+         WHERE t.pair_id = b.pair_id AND t.no = b.no)""",
+    b="SELECT *, floor(x1 / 64) AS cx, floor(y1 / 64) AS cy, row_number() OVER () AS no FROM bounded",
+    seed="""
+  SELECT pair_id, cx AS gx, cy AS gy, x1 AS sx1, y1 AS sy1, x2 AS sx2, y2 AS sy2 FROM (SELECT *, row_number() OVER (
+    PARTITION BY pair_id, cx, cy ORDER BY score DESC, x1, y1, x2, y2) AS rn FROM b) WHERE rn = 1""",
+    met="""
+  SELECT b.pair_id, no, gx, gy, x1 - sx1 AS x, y1 - sy1 AS y, x2 - x1 - (sx2 - sx1) AS u, y2 - y1 - (sy2 - sy1) AS v
+  FROM b JOIN (SELECT *, gx + dx AS jx, gy + dy AS jy FROM seed, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)) s
+    ON b.pair_id = s.pair_id AND b.cx = jx AND b.cy = jy""",
+    summed=f"""
+  SELECT pair_id, gx, gy, cast(count(*) AS double) AS n, {_SUMS} FROM met WHERE abs(u) <= 2 AND abs(v) <= 2 GROUP BY ALL""",
+    motion=_SOLVED.format(least=_least_squares("n"), source="summed"),
+    tested="""
+  SELECT met.pair_id, no, gx, gy FROM met JOIN motion m USING (pair_id, gx, gy)
+  WHERE (a * x + b * y + c - met.u) * (a * x + b * y + c - met.u) + (d * x + e * y + f - met.v) * (d * x + e * y + f - met.v) <= 0.6e0 * 0.6e0""",
+    supported="SELECT pair_id, gx, gy FROM tested GROUP BY ALL HAVING count(*) >= 12",
+)
 _oracle(
     "top_keypoints", ["corr"],
     """SELECT pair_id, chip, cast(rn AS int) AS rank, score, x1, y1, x2, y2 FROM (
@@ -607,6 +648,19 @@ _oracle(
     **_fit_members("pair_id, chip", "bounded", 23), **_winners("pair_id, chip", _grid([2], [0.95]), "med"),
 )
 
+_oracle(
+    "ransac_refit", ["bounded"],
+    f"""SELECT pair_id, chip, '4' AS ransac_method, ransac_threshold, ransac_confidence, cast(h AS int) AS h, total AS n,
+          inliers, {', '.join(f"{_r(c, 4)} AS r_{c}" for c in 'abcdef')} FROM refined""",
+    **_fit_members("pair_id, chip", "bounded", 23), **_winners("pair_id, chip", _grid([2], [0.95]), "inliers DESC"),
+    near="""
+  SELECT pair_id, chip, won.h, won.n AS total, inliers, ransac_threshold, ransac_confidence, x1 AS x, y1 AS y, x2 AS u, y2 AS v
+  FROM res JOIN won USING (pair_id, chip, h) WHERE r <= 2""",
+    summed=f"""
+  SELECT pair_id, chip, h, total, inliers, ransac_threshold, ransac_confidence, count(*) AS n, {_SUMS} FROM near GROUP BY ALL""",
+    refined=_SOLVED.format(least=_least_squares("n"), source="summed"),
+)
+
 
 def _consensus_members(source: str, pair: str, chip_inliers: str) -> dict[str, str]:
     keys = f"{pair}, chip"

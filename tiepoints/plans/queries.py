@@ -489,6 +489,12 @@ def local_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("pair_id", "x1", "y1", "x2", "y2")
 
 
+@query
+def seeded_affine(spark: SparkSession, sf: str) -> DataFrame:
+    kept = matching.seeded_affine(_bounded(spark, sf), PAIR, cell=64.0, spread=2.0, radius=0.6, least=12)
+    return kept.select("pair_id", "x1", "y1", "x2", "y2")
+
+
 @query
 def top_keypoints(spark: SparkSession, sf: str) -> DataFrame:
     top = matching.top_keypoints(
@@ -520,6 +526,12 @@ def ransac_median(spark: SparkSession, sf: str) -> DataFrame:
     return _fit_columns(fits, CHIP)
 
 
+@query
+def ransac_refit(spark: SparkSession, sf: str) -> DataFrame:
+    fits = ransac.refit_affine(_bounded(spark, sf), CHIP, thresholds=[2.0], confidences=[0.95])
+    return fits.select(*CHIP, *FIT, "h", "n", "inliers", *[r6(f"refined.{c}", 4).alias(f"r_{c}") for c in "abcdef"])
+
+
 def _single_fit(points: DataFrame, keys: list[str], **sums: Column) -> DataFrame:
     """One fit per group with sums over its inliers, by the scoring pass."""
     carry = {name: ransac.inlier_sum(value) for name, value in sums.items()}
