@@ -115,16 +115,15 @@ def test_local_consistency_against_brute_force(spark):
     assert 50 < len(expected) < len(rows)
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_nearest_gcp_against_brute_force(spark, limit, monkeypatch):
-    monkeypatch.setattr(geo, "MAX_BROADCAST_GCPS", limit)
-    monkeypatch.setattr(geo, "MAX_PER_ROW", 8)
+@pytest.mark.parametrize("most, levels", [(1024, 30), (8, 30), (2, 3)])
+def test_nearest_gcp_against_brute_force(spark, most, levels, monkeypatch):
+    monkeypatch.setattr(geo, "LEVELS", levels)
     rng = np.random.default_rng(2)
     points, marks = rng.uniform(0, 300, (80, 2)), rng.uniform(0, 100, (150, 2))
     marks[10] = marks[9]
     matches = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "m int, map_x1 double, map_y1 double")
     gcps = spark.createDataFrame([(i, *map(float, g)) for i, g in enumerate(marks)], "gcp_id bigint, X double, Y double")
-    found = {r["m"]: (r["gcp_id"], r["gcp_distance"]) for r in geo.nearest_gcp(matches, gcps, 50.0).collect()}
+    found = {r["m"]: (r["gcp_id"], r["gcp_distance"]) for r in geo.nearest_gcp(matches, gcps, 50.0, most=most).collect()}
     d = np.hypot(*(points[:, None, :] - marks[None, :, :]).transpose(2, 0, 1))
     assert len(found) == 80
     for i in range(80):
@@ -134,6 +133,27 @@ def test_nearest_gcp_against_brute_force(spark, limit, monkeypatch):
             assert found[i] == (None, None)
 
 
+def test_crowds_of_control_points_are_split(spark):
+    """A third of all points in one cell, most of them in one corner of it: bounded lists, few of them read."""
+    rng = np.random.default_rng(9)
+    marks = np.concatenate([rng.uniform(0, 900, (1000, 2)), 100 + rng.uniform(0, 40, (300, 2)), 100 + rng.uniform(0, 1, (500, 2))])
+    marks = np.concatenate([marks, marks[-1:].repeat(50, axis=0)])
+    gcps = spark.createDataFrame([(i, *map(float, g)) for i, g in enumerate(marks)], "gcp_id bigint, X double, Y double")
+    whole, split = geo.leaves_of(gcps, 60.0, most=40)
+    leaf = ["_level", "_lx", "_ly", "_slot"]
+    sizes = [r["count"] for part in (whole, split) for r in part.groupBy(*leaf).count().collect()]
+    assert max(sizes) <= 40 and sum(sizes) == 1800 and split.agg(F.max("_level")).first()[0] >= 4
+    at = np.concatenate([rng.uniform(90, 150, (60, 2)), rng.uniform(0, 900, (60, 2)), marks[:5]])
+    matches = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)] + [(999, None, 1.0)], "m int, map_x1 double, map_y1 double")
+    found = {r["m"]: (r["gcp_id"], r["gcp_distance"]) for r in geo.nearest_gcp(matches, gcps, 60.0, most=40).collect()}
+    d = np.hypot(*(at[:, None, :] - marks[None, :, :]).transpose(2, 0, 1))
+    for i in range(len(at)):
+        near = d[i].min() <= 60
+        assert found[i][0] == (d[i].argmin() if near else None), i
+    assert found[999] == (None, None) and len(found) == 126
+    assert geo.nearest_gcp(matches, gcps.limit(0), 60.0).where("gcp_id is not null").count() == 0
+
+
 @pytest.mark.parametrize("whole", [20_000, 0])
 def test_percentiles_count_values_not_rows(spark, whole, monkeypatch):
     monkeypatch.setattr(stats, "WHOLE_GROUP", whole)
