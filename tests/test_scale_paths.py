@@ -87,6 +87,41 @@ def test_tiles_do_not_change_matches(spark, copies):
         assert whole == tiled and whole
 
 
+def clustered(spark, centres, each, copies=0):
+    """Tight clusters on both sides of a block, and a small block beside it."""
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(centres, 16))
+    vectors = np.concatenate([m + 0.02 * rng.normal(size=(each, 16)) for m in middle])
+    vectors = vectors[rng.permutation(len(vectors))] * rng.uniform(0.9, 1.1, (len(vectors), 1))
+    vectors[:copies] = vectors[0]
+    rows = [(1, i % 2, i, v.tolist()) for i, v in enumerate(vectors)] + [(2, i % 2, 10**6 + i, rng.normal(size=16).tolist()) for i in range(30)]
+    return spark.createDataFrame(rows, "block bigint, side int, id bigint, d array<float>").repartition(4), rows
+
+
+@pytest.mark.parametrize("copies", [0, 300])
+def test_pivots_find_the_same_matches_with_less_work(spark, copies):
+    desc, rows = clustered(spark, 40, 40, copies)
+    for match in (matching.mutual_nn, matching.smnn_ratio):
+        whole, pruned = (sorted((r["block"], r["id0"], r["id1"], round(r[3], 6)) for r in match(desc, tile=t).collect()) for t in (10**5, 40))
+        assert whole == pruned and len(whole) > 20
+    for needed in (matching._may_be_largest_product, matching._may_be_two_nearest):
+        placed, pairs = matching.needed_tiles(desc.where("block = 1"), needed, 40)
+        size = {(r["side"], r["_cluster"]): r["count"] for r in placed.groupBy("side", "_cluster").count().collect()}
+        work = sum(size[0, r["c0"]] * size[1, r["c1"]] for r in pairs.collect())
+        half = len(rows) // 2
+        assert work < (0.35 if needed is matching._may_be_two_nearest else 0.5) * half**2, work / half**2
+
+
+@pytest.mark.parametrize("dims", [2, 16])
+def test_pivots_without_structure_lose_nothing(spark, dims):
+    rng = np.random.default_rng(8)
+    rows = [(1, int(i % 3 == 0), i, (rng.normal(size=dims) * (0.0 if i % 50 == 0 else 1.0)).tolist()) for i in range(400)]
+    desc = spark.createDataFrame(rows, "block bigint, side int, id bigint, d array<float>")
+    for match in (matching.mutual_nn, matching.smnn_ratio):
+        whole, pruned = (sorted((r["id0"], r["id1"], round(r[3], 6)) for r in match(desc, tile=t).collect()) for t in (10**5, 15))
+        assert whole == pruned and whole
+
+
 def test_mutual_nn_against_brute_force(spark):
     desc, rows = descriptors(spark, 80)
     a = np.array([r[3] for r in rows if r[1] == 0], dtype=np.float32).astype(float)

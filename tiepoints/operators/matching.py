@@ -1,5 +1,9 @@
 """Descriptor matching within blocks (chip pairs), and filters on matches.
 
+Blocks of a few tiles are compared as they are, with matrix products. Nearest neighbours of larger blocks are
+searched by pivots: descriptors are clustered around a sample of them, and only pairs of clusters are compared
+in which the bounds from pivots and radii leave room for a best match. The result is the same.
+
 The definitions are this package's own. Similarities are compared at nine decimals, so that
 equal descriptors tie whatever the order of summation; ties go to the lower id.
 """
@@ -25,6 +29,7 @@ SMNN_RATIO = 0.95
 MAX_KEYPOINTS = 2048
 
 TILE = 2048
+LARGE = 4  # a block of more tiles than this, both sides together, is searched by pivots
 _UNITS = 1e9
 
 Kernel = Callable[[np.ndarray, np.ndarray, pa.Table, pa.Table], Iterator[dict[str, np.ndarray]]]
@@ -39,12 +44,12 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
-def _tiled(desc: DataFrame, kernel: Kernel, out: str, tile: int) -> DataFrame:
-    """Run ``kernel`` on every tile of every block and return its rows with ``block``.
+def _hash_tiles(desc: DataFrame, tile: int) -> DataFrame:
+    """Every descriptor with the tiles ``_t0, _t1`` that it takes part in.
 
     Each side of a block is cut by hash into chunks of about ``tile`` rows and every pair of
     opposite chunks is one task-sized group, so a block that holds a third of all rows becomes
-    many tiles. A kernel returns a bounded number of rows per descriptor, never its pairs.
+    many tiles.
     """
     size = desc.groupBy("block").agg(
         F.ceil(F.count_if(F.col("side") == 0) / tile).cast("int").alias("_n0"),
@@ -56,7 +61,7 @@ def _tiled(desc: DataFrame, kernel: Kernel, out: str, tile: int) -> DataFrame:
     opposite = F.explode(
         F.sequence(F.lit(0), F.when(first, F.col("_n1")).otherwise(F.col("_n0")) - 1)
     )
-    tiles = (
+    return (
         sized.withColumn("_own", own)
         .withColumn("_other", opposite)
         .withColumns(
@@ -68,6 +73,20 @@ def _tiled(desc: DataFrame, kernel: Kernel, out: str, tile: int) -> DataFrame:
         .drop("_n0", "_n1", "_own", "_other")
     )
 
+
+_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<float>": pa.list_(pa.float32())}
+
+
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(name, _TYPES[kind]) for name, kind in (field.split() for field in ddl.split(", "))])
+
+
+def _on_tiles(tiles: DataFrame, kernel: Kernel, out: str) -> DataFrame:
+    """Run ``kernel`` on every tile and return its rows with ``block``.
+
+    A kernel returns a bounded number of rows per descriptor, never its pairs.
+    """
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.rename_columns(left.column_names)
         if not (left.num_rows and right.num_rows):
@@ -81,10 +100,8 @@ def _tiled(desc: DataFrame, kernel: Kernel, out: str, tile: int) -> DataFrame:
         return pa.concat_tables(parts)
 
     ddl = f"block bigint, side int, {out}"
-    types = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
-    schema = pa.schema(
-        [(name, types[kind]) for name, kind in (field.split() for field in ddl.split(", "))]
-    )
+    schema = _schema(ddl)
+    first = F.col("side") == 0
     # Both sides come from one table; new names keep their columns apart.
     second = tiles.where(~first).withColumnsRenamed({c: f"{c}_b" for c in tiles.columns})
     return (
@@ -94,6 +111,144 @@ def _tiled(desc: DataFrame, kernel: Kernel, out: str, tile: int) -> DataFrame:
     )
 
 
+def _tiled(desc: DataFrame, kernel: Kernel, out: str, tile: int) -> DataFrame:
+    return _on_tiles(_hash_tiles(desc, tile), kernel, out)
+
+
+# --- tiles by pivots ----------------------------------------------------------------------------
+
+#: For descriptors, pivots of the other side and the radii of their clusters: which clusters each may need.
+Needed = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+PIVOTS = 8
+MARGIN = 1e-6  # of rounding; more than the steps in which similarities are compared
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
+    return np.sqrt(np.maximum(squares, 0.0))
+
+
+def _may_be_largest_product(a: np.ndarray, pivots: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """A member x of a cluster with pivot p has a.x <= a.p + |a| r, and pivots are descriptors themselves."""
+    at_pivot = a @ pivots.T
+    norm = np.sqrt((a * a).sum(axis=1))
+    return at_pivot + norm[:, None] * (radii[None, :] + MARGIN) + MARGIN >= at_pivot.max(axis=1)[:, None]
+
+
+def _may_be_two_nearest(a: np.ndarray, pivots: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """By the triangle inequality no member is nearer than d(a, p) - r; two are as near as the second pivot."""
+    d = _distances(a, pivots)
+    if d.shape[1] < 2:
+        return np.ones(d.shape, bool)
+    return d - radii[None, :] - MARGIN <= np.partition(d, 1, axis=1)[:, 1:2]
+
+
+def _pivots(desc: DataFrame, tile: int) -> DataFrame:
+    """Per block and side: its size, the number of its chunks, and about ``PIVOTS`` of ``tile`` descriptors as pivots."""
+    h, own = F.xxhash64("id"), F.struct("id", "d")
+    found = desc.groupBy("block", "side").agg(
+        F.count("*").alias("_n"), F.collect_list(F.when(F.pmod(h, F.lit(max(1, tile // PIVOTS))) == 0, own)).alias("_many"), F.min_by(own, h).alias("_one")
+    )
+    pivots = F.array_sort(F.when(F.size("_many") > 0, F.col("_many")).otherwise(F.array("_one")))
+    return found.select("block", "side", "_n", F.ceil(F.col("_n") / tile).cast("int").alias("_chunks"), pivots.alias("_pivots"))
+
+
+def _per_chunk(left: DataFrame, right: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], ddl: str) -> DataFrame:
+    """Run ``kernel`` on every chunk of descriptors with the one row that ``right`` has for its block and side."""
+    each = right.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    each = each.withColumnsRenamed({c: f"{c}_b" for c in ("block", "side", "_chunk")})
+
+    def run(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        return kernel(rows, pivots) if rows.num_rows and pivots.num_rows else _schema(ddl).empty_table()
+
+    return (
+        left.groupBy("block", "side", "_chunk").cogroup(each.groupBy("block_b", "side_b", "_chunk_b")).applyInArrow(run, ddl)
+    )
+
+
+def _pivot_matrix(table: pa.Table) -> np.ndarray:
+    return np.array([p["d"] for p in table.column("_pivots")[0].as_py()], np.float64)
+
+
+def _clusters(desc: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Every descriptor with the number of its nearest pivot and its distance, as a written table."""
+    sized = join_settled(desc.select("block", "side", "id", "d"), pivots.select("block", "side", "_chunks"), ["block", "side"])
+    chunked = sized.withColumn("_chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.col("_chunks")).cast("int")).drop("_chunks")
+
+    def nearest(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        d = _distances(_matrix(rows), _pivot_matrix(pivots))
+        at = d.argmin(axis=1)
+        rows = rows.append_column("_cluster", pa.array(at, pa.int32()))
+        return rows.append_column("_away", pa.array(d[np.arange(len(at)), at])).cast(_schema(ddl))
+
+    ddl = "block bigint, side int, id bigint, d array<float>, _chunk int, _cluster int, _away double"
+    return settle(_per_chunk(chunked.select("block", "side", "id", "d", "_chunk"), pivots, nearest, ddl), "clusters")
+
+
+def needed_tiles(desc: DataFrame, needed: Needed, tile: int) -> tuple[DataFrame, DataFrame]:
+    """The clustered descriptors, and the pairs of clusters (block, c0, c1) in which a best match can be."""
+    pivots = settle(_pivots(desc, tile), "pivots")
+    placed = _clusters(desc, pivots)
+    radii = placed.groupBy("block", "side", "_cluster").agg(F.max("_away").alias("r"))
+    radii = radii.groupBy("block", "side").agg(F.array_sort(F.collect_list(F.struct("_cluster", "r"))).alias("_radii"))
+    # Each side asks the pivots of the other, in as many copies as it has chunks itself.
+    asked = pivots.drop("_chunks").join(radii, ["block", "side"]).withColumn("side", 1 - F.col("side"))
+    asked = asked.join(pivots.select("block", "side", "_chunks"), ["block", "side"])
+
+    def pairs(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        matrix = _pivot_matrix(pivots)
+        radius = np.full(len(matrix), -np.inf)  # a pivot without members is needed by none
+        for entry in pivots.column("_radii")[0].as_py():
+            radius[entry["_cluster"]] = entry["r"]
+        own = rows.column("_cluster").to_numpy()
+        may = needed(_matrix(rows), matrix, radius) & np.isfinite(radius)[None, :]
+        row, other = np.nonzero(may)
+        found = np.unique(own[row].astype(np.int64) * len(matrix) + other)
+        block, side = rows.column("block")[0].as_py(), rows.column("side")[0].as_py()
+        columns = {"block": np.full(len(found), block), "side": np.full(len(found), side, np.int32), "own": found // len(matrix), "other": found % len(matrix)}
+        return pa.table({f.name: pa.array(columns[f.name], f.type) for f in _schema(ddl)})
+
+    ddl = "block bigint, side int, own int, other int"
+    found = _per_chunk(placed, asked.select("block", "side", "_chunks", "_pivots", "_radii"), pairs, ddl)
+    first = F.col("side") == 0
+    either = found.select("block", F.when(first, F.col("own")).otherwise(F.col("other")).alias("c0"), F.when(first, F.col("other")).otherwise(F.col("own")).alias("c1"))
+    return placed, settle(either.distinct(), "tiles")
+
+
+def _pivot_tiles(desc: DataFrame, needed: Needed, tile: int) -> DataFrame:
+    """Tiles as pairs of clusters instead of pairs of chunks, without those that can hold no best match.
+
+    A cluster of more than twice ``tile`` descriptors, say of copies, is cut by hash into pieces.
+    """
+    placed, pairs = needed_tiles(desc, needed, tile)
+    sizes = placed.groupBy("block", "side", "_cluster").agg(F.count("*").alias("n"))
+    sizes = sizes.select("block", "side", "_cluster", F.ceil(F.col("n") / (2 * tile)).cast("int").alias("pieces"))
+    sizes = settle(sizes, "sizes")
+    out = []
+    for side, own, other in ((0, "c0", "c1"), (1, "c1", "c0")):
+        cut = sizes.where(F.col("side") == side).select("block", F.col("_cluster").alias(own), F.col("pieces").alias("_own_pieces"))
+        beside = sizes.where(F.col("side") == 1 - side).select("block", F.col("_cluster").alias(other), F.col("pieces").alias("_other_pieces"))
+        met = settle(pairs.join(cut, ["block", own]).join(beside, ["block", other]), "pairs")
+        rows = placed.where(F.col("side") == side).select("block", "side", "id", "d", F.col("_cluster").alias(own))
+        rows = join_settled(rows, met, ["block", own])
+        piece = F.pmod(F.xxhash64("id", F.lit(2)), F.col("_own_pieces")).cast("string")
+        rows = rows.withColumn("_there", F.explode(F.sequence(F.lit(0), F.col("_other_pieces") - 1)))
+        there = F.col("_there").cast("string")
+        named = {own: F.concat_ws(".", F.col(own).cast("string"), piece), other: F.concat_ws(".", F.col(other).cast("string"), there)}
+        out.append(rows.select("block", "side", "id", "d", named["c0"].alias("_t0"), named["c1"].alias("_t1")))
+    return out[0].unionByName(out[1])
+
+
+def _best_tiles(desc: DataFrame, needed: Needed, kernel: Kernel, tile: int) -> DataFrame:
+    """The best candidates of every descriptor: small blocks as one tile, large ones by pivots."""
+    out = "id bigint, cand bigint, score bigint"
+    size = settle(desc.groupBy("block").agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE * tile).drop("_n"), "large-blocks")
+    if not size.limit(1).count():
+        return _tiled(desc, kernel, out, tile)
+    small = _tiled(join_settled(desc, size, ["block"], "left_anti"), kernel, out, tile)
+    return small.unionByName(_on_tiles(_pivot_tiles(join_settled(desc, size, ["block"], "left_semi"), needed, tile), kernel, out))
+
+
 def _ids(table: pa.Table) -> np.ndarray:
     return table.column("id").to_numpy()
 
@@ -144,13 +299,12 @@ def _mutual(best: DataFrame) -> DataFrame:
 
 def mutual_nn(desc: DataFrame, tile: int = TILE) -> DataFrame:
     """Mutual nearest neighbours by dot product: ``block, id0, id1, similarity``."""
-    best = _tiled(desc, _dot_kernel, "id bigint, cand bigint, score bigint", tile)
+    best = _best_tiles(desc, _may_be_largest_product, _dot_kernel, tile)
     return _mutual(best).select("block", "id0", "id1", (F.col("score") / _UNITS).alias("similarity"))
 
 
 def _distance_kernel(a, b, left, right):
-    squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
-    scores = -_units(np.sqrt(np.maximum(squares, 0.0)))
+    scores = -_units(_distances(a, b))
     for side, s, own, other in _both_sides(scores, left, right):
         for _ in range(min(2, s.shape[1])):
             top, cand = _best(s, other)
@@ -165,7 +319,7 @@ def smnn_ratio(desc: DataFrame, ratio: float = SMNN_RATIO, tile: int = TILE) ->
     single candidate, or with two at distance 0, has no ratio and is dropped.
     Output: ``block, id0, id1, distance, ratio0, ratio1``.
     """
-    two = _tiled(desc, _distance_kernel, "id bigint, cand bigint, score bigint", tile)
+    two = _best_tiles(desc, _may_be_two_nearest, _distance_kernel, tile)
     keys = ["block", "side", "id"]
     # At most two rows per tile of the descriptor reach this window.
     ranked = two.withColumn(
