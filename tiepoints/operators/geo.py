@@ -44,12 +44,12 @@ def leaves_of(gcps: DataFrame, radius: float, most: int = MOST) -> tuple[DataFra
     whole, split, rest = None, [], _at_level(unique, radius, 0)
     for level in range(LEVELS + 1):
         crowded = rest.groupBy(*inside).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
-        crowded = settle(crowded, "crowded")
-        if not crowded.limit(1).count():
+        if crowded.isEmpty():
             if whole is None:
                 return rest, None
             split.append(rest)
             break
+        crowded = settle(crowded, "crowded")
         calm = join_settled(rest, crowded.drop("_n"), inside, "left_anti")
         if whole is None:
             whole = calm

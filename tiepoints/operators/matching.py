@@ -242,9 +242,10 @@ def _pivot_tiles(desc: DataFrame, needed: Needed, tile: int) -> DataFrame:
 def _best_tiles(desc: DataFrame, needed: Needed, kernel: Kernel, tile: int) -> DataFrame:
     """The best candidates of every descriptor: small blocks as one tile, large ones by pivots."""
     out = "id bigint, cand bigint, score bigint"
-    size = settle(desc.groupBy("block").agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE * tile).drop("_n"), "large-blocks")
-    if not size.limit(1).count():
+    size = desc.groupBy("block").agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE * tile).drop("_n")
+    if size.isEmpty():
         return _tiled(desc, kernel, out, tile)
+    size = settle(size, "large-blocks")
     small = _tiled(join_settled(desc, size, ["block"], "left_anti"), kernel, out, tile)
     return small.unionByName(_on_tiles(_pivot_tiles(join_settled(desc, size, ["block"], "left_semi"), needed, tile), kernel, out))
 
