@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiepoints.llm import bpe, decontam, neardup, secrets, toxicity
-from tiepoints.session import fresh_path, ship_package
+from tiepoints.session import fresh_path, scratch, ship_package
 
 #: Five-word shingles and a similarity of 0.8.
 NEAR = neardup.Rule(words=5, num=80, den=100)
@@ -64,10 +64,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, with a written table between two stages."""
+    """All stages over ``documents``, with a written table between two stages.
+
+    What a stage wrote for itself is deleted once its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -1,9 +1,12 @@
 """The paths taken beyond the size limits give the same rows as those below them."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tiepoints import session
 from tiepoints.operators import geo, joins, matching, stats
 from tiepoints.session import settle, work_dir
 
@@ -46,6 +49,22 @@ def test_work_dir_is_the_configured_one(spark):
     assert work_dir(spark) == configured if configured else work_dir(spark) == work_dir(spark)
 
 
+def test_scratch_deletes_what_was_settled_inside_and_nothing_else(spark):
+    folder = Path(work_dir(spark).removeprefix("file:").replace("///", "/"))
+    before = settle(spark.range(5), "kept-before")
+    outer = set(folder.iterdir())
+    with session.scratch(spark):
+        one = settle(spark.range(7), "inside")
+        with session.scratch(spark):
+            inner = settle(one.where("id > 2"), "inner")
+            assert inner.count() == 4 and len(set(folder.iterdir()) - outer) == 2
+        assert one.count() == 7 and len(set(folder.iterdir()) - outer) == 1
+    with pytest.raises(ValueError, match="stop"), session.scratch(spark):
+        settle(spark.range(3), "failed")
+        raise ValueError("stop")
+    assert set(folder.iterdir()) == outer and before.count() == 5 and not session._scratches
+
+
 def test_percentiles_from_brackets_are_exact(spark, hot, monkeypatch):
     monkeypatch.setattr(stats, "WHOLE_GROUP", 0)
     monkeypatch.setattr(stats, "SKETCH_ACCURACY", 200)

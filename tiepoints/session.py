@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,9 +58,36 @@ def work_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths handed out inside every open ``scratch``, the innermost last.
+_scratches: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the work folder that no other run uses."""
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scratches:
+        _scratches[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what operators wrote to the work folder inside, so that long jobs do not fill it.
+
+    Results must be written or collected inside, since they read those tables. Tables of an enclosing
+    ``scratch`` stay. A folder that cannot be deleted is left behind; it is not worth failing a finished job.
+    """
+    paths: list[str] = []
+    _scratches.append(paths)
+    try:
+        yield
+    finally:
+        _scratches.remove(paths)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            with suppress(Exception):
+                folder.getFileSystem(conf).delete(folder, True)
 
 
 _shipped: set[str] = set()
