@@ -56,13 +56,18 @@ _FRAGMENTS = {
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY tag ORDER BY dense, ordinal) AS rn
     FROM specs WHERE NOT regexp_matches(tag, '[_( ]')) WHERE rn = 1""",
+    "confs": """
+  SELECT DISTINCT kind, name, case when name LIKE '%7' then NULL else lower(name) end AS model_name FROM (
+    SELECT 'extract' AS kind, p_type AS name FROM part WHERE p_type <> 'ECONOMY'
+    UNION ALL SELECT 'match', p_brand FROM part WHERE p_brand <> 'Brand#2'
+    UNION ALL SELECT 'dense', p_brand FROM part WHERE p_brand <> 'Brand#17')""",
     "resolved": """
-  SELECT *, case when NOT dense AND extractor = 'ECONOMY' then 'extractor'
-                 when NOT dense AND matcher = 'Brand#2' then 'matcher'
-                 when dense AND matcher = 'Brand#17' then 'dense matcher' end AS skip_reason,
-         case when dense then null else lower(extractor) end AS feature_name,
-         case when matcher LIKE '%7' then null else lower(matcher) end AS matcher_name
-  FROM first_valid""",
+  SELECT f.*, case when NOT f.dense AND e.name IS NULL then 'extractor'
+                   when m.name IS NULL then case when f.dense then 'dense matcher' else 'matcher' end end AS skip_reason,
+         e.model_name AS feature_name, m.model_name AS matcher_name
+  FROM first_valid f
+    LEFT JOIN confs e ON NOT f.dense AND e.kind = 'extract' AND e.name = f.extractor
+    LEFT JOIN confs m ON m.kind = case when f.dense then 'dense' else 'match' end AND m.name = f.matcher""",
     "cat": """
   SELECT * FROM resolved WHERE skip_reason IS NULL""",
     "runs": """
@@ -172,7 +177,7 @@ _FRAGMENTS = {
 
 _NEEDS = {
     "corr": [], "bounded": ["corr"], "clear": ["bounded"], "enough": ["clear"], "placed": ["clear"],
-    "located": ["placed"], "specs": [], "first_valid": ["specs"], "resolved": ["first_valid"],
+    "located": ["placed"], "specs": [], "first_valid": ["specs"], "confs": [], "resolved": ["first_valid", "confs"],
     "cat": ["resolved"], "runs": [], "outcomes": ["runs"], "pixels": [], "normalized": ["pixels"],
     "gate": ["normalized"], "filled": ["normalized"], "numbered": ["corr"], "chosen": ["numbered"],
     "tested": ["chosen"], "windows": ["tested"], "judged": ["windows"],
