@@ -36,6 +36,26 @@ def test_known_model_is_recovered(spark, score, copies):
     assert kept.columns == df.columns and kept.count() == 240
 
 
+@pytest.mark.parametrize("n", [3, 7, 400])
+def test_every_slot_takes_the_first_point_from_its_target_on(spark, n):
+    count = 23
+    rows = affine_points(n, n // 5, seed=n)
+    df = spark.createDataFrame(rows, POINTS).repartition(3)
+    hashes = {tuple(r)[1:]: r[0] for r in df.select(ransac.point_hash(*map(F.col, ("x1", "y1", "x2", "y2"))), "x1", "y1", "x2", "y2").collect()}
+    target = lambda h, slot: (h * (7919, 104729, 1299709)[slot] % count + slot * count) * (ransac.RING // (3 * count))
+    assert len({target(h, s) for h in range(count) for s in range(3)}) == 3 * count
+    want = {}
+    for h in range(count):
+        slots = [min(hashes, key=lambda p: (hashes[p] - target(h, s)) % ransac.RING) for s in range(3)]
+        if len(set(slots)) == 3:
+            a = np.array([[x, y, 1.0] for x, y, _, _ in slots])
+            want[h] = np.linalg.solve(a, [[u, v] for _, _, u, v in slots]).T.ravel()
+    got = {m["h"]: [m["model"][c] for c in "abcdef"] for r in ransac.affine_hypotheses(df, ["g"], count).collect() for m in r["models"]}
+    assert want and set(got) == set(want)
+    for h, model in want.items():
+        assert np.allclose(got[h], model, rtol=1e-6, atol=1e-6)
+
+
 def test_degenerate_groups_have_no_fit(spark):
     rows = [(1, 0.0, 0.0, 1.0, 1.0)] * 50 + [(2, float(i), float(i), 0.0, 0.0) for i in range(50)]
     rows += [(3, 0.0, 0.0, 0.0, 0.0), (3, 1.0, 0.0, 1.0, 0.0)]

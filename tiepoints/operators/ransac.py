@@ -1,9 +1,11 @@
 """Robust affine fits per group of correspondences.
 
-The hypotheses are this package's own, deterministic choice. Points are hashed into buckets
-and the lowest hash of every bucket represents it; hypothesis ``h`` takes three of these
-representatives. That is one aggregation with map-side combine, whatever the size of the group
-and however many copies of a point it holds. Scoring is linear in points.
+The hypotheses are this package's own, deterministic choice. Points have a hash on a ring, and each of the
+three slots of every hypothesis has a target on it; of all points of the group the slot takes the first one
+from its target on, whose way (hash - target) mod ring is shortest. So any point can fill any slot, and
+equally likely. As targets cut the ring into equal arcs, the first point of every arc is all that is needed:
+one aggregation with map-side combine, whatever the size of the group and however many copies of a point it
+holds. Scoring is linear in points.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ from pyspark.sql import functions as F
 from tiepoints.functions.geometry import affine_from_sums, affine_residual, moments
 from tiepoints.functions.rasters import let
 from tiepoints.operators.joins import join_settled
-from tiepoints.session import settle
+from tiepoints.session import once, settle
 
 # The default fitting grid. The method code is an opaque label.
 METHODS = ("4",)
 THRESHOLDS = (1.0, 2.0, 3.0)
 CONFIDENCES = (0.91, 0.95, 0.99)
 
-BUCKETS = 256
+RING = 1 << 62
 RESIDUAL_STEPS = 64
 FINE_PIXELS = 64  # steps of equal width up to here, then as many per doubling
 DOUBLINGS = 20
@@ -34,7 +36,7 @@ DOUBLINGS = 20
 _PRIME = 2147483647
 _FACTORS = ((73856093, 19349663, 83492791, 39916801), (32452843, 49979687, 15485863, 67867967))
 _MIXERS = (48271, 16807)
-_STEPS = ((7919, 13), (104729, 101), (1299709, 557))
+_STRIDES = (7919, 104729, 1299709)  # primes, so that they visit all arcs of a third of the ring
 _COORDS = ("x1", "y1", "x2", "y2")
 
 
@@ -84,28 +86,40 @@ def _solve(p: Column, q: Column, r: Column) -> Column:
     )
 
 
+def arc_of(h: Column, slot: int, count: int) -> Column:
+    """Arc whose beginning is the target of a hypothesis' slot: every slot has an arc of its own."""
+    return (h * _STRIDES[slot] % count + slot * count).cast("int")
+
+
 def affine_hypotheses(points: DataFrame, keys: Sequence[str], count: int) -> DataFrame:
-    """Candidate models per group: ``keys, models ARRAY<STRUCT<h, model>>``."""
+    """Candidate models per group: ``keys, models ARRAY<STRUCT<h, model>>``.
+
+    A hypothesis whose slots hold one point twice, or three points on a line, has no model.
+    """
+    arcs = 3 * count
     hashed = points.select(*keys, *_COORDS, point_hash(*(F.col(c) for c in _COORDS)).alias("_h"))
+    arc = F.least(F.expr(f"_h div {RING // arcs}L"), F.lit(arcs - 1).cast("bigint")).cast("int")
     # One fixed-width buffer per column, so that this is a hash aggregation.
-    representatives = hashed.groupBy(*keys, (F.col("_h") % BUCKETS).alias("_bucket")).agg(
-        F.min("_h").alias("_h"), *[F.min_by(c, "_h").alias(c) for c in _COORDS]
-    )
+    firsts = hashed.groupBy(*keys, arc.alias("_arc")).agg(*[F.min_by(c, "_h").alias(c) for c in _COORDS])
     sample = (
-        representatives.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("_h", *_COORDS))).alias("_sample"))
+        firsts.groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("_arc", *_COORDS))).alias("_sample"))
         .where(F.size("_sample") >= 3)
     )
-    size = F.size("_sample").cast("bigint")
+    # Position in the sample for every arc: an empty arc goes to the next one that holds a point, the last ones
+    # to the beginning of the ring.
+    before = lambda i: F.when(i > 0, F.get("_sample", i - 1)["_arc"]).otherwise(-1)
+    reached = F.flatten(F.transform("_sample", lambda s, i: F.array_repeat(i, s["_arc"] - before(i))))
+    sample = once(sample, _reached=reached)
 
-    def pick(h: Column, step: tuple[int, int]) -> Column:
-        return F.get("_sample", ((F.lit(step[0]).cast("bigint") * h + step[1]) % size).cast("int"))
+    def pick(h: Column, slot: int) -> Column:
+        return F.get("_sample", F.coalesce(F.get("_reached", arc_of(h, slot, count)), F.lit(0)))
 
     models = F.filter(
         F.transform(
-            F.sequence(F.lit(0), F.lit(count - 1)),
+            F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")),
             lambda h: F.struct(
-                h.alias("h"), _solve(*(pick(h, step) for step in _STEPS)).alias("model")
+                h.cast("int").alias("h"), _solve(*(pick(h, slot) for slot in range(3))).alias("model")
             ),
         ),
         lambda m: m["model"].isNotNull(),
@@ -124,7 +138,8 @@ def fit_affine(
 ) -> DataFrame:
     """Best affine model of every group for every method, threshold and confidence.
 
-    All fits of the grid share one pass: a confidence only limits which hypotheses count, and
+    All fits of the grid share one pass: the highest confidence says how many hypotheses there are, a lower one
+    only limits which of them count, and
     inliers are summed for all thresholds together. ``score='inliers'`` takes the model with
     most inliers, ``'median'`` the one with the lowest median residual (in the steps of
     ``residual_step``); ties go to the lower hypothesis. Output: ``keys, ransac_method,

@@ -586,20 +586,17 @@ def _fit_members(keys: str, source: str, most: int) -> dict[str, str]:
         "hashed": f"""
   SELECT *, (mix1 * mix1 + mix1 * 48271) % {_P} * 2147483648 + (mix2 * mix2 + mix2 * 16807) % {_P} AS hsh
   FROM (SELECT {keys}, x1, y1, x2, y2, ({mix1}) % {_P} AS mix1, ({mix2}) % {_P} AS mix2 FROM {source})""",
-        "sample": f"""
-  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY hsh, x1, y1, x2, y2) - 1 AS no,
-         count(*) OVER (PARTITION BY {keys}) AS m
-  FROM (SELECT * FROM (SELECT *, row_number() OVER (
-          PARTITION BY {keys}, hsh % 256 ORDER BY hsh, x1, y1, x2, y2) AS rn FROM hashed) WHERE rn = 1)""",
+        "slots": f"""
+  SELECT h, slot, (h * stride % {most} + slot * {most}) * ({1 << 62} // {3 * most}) AS target
+  FROM (SELECT unnest(range({most})) AS h), (VALUES (0, 7919), (1, 104729), (2, 1299709)) AS s(slot, stride)""",
         "picks": f"""
-  SELECT DISTINCT {keys}, m, h, (7919 * h + 13) % m AS i, (104729 * h + 101) % m AS j,
-         (1299709 * h + 557) % m AS k
-  FROM sample, (SELECT unnest(range({most})) AS h) WHERE m >= 3""",
+  SELECT {keys}, h, slot, arg_min({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}, ((hsh - target) + {1 << 62}) % {1 << 62}) AS pt
+  FROM hashed, slots GROUP BY {keys}, h, slot""",
         "triples": f"""
-  SELECT {', '.join(f'm.{k}' for k in keys.split(', '))}, h, p.x1 AS px, p.y1 AS py, p.x2 AS px2, p.y2 AS py2,
-         q.x1 AS qx, q.y1 AS qy, q.x2 AS qx2, q.y2 AS qy2, r.x1 AS rx, r.y1 AS ry, r.x2 AS rx2, r.y2 AS ry2
-  FROM picks m JOIN sample p ON {on} AND p.no = i
-    JOIN sample q ON {on.replace('p.', 'q.')} AND q.no = j JOIN sample r ON {on.replace('p.', 'r.')} AND r.no = k""",
+  SELECT {', '.join(f'p.{k}' for k in keys.split(', '))}, h, p.pt.x1 AS px, p.pt.y1 AS py, p.pt.x2 AS px2, p.pt.y2 AS py2,
+         q.pt.x1 AS qx, q.pt.y1 AS qy, q.pt.x2 AS qx2, q.pt.y2 AS qy2, r.pt.x1 AS rx, r.pt.y1 AS ry, r.pt.x2 AS rx2, r.pt.y2 AS ry2
+  FROM picks p JOIN picks q USING ({keys}, h) JOIN picks r USING ({keys}, h)
+  WHERE p.slot = 0 AND q.slot = 1 AND r.slot = 2""",
         "models": f"""
   SELECT {keys}, h, {a} AS a, {b} AS b, {c} AS c, {d} AS d, {e} AS e, {f} AS f
   FROM (SELECT *, {det} AS det FROM triples) WHERE det <> 0""",
