@@ -186,6 +186,94 @@ def test_terms_far_from_their_entity_are_marked(docs_of):
     assert not found[3]["extra"] and not found[55]["extra"]
 
 
+def brute_entities(text):
+    out = set()
+    for span in brute_personal(text):
+        kind, start, end = span.split(":")
+        value = text[int(start) : int(end)].lower()
+        digits = re.sub("[^0-9]", "", value)
+        if kind == "email":
+            local, domain = value.rsplit("@", 1)
+            out |= {f"email:{value}", f"domain:{domain}"} | {f"name:{w}" for w in re.findall("[a-z]{3,}", local)[:1]}
+        elif kind == "ip":
+            out |= {f"ip:{value}", "network:" + ".".join(value.split(".")[:2])}
+        elif kind == "card":
+            out |= {f"card:{digits}", f"issuer:{digits[:6]}"}
+        else:
+            out |= {f"phone:{digits}", f"area:{digits[:-7]}"}
+    return out
+
+
+def brute_marks(texts):
+    """Per text its terms above the threshold and the disclosure of each, from counts of distinct texts."""
+    distinct = {t or "" for t in texts.values()}
+    words = lambda t: set(re.findall(r"[^\W\d_]{3,}", t.lower()))
+    n_entity, n_term, n_both, outside, entities = Counter(), Counter(), Counter(), {}, {}
+    for t in distinct:
+        rest = t
+        for s in brute_personal(t):
+            _, start, end = s.split(":")
+            rest = rest[: int(start)] + " " * (int(end) - int(start)) + rest[int(end) :]
+        outside[t], entities[t] = words(rest), brute_entities(t)
+        n_entity.update(entities[t])
+        n_term.update(words(t))
+        n_both.update(product(entities[t], outside[t]))
+    marks = {}
+    for t in distinct:
+        for e, w in product(entities[t], outside[t]):
+            if n_both[e, w] >= 2 and n_entity[e] < len(distinct):
+                share = np.log(n_both[e, w] * len(distinct) / (n_entity[e] * n_term[w])) / np.log(len(distinct) / n_entity[e])
+                if share >= 0.8 - 1e-12:
+                    own = marks.setdefault(t, {})
+                    own[w] = max(own.get(w, 0), min(share, 1.0))
+    return marks
+
+
+def brute_extra(text, marks):
+    base = [tuple(map(int, s.split(":")[1:])) for s in brute_personal(text)]
+    out = []
+    for m in re.finditer(r"[^\W\d_]+", text or ""):
+        level = marks.get(m[0].lower())
+        if level is not None and not any(m.start() < e and s < m.end() for s, e in base):
+            out.append((m.start(), m.end(), "removed" if level >= 0.95 else "generalised"))
+    return sorted(out)
+
+
+def test_disclosures_equal_brute_force(docs_of, odd):
+    rng = np.random.default_rng(4)
+    texts = dict(odd)
+    for i in range(300):
+        words = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}" for k in rng.zipf(1.5, 12) % 100]
+        firm = int(rng.integers(0, 12))
+        if i % 3 == 0:
+            words.insert(5, ["ann.{0}@firm{1}.org", "10.{1}.{0}.7", "+1 (2{1}) 555-{0:04d}", "bob{0}@home.net"][i // 3 % 4].format(i % 200, firm))
+            if rng.random() < 0.7:
+                words.append(f"project{'abcdefghijkl'[firm]}")
+        texts[1000 + i] = " ".join(words)
+    texts |= {5000 + i: texts[1000 + 3 * i] for i in range(20)}
+    marks = brute_marks(texts)
+    found = rows(pii.find_personal_data(docs_of(list(texts.items()))))
+    extra = 0
+    for d, t in texts.items():
+        want = brute_extra(t, marks.get(t or "", {}))
+        assert [(s["start"], s["end"], s["kind"]) for s in sorted(found[d]["extra"], key=lambda s: s["start"])] == want, d
+        extra += len(want)
+    assert extra > 20
+
+
+def test_planted_disclosing_terms_are_found_and_others_left(docs_of):
+    """Ten firms have a code name in nine of ten of their texts; common words and other texts stay whole."""
+    codes = [f"codename{c}" for c in "abcdefghij"]
+    texts = {i: prose(i, 40) + " meeting about budget" for i in range(200)}
+    for i in range(200):
+        code = codes[i % 10] if i // 10 % 10 else "nothing"
+        texts[1000 + i] = f"{prose(i // 10, 40)} {code} meeting about budget p{i}.mail@firm{i % 10}.com"
+    found = rows(pii.find_personal_data(docs_of(texts)))
+    marked = {(d, texts[d][s["start"] : s["end"]]) for d, r in found.items() for s in r["extra"]}
+    planted = {(d, c) for d, t in texts.items() for c in codes if c in t}
+    assert marked == planted
+
+
 # --- toxicity -------------------------------------------------------------------------------
 
 

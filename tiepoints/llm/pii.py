@@ -1,6 +1,8 @@
 """Personal data: fixed patterns, and terms that give the protected values away.
 
-Emails, addresses, card and phone numbers found by pattern are the protected entities. A term (a word of
+Emails, addresses, card and phone numbers found by pattern are protected, and so is what several of them have in
+common: the domain and the name of an email, the network of an address, the issuer of a card, the area of a
+phone number. Each of these is an entity; that of one text only tells nothing. A term (a word of
 three letters or more outside of all entities, anywhere in a text that holds the entity) discloses it as far as
 knowing the term tells of the entity: PMI(entity; term) / IC(entity), from counts of distinct texts
 over the whole corpus. 1 means that the term never occurs without the entity. From ``GENERALISE``
@@ -126,8 +128,24 @@ def entity_of(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), plain)
 
 
+def common_parts(span: Column) -> list[Column]:
+    """What a protected value may share with others; null where there is nothing."""
+    plain, digits = F.lower(span["value"]), _digits(span["value"])
+    name = F.nullif(F.regexp_extract(plain, "^[^a-z@]*([a-z]{3,})[^@]*@", 1), F.lit(""))
+    kind = lambda k, value: F.when(span["kind"] == k, value)
+    return [
+        kind("email", F.concat(F.lit("domain:"), F.substring_index(plain, "@", -1))),
+        kind("email", F.concat(F.lit("name:"), name)),
+        kind("ip", F.concat(F.lit("network:"), F.substring_index(plain, ".", 2))),
+        kind("card", F.concat(F.lit("issuer:"), F.substring(digits, 1, 6))),
+        kind("phone", F.concat(F.lit("area:"), digits.substr(F.lit(1), F.length(digits) - 7))),
+    ]
+
+
 def entities_of(spans: Column) -> Column:
-    return F.array_distinct(F.transform(spans, entity_of))
+    """Every protected value and common part, once."""
+    forms = F.flatten(F.transform(spans, lambda s: F.array(entity_of(s), *common_parts(s))))
+    return F.array_distinct(F.array_compact(forms))
 
 
 def outside(text: Column, spans: Column) -> Column:
