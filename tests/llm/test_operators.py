@@ -119,6 +119,37 @@ def test_plain_repeated_passages_are_found(docs_of):
         assert found[d - 1]["text"] == texts[d - 1]
 
 
+def brute_value_steps(values, steps):
+    """Quantile of the middle row of every value among the sorted rows, in exact integers."""
+    known = sorted(v.encode() for v in values if v is not None)
+    return {v.decode(): 1 + min((2 * known.index(v) + known.count(v)) * steps // (2 * len(known)), steps - 1) for v in set(known)}
+
+
+def test_places_on_the_curve_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    sources = [f"https://common.example/{i}" for i in range(40)] + ["https://common.example/7"] * 25 + [None, "", "é"]
+    data = [
+        (int(i), None if i % 50 == 7 else "x" * int(rng.integers(0, 90)), [None, "en", "en", "de", "fr"][int(rng.integers(5))], sources[int(rng.integers(len(sources)))])
+        for i in rng.permutation(500)
+    ]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(5)
+    own = docs.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("c"), (F.octet_length(F.coalesce("text", F.lit(""))) + 8).cast("long").alias("size"))
+    slices = {r[0]: r[1] for r in own.select("doc_id", F.pmod(F.xxhash64("doc_id", "c", "size"), F.lit(sharding.SLICES))).collect()}
+    steps = (1 << sharding.BITS) - 1
+    of_lang, of_source = (brute_value_steps([r[k] for r in data], steps) for k in (2, 3))
+    assert len(set(of_source.values())) > 8  # a common beginning does not make one step of all
+    size = {r[0]: len((r[1] or "").encode()) + 8 for r in data}
+    ordered = sorted(size.values())
+    cuts = sorted({ordered[max(-(-i * len(ordered) // steps) - 1, 0)] for i in range(1, steps)})
+    cells = np.array([[of_lang.get(r[2], 0), of_source.get(r[3], 0), 1 + sum(size[r[0]] > c for c in cuts)] for r in data])
+    curve = sharding.hilbert_index(cells, sharding.BITS)
+    order = [d for *_, d in sorted((curve[i], slices[r[0]], r[0]) for i, r in enumerate(data))]
+    small, larger = divmod(len(order), 24)
+    want = [(d, s, k) for s in range(24) for k, d in enumerate(order[s * small + min(s, larger) :][: small + (s < larger)])]
+    got = [(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard_documents(docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
 # --- personal data --------------------------------------------------------------------------
 
 PLAIN = {

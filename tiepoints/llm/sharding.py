@@ -1,7 +1,8 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
 Every dimension is cut at quantiles of the whole table into ``2 ** BITS`` steps; the steps of a row
-are its cell, and cells are ordered along the Hilbert curve. The ordered rows are cut into
+are its cell, and cells are ordered along the Hilbert curve. Strings are cut by their values: a value's step is
+the quantile of its middle row when all rows are in the order of the values. The ordered rows are cut into
 runs whose row counts differ by at most one (law ``rows``), so every shard is a compact range in all
 dimensions and its files can be skipped by their minima and maxima.
 
@@ -21,8 +22,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tiepoints.llm.common import filled
+from tiepoints.operators.joins import join_settled
 from tiepoints.session import settle
 
 BITS = 4
@@ -57,29 +60,51 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def text_rank(column: Column) -> Column:
-    """A number in the order of the first seven bytes of a string."""
-    head = F.rpad(F.hex(F.substring(column.cast("binary"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("double")
+def value_steps(rows: DataFrame, column: str, steps: int) -> DataFrame:
+    """Distinct values of ``column`` with their ``_step`` from 1 to ``steps``; written.
+
+    Rows are counted per value first, so a value of many rows is one row here. Values are dealt into ranges by
+    order; the sums of the ranges, one row per partition, give each range its beginning, and values are
+    summed up inside their range only.
+    """
+    counts = settle(rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n")), "values")
+    ranged = settle(counts.repartitionByRange(column).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("_range").agg(F.sum("_n").alias("_sum"))
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # over partitions
+    starts = sums.select(
+        "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"),
+        F.sum("_sum").over(W.partitionBy(F.lit(0))).alias("_all"),
+    )
+    inside = W.partitionBy("_range").orderBy(column).rowsBetween(W.unboundedPreceding, -1)
+    ranged = ranged.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    twice = 2 * (F.col("_start") + F.col("_before")) + F.col("_n")  # twice the middle
+    step = F.expr("_twice * _steps div (2 * _all)")
+    placed = ranged.join(F.broadcast(starts), "_range").withColumns({"_twice": twice, "_steps": F.lit(steps)})
+    return settle(placed.select(column, (1 + F.least(step, F.lit(steps - 1))).cast("int").alias("_step")), "value-steps")
 
 
 def with_steps(rows: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -> DataFrame:
-    """Add one step per dimension: the number of quantile bounds below the value, 0 for null.
+    """Add one step per dimension, ``_s_<name>``: 0 for null; of a string that of ``value_steps``, of a number
+    one more than the number of quantile bounds below it.
 
     Bounds come from a mergeable sketch over all rows, ``2 ** bits - 2`` numbers per dimension.
     """
     steps = (1 << bits) - 1
     shares = [i / steps for i in range(1, steps)]
-    rows = rows.select("*", *[c.cast("double").alias(f"_v_{name}") for name, c in dimensions.items()])
-    bounds = rows.agg(*[F.percentile_approx(f"_v_{name}", shares, 1000).alias(name) for name in dimensions]).first()
-    for name in dimensions:
-        cuts = sorted(set(bounds[name] or []))
-        value = F.col(f"_v_{name}")
-        step = F.lit(1)
-        for cut in cuts:
+    rows = rows.select("*", *[c.alias(f"_v_{name}") for name, c in dimensions.items()])
+    words = [name for name in dimensions if isinstance(rows.schema[f"_v_{name}"].dataType, T.StringType)]
+    numbers = [name for name in dimensions if name not in words]
+    sketches = [F.percentile_approx(F.col(f"_v_{name}").cast("double"), shares, 1000).alias(name) for name in numbers]
+    bounds = rows.agg(*sketches).first() if numbers else {}
+    for name in numbers:
+        value, step = F.col(f"_v_{name}").cast("double"), F.lit(1)
+        for cut in sorted(set(bounds[name] or [])):
             step = step + (value > cut).cast("int")
-        rows = rows.withColumn(f"_s_{name}", F.coalesce(step, F.lit(0))).drop(f"_v_{name}")
-    return rows
+        rows = rows.withColumn(f"_s_{name}", F.coalesce(step, F.lit(0)))
+    for name in words:
+        known = value_steps(rows, f"_v_{name}", steps).withColumnRenamed("_step", f"_s_{name}")
+        rows = join_settled(rows, known, [f"_v_{name}"], "left").withColumn(f"_s_{name}", F.coalesce(f"_s_{name}", F.lit(0)))
+    return rows.drop(*[f"_v_{name}" for name in dimensions])
 
 
 def assign_shards(
@@ -131,8 +156,8 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        text_rank(F.col("lang").cast("string")).alias("lang"),
-        text_rank(F.col("source").cast("string")).alias("source"),
+        F.col("lang").cast("string").alias("lang"),
+        F.col("source").cast("string").alias("source"),
     )
     dimensions = {name: F.col(name) for name in ("lang", "source", "size")}
     placed = assign_shards(rows, dimensions, ["doc_id", "text_crc32", "size"], shards)
