@@ -583,3 +583,19 @@ def test_rows_with_null_or_repeated_ids(spark, docs_of):
         repeats.remove_repeats(repeated),
     ):
         assert result.count() == 5
+
+
+ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@pytest.mark.parametrize("chars, n", [(ALNUM, 24), (ALNUM, 32), (ALNUM + "+/", 40), ("0123456789ABCDEF", 32), (ALNUM[:52], 32)])
+def test_recall_of_entropy_on_planted_keys(chars, n):
+    """Random keys that no base pattern finds, in prose; prose alone has no spans."""
+    rng, hits = np.random.default_rng(5), 0
+    for i in range(500):
+        key = "".join(rng.choice(list(chars), n))
+        text = f"{prose(i, 9)} {key} {prose(i + 1, 9)}"
+        at = text.index(key)
+        hits += any(k == secrets.ENTROPY and a < at + n and at < b for k, a, b in secrets.spans_of(text))
+    assert hits >= 0.95 * 500
+    assert not any(secrets.spans_of(prose(i, 300)) for i in range(100))
