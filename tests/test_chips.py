@@ -226,3 +226,39 @@ def test_a_catalog_in_passes(spark, per_pass):
     specs = [matchers.MatcherSpec(f"step{s}", matchers.phase_correlation, {"step": s}) for s in (64, 32, 128)]
     found = matchers.run_catalog(prepared, specs, ["id"], per_pass).collect()
     assert {r["tag"]: len(r["raw0"]) for r in found} == {"step64": 4, "step32": 16, "step128": 1}
+
+
+def test_points_leave_in_bounded_batches():
+    """What a worker holds depends on points, not on the windows of a Spark batch."""
+    n, ids = 600, list(range(600))
+    batch = pa.RecordBatch.from_pydict({
+        "id": ids, **{c: [1] * n for c in ("w1", "h1", "w2", "h2")},
+        "u1": [None if i % 7 == 0 else b"a" for i in ids], "u2": [b"b"] * n,
+    })
+    calls = []
+
+    def match(image1, image2):
+        calls.append(1)
+        if len(calls) % 5 == 0:
+            raise ValueError("every fifth")
+        return {"mm0": np.zeros((len(calls), 2)), "raw0": [], "raw1": np.ones((3000, 3))}
+
+    made = list(matchers._matched(iter([batch]), [matchers.MatcherSpec("x", lambda: match)], ["id"], "run"))
+    want, met = {}, 0
+    for i in ids:
+        met += i % 7 != 0
+        raises = i % 7 and met % 5 == 0
+        want[i] = (None, None, None, "ValueError: every fifth" if raises else None) if i % 7 == 0 or raises else (met, 0, 3000, None)
+    length = lambda points: None if points is None else len(points)
+    rows = [r for part in made for r in part.to_pylist()]
+    assert [r["id"] for r in rows] == ids
+    assert {r["id"]: (*[length(r[c]) for c in ("mm0", "raw0", "raw1")], r["error"]) for r in rows} == want
+    held = [sum(length(r["mm0"]) or 0 for r in part.to_pylist()) + 3000 * sum(r["raw1"] is not None for r in part.to_pylist()) for part in made]
+    assert len(made) > 1 and max(held) <= matchers.BATCH_POINTS + 4000
+
+
+def test_a_worker_keeps_the_matchers_of_one_pass_only():
+    spec = matchers.MatcherSpec("x", lambda: "model")
+    for run in ("first", "second"):
+        assert matchers._matcher(spec, run, 0) == matchers._matcher(spec, run, 1) == "model"
+    assert set(matchers._loaded) == {("second", 0), ("second", 1)}

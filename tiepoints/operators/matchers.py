@@ -25,30 +25,36 @@ from tiepoints.session import settle
 
 Matcher = Callable[[np.ndarray, np.ndarray], Mapping[str, Any]]
 POINT_SETS = ("mm0", "mm1", "raw0", "raw1")
-POINTS = pa.list_(pa.list_(pa.float32()))
+#: Points of output, a window counting as one more, after which a pass hands over a batch.
+BATCH_POINTS = 1 << 18
 
 
 @dataclass(frozen=True)
 class MatcherSpec:
-    """One catalog row: a tag and how to load its matcher, which happens once per worker."""
+    """One catalog row: a tag and how to load its matcher, which happens once per worker and pass."""
 
     tag: str
     load: Callable[..., Matcher]
     options: Mapping[str, Any] = field(default_factory=dict)
 
 
-# By run: workers are reused, and another run may have other options or weights under the same tag.
-_loaded: dict[str, Matcher | Exception] = {}
+# By run and number: workers are reused, and another run may have other options or weights under the same tag.
+_loaded: dict[tuple[str, int], Matcher | Exception] = {}
 
 
-def _matcher(spec: MatcherSpec, run: str) -> Matcher | Exception:
-    """The worker's matcher of this run; a failed load is remembered and not tried again."""
-    if run not in _loaded:
+def _matcher(spec: MatcherSpec, run: str, number: int) -> Matcher | Exception:
+    """The worker's matcher of this run; a failed load is remembered and not tried again.
+
+    Matchers of other runs are let go, so that a worker never holds more than one pass of a catalog.
+    """
+    for other in [key for key in _loaded if key[0] != run]:
+        del _loaded[other]
+    if (run, number) not in _loaded:
         try:
-            _loaded[run] = spec.load(**spec.options)
+            _loaded[run, number] = spec.load(**spec.options)
         except Exception as error:  # any failure of a foreign model drops its windows only
-            _loaded[run] = error
-    return _loaded[run]
+            _loaded[run, number] = error
+    return _loaded[run, number]
 
 
 def _rgb(pixels: pa.Scalar, height: pa.Scalar, width: pa.Scalar) -> np.ndarray:
@@ -56,18 +62,26 @@ def _rgb(pixels: pa.Scalar, height: pa.Scalar, width: pa.Scalar) -> np.ndarray:
     return np.repeat(gray.reshape(height.as_py(), width.as_py())[:, :, None], 3, axis=2)
 
 
-def _points(found: Any) -> list[list[float]]:
+def _points(found: Any) -> np.ndarray:
     """The first two columns of an N x 2 (or wider) array; an empty prediction has no points."""
     points = np.asarray(found, dtype=np.float32)
     if points.size == 0:
-        return []
+        return np.zeros((0, 2), np.float32)
     if points.ndim != 2 or points.shape[1] < 2:
         raise ValueError(f"points of shape {points.shape}")
-    return points[:, :2].tolist()
+    return points[:, :2].copy()  # not a view, which would keep what the matcher made
+
 
+def _as_lists(rows: Sequence[np.ndarray | None]) -> pa.Array:
+    """Point sets as an Arrow column, without a Python object per point."""
+    ends = np.cumsum([0, *[0 if r is None else len(r) for r in rows]])
+    values = np.concatenate([np.zeros((0, 2), np.float32), *[r for r in rows if r is not None]])
+    pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, 2), pa.int32()), pa.array(values.ravel()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.array([*[r is None for r in rows], False])), pairs)
 
-def _predict(spec: MatcherSpec, run: str, chip1: tuple, chip2: tuple) -> dict[str, Any]:
-    model = _matcher(spec, run)
+
+def _predict(spec: MatcherSpec, run: str, number: int, chip1: tuple, chip2: tuple) -> dict[str, Any]:
+    model = _matcher(spec, run, number)
     if isinstance(model, Exception):
         return {"error": f"load failed: {type(model).__name__}: {model}"}
     try:
@@ -77,6 +91,28 @@ def _predict(spec: MatcherSpec, run: str, chip1: tuple, chip2: tuple) -> dict[st
         return {"error": f"{type(error).__name__}: {error}"}
 
 
+def _matched(
+    stream: Iterator[pa.RecordBatch], specs: Sequence[MatcherSpec], keep: Sequence[str], run: str
+) -> Iterator[pa.RecordBatch]:
+    """Point sets of every window by every matcher, in batches of about ``BATCH_POINTS`` points."""
+    for batch in stream:
+        u1, h1, w1, u2, h2, w2 = (batch.column(c) for c in ("u1", "h1", "w1", "u2", "h2", "w2"))
+        for number, spec in enumerate(specs):
+            start, held, found = 0, 0, []
+            for i in range(batch.num_rows):
+                chips = (u1[i], h1[i], w1[i]), (u2[i], h2[i], w2[i])
+                found.append(_predict(spec, run, number, *chips) if u1[i].is_valid and u2[i].is_valid else {})
+                held += 1 + sum(len(found[-1][n]) for n in POINT_SETS if n in found[-1])
+                if held >= BATCH_POINTS or i + 1 == batch.num_rows:
+                    part = batch.slice(start, len(found))
+                    columns = [part.column(c) for c in keep]
+                    columns.append(pa.array([spec.tag] * len(found), pa.string()))
+                    columns += [_as_lists([f.get(n) for f in found]) for n in POINT_SETS]
+                    columns.append(pa.array([f.get("error") for f in found], pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, [*keep, "tag", *POINT_SETS, "error"])
+                    start, held, found = i + 1, 0, []
+
+
 def run_matcher(prepared: DataFrame, spec: MatcherSpec, keep: Sequence[str]) -> DataFrame:
     """Run one matcher over every accepted pair: ``keep, tag``, the point sets, ``error``.
 
@@ -84,6 +120,7 @@ def run_matcher(prepared: DataFrame, spec: MatcherSpec, keep: Sequence[str]) ->
     Map-only: pixels stay where they were read, and the ``keep`` columns (window key, geometry,
     masks) pass through Python as Arrow buffers, so nothing has to be joined back. A window
     whose matcher raises, or whose pixels do not fit its size, keeps a row with the reason in ``error``.
+    Points stay numpy arrays and leave in batches of about ``BATCH_POINTS``, whatever Spark's batches hold.
     """
     return _one_pass(prepared, [spec], keep)
 
@@ -95,20 +132,7 @@ def _one_pass(prepared: DataFrame, specs: Sequence[MatcherSpec], keep: Sequence[
     run = uuid.uuid4().hex
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            u1, h1, w1, u2, h2, w2 = (batch.column(c) for c in ("u1", "h1", "w1", "u2", "h2", "w2"))
-            for number, spec in enumerate(specs):
-                found = [
-                    _predict(spec, f"{run}-{number}", (u1[i], h1[i], w1[i]), (u2[i], h2[i], w2[i]))
-                    if u1[i].is_valid and u2[i].is_valid
-                    else {}
-                    for i in range(batch.num_rows)
-                ]
-                columns = [batch.column(c) for c in keep]
-                columns.append(pa.array([spec.tag] * batch.num_rows, pa.string()))
-                columns += [pa.array([f.get(n) for f in found], POINTS) for n in POINT_SETS]
-                columns.append(pa.array([f.get("error") for f in found], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "tag", *POINT_SETS, "error"])
+        return _matched(stream, specs, keep, run)
 
     points = T.ArrayType(T.ArrayType(T.FloatType()))
     schema = T.StructType(
