@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tiepoints.functions import geometry
-from tiepoints.operators import matching, ransac
+from tiepoints.operators import joins, matching, ransac
 
 POINTS = "k int, x1 double, y1 double, x2 double, y2 double, score double"
 
@@ -87,3 +87,20 @@ def test_seeded_affine_against_brute_force(spark):
     assert sorted(map(tuple, found.collect())) == expected and 200 < len(expected) < 640
     assert found.columns == df.columns
     assert matching.seeded_affine(df.limit(0), ["k"], cell=32.0, spread=2.5, radius=0.5, least=6).count() == 0
+
+
+def test_seeds_are_met_in_plain_columns(spark):
+    df = spark.range(40).selectExpr("1 k", "id * 3.0D x1", "id % 7 * 5.0D y1", "id * 3.0D x2", "id % 7 * 5.0D y2", "1.0D score")
+    found = matching.seeded_affine(df, ["k"], cell=32.0, spread=2.5, radius=0.51, least=3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and found.count() == 40
+
+
+@pytest.mark.parametrize("limits", [{}, {"limit_bytes": 0}, {"limit_bytes": 0, "hot_rows": 10}])
+def test_semi_join_with_a_condition(spark, tmp_path, limits):
+    big = spark.range(100).selectExpr("id % 4 k", "id x")
+    spark.sql("select * from values (0L, 50L), (0L, 80L), (1L, 91L), (3L, 200L) t(k, least)").write.parquet(str(tmp_path / "small"))
+    small = spark.read.parquet(str(tmp_path / "small"))
+    found = joins.join_settled(big, small, ["k"], "left_semi", where=F.col("x") >= F.col("least"), **limits)
+    assert found.columns == ["k", "x"]
+    assert sorted(r["x"] for r in found.collect()) == sorted([*range(52, 100, 4), 93, 97])

@@ -496,45 +496,49 @@ def seeded_affine(
     motion is supported. A match is kept if a supported seed around it has it within ``radius``.
 
     A cell has one seed, so a match meets at most nine; a set is only ever summed up, with map-side combine,
-    however many matches it has. What is joined back is one row per cell with its seeds or motions.
+    however many matches it has. What is joined back are at most nine rows of plain columns per cell, its seeds
+    or motions, so that all a match is compared with runs in generated code.
     """
     keys = list(keys)
     coords = ["x1", "y1", "x2", "y2"]
     placed = matches.withColumns({"_cx": F.floor(F.col("x1") / cell), "_cy": F.floor(F.col("y1") / cell)})
     place = [*keys, "_cx", "_cy"]
-    best = F.min(F.struct((-F.col(score)).alias("_rank"), *coords)).alias("_s")
-    seeds = placed.groupBy(*place).agg(best).select(*place, *[F.col("_s")[c].alias(f"s{c}") for c in coords])
+    # A least struct is found by sorting all rows. Ranks alone take a hash aggregation, and few rows share the first.
+    rank = -F.col(score)
+    first = F.when(~F.max(rank.isNull()), F.min(rank)).alias("_first")
+    ranked = join_per_key(placed.select(*place, *coords, rank.alias("_rank")), placed.groupBy(*place).agg(first), place)
+    best = F.min(F.struct(*coords)).alias("_s")
+    seeds = ranked.where(F.col("_rank").eqNullSafe(F.col("_first"))).groupBy(*place).agg(best).select(*place, *[F.col("_s")[c].alias(c) for c in coords])
+    seeds = settle(seeds, "seeds-of-cells")
 
     def around(table: DataFrame, label: str) -> DataFrame:
-        """Per cell the rows of the nine cells around it, in ``_near``."""
-        values = [c for c in table.columns if c not in keys]
-        beside = table.select(*keys, F.struct(*values).alias("_v"))
-        for name in ("_cx", "_cy"):
-            beside = beside.withColumn(name, F.explode(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.col("_v")[name] + d)))  # noqa: B023
-        return settle(beside.groupBy(*place).agg(F.collect_list("_v").alias("_near")), label)
-
+        """Rows by every cell that they lie around, themselves in columns ``_s<name>``."""
+        beside = table.select(*keys, *[F.col(c).alias("_s" + c.lstrip("_")) for c in table.columns if c not in keys])
+        for name in ("cx", "cy"):
+            beside = beside.withColumn(f"_{name}", F.explode(F.array(*[F.col(f"_s{name}") + d for d in (-1, 0, 1)])))
+        return settle(beside, label)
+
+    own = [*keys, "_scx", "_scy"]
+    x, y = F.col("x1") - F.col("_sx1"), F.col("y1") - F.col("_sy1")
+    u = F.col("x2") - F.col("x1") - (F.col("_sx2") - F.col("_sx1"))
+    v = F.col("y2") - F.col("y1") - (F.col("_sy2") - F.col("_sy1"))
     met = join_settled(placed.select(*place, *coords), around(seeds, "seeds"), place)
-    met = met.select(*keys, *coords, F.explode("_near").alias("_s"))
-    x, y = F.col("x1") - F.col("_s.sx1"), F.col("y1") - F.col("_s.sy1")
-    u = F.col("x2") - F.col("x1") - (F.col("_s.sx2") - F.col("_s.sx1"))
-    v = F.col("y2") - F.col("y1") - (F.col("_s.sy2") - F.col("_s.sy1"))
-    sums = moments(x, y, u, v)
-    local = met.where((F.abs(u) <= spread) & (F.abs(v) <= spread)).select(*keys, "_s", *[c.alias(name) for name, c in sums.items()])
-    summed = local.groupBy(*keys, "_s").agg(F.count("*").alias("n"), *[F.sum(name).alias(name) for name in sums])
-    motion = summed.select(*keys, "_s.*", affine_from_sums(F.col("n").cast("double")).alias("m")).where("m is not null")
-    motion = settle(motion, "motions")
-
-    def follows(s: Column) -> Column:
-        x, y = F.col("x1") - s["sx1"], F.col("y1") - s["sy1"]
-        du = s["m"]["a"] * x + s["m"]["b"] * y + s["m"]["c"] - (F.col("x2") - F.col("x1") - (s["sx2"] - s["sx1"]))
-        dv = s["m"]["d"] * x + s["m"]["e"] * y + s["m"]["f"] - (F.col("y2") - F.col("y1") - (s["sy2"] - s["sy1"]))
-        return du * du + dv * dv <= radius * radius
-
+    local = met.where((F.abs(u) <= spread) & (F.abs(v) <= spread)).select(*own, x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"))
+    sums = moments(*(F.col(c) for c in "xyuv"))
+    summed = local.groupBy(*own).agg(F.count("*").alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()])
+    motion = summed.select(
+        *keys, F.col("_scx").alias("_cx"), F.col("_scy").alias("_cy"), F.inline(F.array(F.struct(affine_from_sums(F.col("n").cast("double")).alias("m"))))
+    ).where("m is not null")
+    motion = settle(motion.join(seeds, place).select(*place, *coords, *[F.col("m")[c].alias(c) for c in "abcdef"]), "motions")
+
+    du = F.col("_sa") * x + F.col("_sb") * y + F.col("_sc") - u
+    dv = F.col("_sd") * x + F.col("_se") * y + F.col("_sf") - v
+    follows = du * du + dv * dv <= radius * radius
     tested = join_settled(placed.select(*place, *coords), around(motion, "motions-around"), place)
-    support = tested.select(*keys, F.explode(F.filter("_near", follows)).alias("_s")).groupBy(*keys, "_s._cx", "_s._cy")
-    support = support.agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    support = tested.where(follows).groupBy(*own).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    support = support.select(*keys, F.col("_scx").alias("_cx"), F.col("_scy").alias("_cy"))
     kept = around(join_per_key(motion, support, place, "left_semi"), "supported")
-    return join_settled(placed, kept, place).where(F.exists("_near", follows)).select(*matches.columns)
+    return join_settled(placed, kept, place, "left_semi", where=follows).select(*matches.columns)
 
 
 def top_keypoints(
