@@ -119,3 +119,33 @@ def test_consensus_ignores_row_order(spark, random):
     shuffled = random.sample(rows, len(rows))
     a, b = (consensus.chip_consensus(chips_of(spark, r), ["pair_id"]) for r in (rows, shuffled))
     assert a.collect() == b.collect()
+
+
+def test_median_scores_count_steps_of_leaders_only(spark):
+    """Winners by the median step equal brute force; of the others only the bin of the median is known."""
+    rng, rows, models, counts = np.random.default_rng(3), {}, {}, [3, 7]
+    for g in range(6):
+        xy = rng.integers(0, 800, (60 + g, 2)) / 8
+        rows[g] = np.column_stack([xy, xy + rng.integers(-16, 17, xy.shape) / 8 + (rng.random((len(xy), 1)) < 0.3) * 90])
+        models[g] = [(h, (1.0, 0.0, float(c), 0.0, 1.0, float(d))) for h, (c, d) in enumerate(rng.integers(-24, 25, (7, 2)) / 8 + (g == 5) * 3000)]
+    df = spark.createDataFrame([(g, *map(float, r)) for g in rows for r in rows[g]], POINTS)
+    kind = "g int, models array<struct<h:int,model:struct<a:double,b:double,c:double,d:double,e:double,f:double>>>"
+    made = ransac._median_scores(df, spark.createDataFrame(list(models.items()), kind), ["g"], [F.count_if(F.col("r") <= 2).alias("_in0")], counts)
+    got = {(r["g"], r["h"]): (r["n"], r["_in0"], r["_median"]) for r in made.collect()}
+    assert len(got) == 42
+    exact = 0
+    for g in rows:
+        want = []
+        for _, (_, _, c, _, _, f) in models[g]:
+            p = rows[g]
+            r = np.sqrt((p[:, 0] + c - p[:, 2]) ** 2 + (p[:, 1] + f - p[:, 3]) ** 2)
+            j = np.floor(np.log2(np.maximum(r, 64) / 64))
+            step = np.where(r < 64, np.floor(r * 64), 4096 + 64 * j + np.floor(r / 2.0**j - 64)).astype(int)
+            want.append((len(r), int((r <= 2).sum()), int(np.sort(step)[(len(r) + 1) // 2 - 1])))
+        for count in counts:
+            best = min(range(count), key=lambda h: (want[h][2], h))
+            assert best == min(range(count), key=lambda h: (got[g, h][2], h)) and got[g, best] == want[best]
+        for h in range(7):
+            assert got[g, h][:2] == want[h][:2] and got[g, h][2] in (want[h][2], want[h][2] // 64 * 64)
+            exact += got[g, h][2] == want[h][2]
+    assert exact < 42

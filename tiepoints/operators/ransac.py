@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,23 +155,17 @@ def fit_affine(
     counts = {c: hypothesis_count(c) for c in confidences}
     most = max(counts.values())
     models = settle(affine_hypotheses(points, keys, most), "models")
-    paired = join_settled(points, models, keys)
     carry = dict(carry or {})
-    residuals = paired.select(*points.columns, F.explode("models").alias("m")).select(
-        *points.columns,
-        F.col("m")["h"].alias("h"),
-        affine_residual(F.col("m")["model"], *(F.col(c) for c in _COORDS)).alias("r"),
-    )
     sums = [F.count_if(F.col("r") <= t).alias(f"_in{i}") for i, t in enumerate(thresholds)]
     sums += [of(F.col("r") <= t).alias(f"_{name}{i}") for name, of in carry.items() for i, t in enumerate(thresholds)]
     if score == "inliers":
-        scored = residuals.groupBy(*keys, "h").agg(F.count("*").alias("n"), *sums).withColumn(
+        scored = _residuals(points, models, keys).groupBy(*keys, "h").agg(F.count("*").alias("n"), *sums).withColumn(
             "_median", F.lit(0)
         )
     elif carry:
         raise ValueError("carry goes with score='inliers'")
     else:
-        scored = _median_scores(residuals, keys, sums)
+        scored = _median_scores(points, models, keys, sums, sorted(set(counts.values())))
     grid = F.array(
         *[
             F.struct(
@@ -236,33 +230,62 @@ def residual_step(r: Column) -> Column:
     return F.when(r < FINE_PIXELS, fine).otherwise(coarse).cast("int")
 
 
-def _median_scores(residuals: DataFrame, keys: list[str], sums: list[Column]) -> DataFrame:
-    """Add ``_median``: the residual step that holds the median.
+def _residuals(points: DataFrame, models: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
+    """Every point with every model of its group: ``h``, the residual ``r``, and ``more`` fields of the model's entry."""
+    met = join_settled(points, models, keys).select(*points.columns, F.explode("models").alias("m"))
+    residual = affine_residual(F.col("m")["model"], *(F.col(c) for c in _COORDS))
+    return met.select(*points.columns, *[F.col("m")[c].alias(c) for c in ("h", *more)], residual.alias("r"))
+
+
+def _median_scores(points: DataFrame, models: DataFrame, keys: list[str], sums: list[Column], counts: list[int]) -> DataFrame:
+    """Scores of all hypotheses, with ``_median``: the residual step that holds the median.
 
-    Residuals are counted in a fixed number of steps, so one group never holds more than that.
+    Residuals are counted in bins of ``RESIDUAL_STEPS`` steps, a pixel or a doubling wide. Only a hypothesis
+    whose median lies in the least bin of those that count for one of the confidences can win, so steps are
+    counted for those only, and only inside that bin. All others keep the first step of their bin, which is
+    above any step of a winner. So neither pass holds more than some hundred counts per hypothesis.
     """
-    step = residual_step(F.col("r"))
+    bins = F.shiftright(residual_step(F.col("r")), RESIDUAL_STEPS.bit_length() - 1)
     names = [f"_in{i}" for i in range(len(sums))]
-    steps = residuals.groupBy(*keys, "h", step.cast("int").alias("_step")).agg(
-        F.count("*").alias("_n"), *sums
-    )
-    gathered = steps.groupBy(*keys, "h").agg(
-        F.sum("_n").alias("n"),
-        *[F.sum(name).alias(name) for name in names],
-        F.array_sort(F.collect_list(F.struct("_step", "_n"))).alias("_hist"),
+    counted = _residuals(points, models, keys).groupBy(*keys, "h", bins.alias("_at")).agg(F.count("*").alias("_n"), *sums)
+    total = F.sum("_n").alias("n")
+    gathered = counted.groupBy(*keys, "h").agg(total, *[F.sum(name).alias(name) for name in names], _histogram())
+    coarse = once(gathered, _found=_walk(F.lit(0).cast("bigint"))).select(
+        *keys, "h", "n", *names, F.col("_found.at").alias("_bin"), F.col("_found.below").alias("_below")
     )
-    walked = F.aggregate(
+    coarse = settle(coarse, "median-bins")
+    least = [F.min(F.when(F.col("h") < count, F.col("_bin"))).alias(f"_least{i}") for i, count in enumerate(counts)]
+    leading = reduce(or_, [(F.col("h") < count) & (F.col("_bin") <= F.col(f"_least{i}")) for i, count in enumerate(counts)])
+    leaders = coarse.join(coarse.groupBy(*keys).agg(*least), keys).where(leading).select(*keys, "h", "n", "_bin", "_below")
+    leaders = settle(leaders, "leaders")
+    entry = F.struct("_m.h", "_m.model", "_bin")
+    open_models = models.select(*keys, F.explode("models").alias("_m")).withColumn("h", F.col("_m.h")).join(leaders, [*keys, "h"])
+    open_models = settle(open_models.groupBy(*keys).agg(F.collect_list(entry).alias("models")), "leading-models")
+    step = residual_step(F.col("r"))
+    near = _residuals(points.select(*keys, *_COORDS), open_models, keys, "_bin").where(bins == F.col("_bin"))
+    steps = near.groupBy(*keys, "h", step.alias("_at")).agg(F.count("*").alias("_n"))
+    fine = steps.groupBy(*keys, "h").agg(_histogram()).join(leaders, [*keys, "h"]).select(*keys, "h", _walk(F.col("_below"))["at"].alias("_fine"))
+    median = F.coalesce("_fine", F.col("_bin") * RESIDUAL_STEPS)
+    return coarse.join(fine, [*keys, "h"], "left").select(*keys, "h", "n", *names, median.alias("_median"))
+
+
+def _histogram() -> Column:
+    return F.array_sort(F.collect_list(F.struct("_at", "_n"))).alias("_hist")
+
+
+def _walk(start: Column) -> Column:
+    """Where a histogram of ``_hist`` that begins after ``start`` values reaches half of ``n``, and how many are below."""
+    half = lambda acc, s: acc["at"].isNull() & ((acc["seen"] + s["_n"]) * 2 >= F.col("n"))
+    return F.aggregate(
         "_hist",
-        F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("at")),
+        F.struct(start.alias("seen"), F.lit(None).cast("int").alias("at"), start.alias("below")),
         lambda acc, s: F.struct(
             (acc["seen"] + s["_n"]).alias("seen"),
-            F.coalesce(
-                acc["at"], F.when((acc["seen"] + s["_n"]) * 2 >= F.col("n"), s["_step"])
-            ).alias("at"),
+            F.when(half(acc, s), s["_at"]).otherwise(acc["at"]).alias("at"),
+            F.when(half(acc, s), acc["seen"]).otherwise(acc["below"]).alias("below"),
         ),
-        lambda acc: acc["at"],
+        lambda acc: F.struct(acc["at"].alias("at"), acc["below"].alias("below")),
     )
-    return gathered.select(*keys, "h", "n", *names, walked.alias("_median"))
 
 
 def residuals(points: DataFrame, fits: DataFrame, keys: Sequence[str]) -> DataFrame:
