@@ -119,6 +119,71 @@ def test_plain_repeated_passages_are_found(docs_of):
         assert found[d - 1]["text"] == texts[d - 1]
 
 
+def brute_pieces(text):
+    """(start, end, words) of every piece, gap by gap."""
+    found, words = list(re.finditer(r"\S+", text)), text.lower().split()
+    gaps = [text[a.end() : b.start()] for a, b in zip(found, found[1:])]
+    ends = [w[-1] in ".!?" or "\n" in g for w, g in zip(words, gaps)]
+    crc = [zlib.crc32(w.encode()) for w in words]
+    value = [((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % 2**64 >> 2) + (1 if w[-1] in ",;:|" else 2**62) for a, b, w in zip(crc, crc[1:], words)]
+    value = [0 if e else v for e, v in zip(ends, value)]
+    cut = {i for i, e in enumerate(ends) if e}
+    cut |= {min(range(i, i + spans.WINDOW), key=lambda k: (value[k], -k)) for i in range(len(gaps) - spans.WINDOW + 1)}
+    out, begin, word = [], 0, 0
+    for i in sorted(cut):
+        end = found[i + 1].start()
+        if words[i][-1] not in ".!?" and "\n" in gaps[i]:
+            end = found[i].end() + gaps[i].rindex("\n") + 1
+        out.append((begin, end, tuple(words[word : i + 1])))
+        begin, word = end, i + 1
+    return [*out, (begin, len(text), tuple(words[word:]))] if words else []
+
+
+def brute_runs(found):
+    """{(first, end): whether the run was met before in this text}"""
+    held, seen, out = set(), set(), {}
+    for a in range(len(found)):
+        for b in range(a + spans.RUN, len(found) + 1):
+            inner = [sum(len(w) for *_, w in found[i:j]) < spans.LEAST_WORDS or j - i < spans.RUN for i, j in ((a + 1, b), (a, b - 1))]
+            if sum(len(w) for *_, w in found[a:b]) >= spans.LEAST_WORDS and any(inner):
+                held.add((a, b))
+    for a, b in sorted(held):
+        key = tuple(w for *_, w in found[a:b])
+        out[a, b] = key in seen
+        seen.add(key)
+    return out
+
+
+def odd_texts(n):
+    rng = np.random.default_rng(11)
+    parts = ["a ", "b ", "c ", "D. ", "e, ", "É ", "İ ", "Σ\t", "\n", " \n  ", "\x1c", "f;\u3000", "long-word "]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 90)))) for _ in range(n)]
+    return ["", " \n ", "one", "a " * 15, "a " * 16 + "b", *texts, prose(3, 200) + "\n" + prose(3, 200), prose(3, 200).replace(".", "")]
+
+
+def test_texts_cut_together_are_cut_as_alone():
+    texts = odd_texts(60)
+    cut = [brute_pieces(t) for t in texts]
+    assert [spans.sentences(t) for t in texts] == cut
+    _, own, _, start, end = spans.located(texts)
+    assert [*zip(own.tolist(), start.tolist(), end.tolist())] == [(i, a, b) for i, found in enumerate(cut) for a, b, _ in found]
+    text, h, first, end, again = (x.tolist() for x in spans.runs_of(texts))
+    expected = {(i, *run): met for i, found in enumerate(cut) for run, met in brute_runs(found).items()}
+    assert len(text) == len(expected) and dict(zip(zip(text, first, end), again)) == expected and sum(again)
+    keys = {(n, tuple(w for *_, w in cut[i][a:b])) for i, n, a, b in zip(text, h, first, end)}
+    assert len(keys) == len({n for n, _ in keys}) == len({k for _, k in keys})
+
+
+def test_words_are_hashed_once(monkeypatch):
+    """Not once per place: that was most of the time of op2_sentence_spans."""
+    hashed, crc32 = [], zlib.crc32
+    monkeypatch.setattr(zlib, "crc32", lambda data: hashed.append(data) or crc32(data))
+    texts = ["once " + prose(900 + i % 3, 300) + " upon" for i in range(9)]
+    for text in texts:
+        spans.sentences(text)
+    assert len(hashed) == len(set(hashed)) <= len({w for t in texts for w in t.lower().split()})
+
+
 def brute_value_steps(values, steps):
     """Quantile of the middle row of every value among the sorted rows, in exact integers."""
     known = sorted(v.encode() for v in values if v is not None)
