@@ -51,22 +51,23 @@ def surviving_chips(
     map-side combine; what is joined back is one row per chip.
     """
     keys = [*pair, chip]
-    binned = points.groupBy(
-        *keys,
-        F.floor(F.col("across") / bin_m).alias("bx"),
-        F.floor(F.col("along") / bin_m).alias("by"),
-    ).agg(F.count("*").alias("n"))
-    pair_bins = binned.groupBy(*pair, "bx", "by").agg(F.sum("n").alias("n"))
-    modes = settle(
-        _mode(binned, keys, "chip", bin_m).join(_mode(pair_bins, pair, "pair", bin_m), pair), "modes"
-    )
+    bins = [F.floor(F.col("across") / bin_m).alias("bx"), F.floor(F.col("along") / bin_m).alias("by")]
 
     def near(value: str, mode: str):
         return F.abs(F.col(value) - F.col(mode)) <= tolerance
 
     if means is not None:
-        known = join_settled(means, modes, keys).where(F.col("n") >= min_inliers)
+        # Modes of chips are of no use here: one row per pair is met.
+        counted = points.groupBy(*pair, *bins).agg(F.count("*").alias("n"))
+        modes = settle(_mode(counted, pair, "pair", bin_m), "modes")
+        known = join_settled(means.where(F.col(chip).isNotNull() & (F.col("n") >= min_inliers)), modes, pair)
         return known.where(near("across", "pair_across") & near("along", "pair_along")).select(means.columns)
+    binned = points.groupBy(*keys, *bins).agg(F.count("*").alias("n"))
+    pair_bins = binned.groupBy(*pair, "bx", "by").agg(F.sum("n").alias("n"))
+    modes = settle(
+        _mode(binned, keys, "chip", bin_m).join(_mode(pair_bins, pair, "pair", bin_m), pair), "modes"
+    )
+
     kept = join_settled(points if fitted is None else fitted, modes, keys)
     if fitted is None:
         kept = kept.where(near("across", "chip_across") & near("along", "chip_along"))

@@ -5,18 +5,23 @@ three slots of every hypothesis has a target on it; of all points of the group t
 from its target on, whose way (hash - target) mod ring is shortest. So any point can fill any slot, and
 equally likely. As targets cut the ring into equal arcs, the first point of every arc is all that is needed:
 one aggregation with map-side combine, whatever the size of the group and however many copies of a point it
-holds. Scoring is linear in points.
+holds. Scoring is linear in points. Many groups of bounded size are fitted whole, by the same rules in numpy.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import add, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tiepoints.functions.geometry import affine_from_sums, affine_residual, moments
 from tiepoints.functions.rasters import let
@@ -33,6 +38,10 @@ RESIDUAL_STEPS = 64
 FINE_PIXELS = 64  # steps of equal width up to here, then as many per doubling
 DOUBLINGS = 20
 
+#: Points up to which a group may be fitted whole, and residuals that are held at a time for that.
+GROUP_POINTS = 1 << 16
+HELD_RESIDUALS = 1 << 18
+
 _PRIME = 2147483647
 _FACTORS = ((73856093, 19349663, 83492791, 39916801), (32452843, 49979687, 15485863, 67867967))
 _MIXERS = (48271, 16807)
@@ -135,6 +144,7 @@ def fit_affine(
     confidences: Sequence[float] = CONFIDENCES,
     score: str = "inliers",
     carry: Mapping[str, Callable[[Column], Column]] | None = None,
+    whole: int = 0,
 ) -> DataFrame:
     """Best affine model of every group for every method, threshold and confidence.
 
@@ -148,10 +158,17 @@ def fit_affine(
     ``carry`` maps a name to an aggregate over the inliers, given as a function of the condition that a point
     is one (the residual is column ``r``). They are summed up in the scoring pass, so that means and errors
     of the winning models need no second pass over the points.
+
+    Groups of up to ``whole`` points are fitted each in one task (see ``_fit_whole``); their coordinates must not be NULL, and
+    what they ``carry`` must be of kind ``Carry``. It pays where there are many groups and rows of a group lie together.
     """
     if score not in ("inliers", "median"):
         raise ValueError(f"unknown score {score!r}")
+    if whole and (score != "inliers" or not all(isinstance(of, Carry) for of in (carry or {}).values())):
+        raise ValueError("whole groups go with score='inliers' and known kinds of carry")
     keys = list(keys)
+    if whole:
+        return _fit_apart(points, keys, methods, thresholds, confidences, dict(carry or {}), whole)
     counts = {c: hypothesis_count(c) for c in confidences}
     most = max(counts.values())
     models = settle(affine_hypotheses(points, keys, most), "models")
@@ -201,12 +218,235 @@ def inlier_sum(value: Column) -> Callable[[Column], Column]:
     return lambda near: F.sum(F.when(near, value))
 
 
-def inlier_extent(column: str) -> dict[str, Callable[[Column], Column]]:
+@dataclass(frozen=True)
+class Carry:
+    """For ``carry``: ``sum``, ``min`` or ``max`` of a column over the inliers, or the sum of their squared residuals (``squares``)."""
+
+    how: str
+    column: str = "r"
+
+    def __call__(self, near: Column) -> Column:
+        value = F.col(self.column)
+        if self.how == "squares":
+            return F.sum(F.when(near, value * value))
+        return {"sum": F.sum, "min": F.min, "max": F.max}[self.how](F.when(near, value))
+
+
+def inlier_extent(column: str) -> dict[str, Carry]:
     """For ``carry``: least and greatest value of a column over the inliers, ``<column>_min`` and ``<column>_max``."""
-    return {
-        f"{column}_min": lambda near: F.min(F.when(near, F.col(column))),
-        f"{column}_max": lambda near: F.max(F.when(near, F.col(column))),
-    }
+    return {f"{column}_min": Carry("min", column), f"{column}_max": Carry("max", column)}
+
+
+# --- groups fitted whole ----------------------------------------------------------------------
+
+
+def _fit_apart(
+    points: DataFrame, keys: list[str], methods: Sequence[str], thresholds: Sequence[float], confidences: Sequence[float],
+    carry: dict[str, Carry], whole: int,
+) -> DataFrame:
+    """``fit_affine`` with groups of up to ``whole`` points fitted whole and all others by aggregations.
+
+    Rows of a group that lie together become one row of lists, which is written. A group that is one such row, as
+    that of a window is, stays where it is; only what is left of groups in several places is shuffled.
+    """
+    known = points.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    columns = list(dict.fromkeys([*_COORDS, *[c.column for c in carry.values() if c.how != "squares"]]))
+    pieces = settle(_pieces(known, keys, columns, whole), "pieces")
+    fit = lambda groups: _fit_whole(groups, keys, columns, methods, thresholds, confidences, carry)
+    several = pieces.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.count("*").alias("_pieces"))
+    several = settle(several.where((F.col("_n") > whole) | (F.col("_pieces") > 1)).drop("_pieces"), "several")
+    if not several.limit(1).count():
+        return fit(pieces)
+    alone = join_settled(pieces, several.drop("_n"), keys, "left_anti")
+    small, large = several.where(F.col("_n") <= whole).drop("_n"), several.where(F.col("_n") > whole).drop("_n")
+    met = join_settled(pieces, small, keys, "left_semi").groupBy(*keys).agg(
+        F.sum("_n").alias("_n"), F.collect_list(F.struct(*[f"_{c}" for c in columns])).alias("_all")
+    )
+    met = met.select(*keys, "_n", *[F.flatten(F.col("_all")[f"_{c}"]).alias(f"_{c}") for c in columns])
+    found = fit(alone).unionByName(fit(met))
+    if not large.limit(1).count():
+        return found
+    rest = join_settled(known, large, keys, "left_semi")
+    return found.unionByName(fit_affine(rest, keys, methods, thresholds, confidences, carry=carry))
+
+
+def _pieces(points: DataFrame, keys: list[str], columns: list[str], whole: int) -> DataFrame:
+    """Rows of one group that follow each other as one row: ``keys, _n`` and a list ``_<column>`` for every column."""
+    rows = points.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
+    lists = [f"_{c}" for c in columns]
+
+    def piece(batch: pa.RecordBatch, starts: np.ndarray, end: int) -> pa.RecordBatch:
+        offsets = pa.array(np.append(starts, end), pa.int32())
+        held = [pa.ListArray.from_arrays(offsets, batch.column(c)) for c in lists]
+        made = [*[batch.column(k).take(pa.array(starts)) for k in keys], pa.array(np.diff(offsets)), *held]
+        return pa.RecordBatch.from_arrays(made, [*keys, "_n", *lists])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # the last rows so far, to which the next batch may add
+        for batch in batches:
+            if rest is not None:
+                batch = pa.concat_batches([rest, batch])
+            if not batch.num_rows:
+                continue
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = False
+            for k in keys:
+                column = batch.column(k)
+                new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            last = int(starts[-1])
+            if batch.num_rows - last >= whole:  # long enough to leave at once
+                yield piece(batch, starts, batch.num_rows)
+                rest = None
+                continue
+            if last:
+                yield piece(batch, starts[:-1], last)
+            rest = batch.slice(last)
+        if rest is not None:
+            yield piece(rest, np.zeros(1, np.int64), rest.num_rows)
+
+    kinds = [T.StructField(c, T.ArrayType(rows.schema[c].dataType)) for c in lists]
+    return rows.mapInArrow(run, T.StructType([*[rows.schema[k] for k in keys], T.StructField("_n", T.IntegerType()), *kinds]))
+
+
+def _hash(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+    """``point_hash``."""
+    steps = [np.floor(v.astype(np.float64) * 1024.0).astype(np.int64) % _PRIME for v in (x1, y1, x2, y2)]
+    halves = []
+    for factors, mixer in zip(_FACTORS, _MIXERS):
+        mixed = reduce(add, [s * f % _PRIME for s, f in zip(steps, factors)]) % _PRIME
+        halves.append((mixed * mixed + mixed * mixer) % _PRIME)
+    return halves[0] * (1 << 31) + halves[1]
+
+
+def _models(points: dict[str, np.ndarray], start: np.ndarray, size: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (6, groups, hypotheses) of ``affine_hypotheses``, and which of them there are."""
+    arcs, groups = 3 * count, len(size)
+    h = _hash(*(points[c] for c in _COORDS))
+    arc = np.minimum(h // (RING // arcs), arcs - 1)
+    group = np.repeat(np.arange(groups), size)
+    order = np.lexsort((h, group))
+    # How many points are before every arc of every group: where the first one from its beginning on is.
+    before = np.zeros(groups * arcs, np.int64)
+    np.cumsum(np.bincount(group * arcs + arc, minlength=groups * arcs)[:-1], out=before[1:])
+    slots = np.array([[n * stride % count + slot * count for n in range(count)] for slot, stride in enumerate(_STRIDES)])
+    reached = before.reshape(groups, arcs)[:, slots.ravel()].reshape(groups, 3, count)
+    reached = order[np.where(reached >= (start + size)[:, None, None], start[:, None, None], reached)]
+    p, q, r = ({c: points[c][reached[:, slot]] for c in _COORDS} for slot in range(3))
+    ux, uy, vx, vy = q["x1"] - p["x1"], q["y1"] - p["y1"], r["x1"] - p["x1"], r["y1"] - p["y1"]
+    det = ux * vy - vx * uy
+    there = det != 0
+    det = np.where(there, det, 1).astype(np.float64)
+    rows = []
+    for target in ("x2", "y2"):
+        u, v = q[target] - p[target], r[target] - p[target]
+        first, second = (u * vy - v * uy).astype(np.float64) / det, (v * ux - u * vx).astype(np.float64) / det
+        rows += [first, second, p[target].astype(np.float64) - first * p["x1"].astype(np.float64) - second * p["y1"].astype(np.float64)]
+    return np.array(rows), there
+
+
+def _scored(
+    points: dict[str, np.ndarray], start: np.ndarray, size: np.ndarray, thresholds: Sequence[float], counts: Sequence[int], carry: dict[str, Carry]
+) -> dict[str, np.ndarray]:
+    """Winners (groups, thresholds x counts) of groups of about one size: ``there, h, inliers``, ``model`` and what is carried."""
+    models, there = _models(points, start, size, max(counts))
+    inside = np.arange(size.max()) < size[:, None]
+    at = np.where(inside, start[:, None] + np.arange(size.max()), start[:, None])
+    xy = {c: np.where(inside, points[c][at].astype(np.float64), np.nan)[:, None] for c in _COORDS}  # what is no point is near to no model
+    a, b, c, d, e, f = models[..., None]
+    dx = a * xy["x1"] + b * xy["y1"] + c - xy["x2"]
+    dy = d * xy["x1"] + e * xy["y1"] + f - xy["y2"]
+    r = np.sqrt(dx * dx + dy * dy)
+    inliers = np.array([np.where(there, np.count_nonzero(r <= t, axis=2), -1) for t in thresholds])
+    best = np.array([inliers[i, :, :n].argmax(axis=1) for i in range(len(thresholds)) for n in counts]).T  # the first of equals
+    level = np.repeat(np.arange(len(thresholds)), len(counts))
+    group = np.arange(len(size))[:, None]
+    out = {"h": best, "inliers": inliers[level, group, best], "model": models[:, group, best]}
+    out["there"] = np.tile([there[:, :n].any(axis=1) for n in counts], (len(thresholds), 1)).T
+    r = r[group, best]
+    near = r <= np.array([thresholds[i] for i in level])[:, None]
+    for name, of in carry.items():
+        if of.how == "squares":
+            out[name] = (np.where(near, r * r, 0.0).sum(axis=2), near.any(axis=2))
+            continue
+        value = points[of.column][at][:, None]
+        counted = near & ~points[f"{of.column} null"][at][:, None] if f"{of.column} null" in points else near
+        if of.how == "sum":
+            made = np.where(counted, value.astype(np.float64), 0.0).sum(axis=2)
+        else:
+            empty, pick = (np.inf, np.fmin) if of.how == "min" else (-np.inf, np.fmax)
+            made = pick.reduce(np.where(counted, value, value.dtype.type(empty)), axis=2)
+        out[name] = (made, counted.any(axis=2))
+    return out
+
+
+def _fit_whole(
+    groups: DataFrame, keys: list[str], columns: list[str], methods: Sequence[str], thresholds: Sequence[float],
+    confidences: Sequence[float], carry: dict[str, Carry],
+) -> DataFrame:
+    """Fits of groups that are one row each, by the rules of ``fit_affine``.
+
+    Groups are worked on together with others of about their size, so many that about ``HELD_RESIDUALS`` are held.
+    """
+    counts = [hypothesis_count(c) for c in confidences]
+    thresholds, confidences = [float(t) for t in thresholds], [float(c) for c in confidences]
+    kinds = {c: groups.schema[f"_{c}"].dataType.elementType for c in columns}
+    result = T.StructType(
+        [
+            *[groups.schema[k] for k in keys],
+            T.StructField("ransac_method", T.StringType()), T.StructField("ransac_threshold", T.DoubleType()),
+            T.StructField("ransac_confidence", T.DoubleType()), T.StructField("h", T.IntegerType()),
+            T.StructField("n", T.LongType()), T.StructField("inliers", T.LongType()),
+            *[T.StructField(name, kinds[of.column] if of.how in ("min", "max") else T.DoubleType()) for name, of in carry.items()],
+            T.StructField("model", T.StructType([T.StructField(c, T.DoubleType()) for c in "abcdef"])),
+        ]
+    )
+
+    def batch_fits(batch: pa.RecordBatch, points: dict[str, np.ndarray], start: np.ndarray, size: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
+        # The points of these groups only, one group after the other.
+        sizes = size[which]
+        own = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(start[which] - own[:-1], sizes) + np.arange(own[-1])
+        found = _scored({c: v[at] for c, v in points.items()}, own[:-1], sizes, thresholds, counts, carry)
+        group, fit = np.nonzero(found["there"])
+        level, trust = np.divmod(fit, len(counts))
+        many = len(methods)
+        rep = lambda v: np.repeat(v, many)
+        keyed = [batch.column(k).take(pa.array(rep(which[group]))) for k in keys]
+        made = [
+            pa.array(list(methods) * len(group), pa.string()), pa.array(rep(np.array(thresholds)[level])), pa.array(rep(np.array(confidences)[trust])),
+            pa.array(rep(found["h"][group, fit]), pa.int32()), pa.array(rep(sizes[group]), pa.int64()),
+            pa.array(rep(found["inliers"][group, fit]), pa.int64()),
+        ]
+        for name in carry:
+            values, any_ = (rep(v[group, fit]) for v in found[name])
+            made.append(pa.array(values, mask=~any_))
+        model = [pa.array(rep(v)) for v in found["model"][:, group, fit]]
+        made.append(pa.StructArray.from_arrays(model, list("abcdef")))
+        return pa.RecordBatch.from_arrays([*keyed, *made], result.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = {}
+            for c in columns:
+                values = batch.column(f"_{c}").flatten()
+                points[c] = values.to_numpy(zero_copy_only=False)
+                if c not in _COORDS and values.null_count:
+                    points[f"{c} null"] = values.is_null().to_numpy(zero_copy_only=False)
+            size = batch.column("_n").to_numpy(zero_copy_only=False).astype(np.int64)
+            start = np.cumsum(size) - size
+            order = np.argsort(size, kind="stable")
+            order = order[size[order] >= 3]  # fewer points have no model
+            # With an eighth more at most, since shorter ones are filled up.
+            held = size[order] * max(counts)
+            at = 0
+            while at < len(order):
+                most = max(1, HELD_RESIDUALS // int(held[at]))
+                to = min(at + most, int(np.searchsorted(held, held[at] + held[at] // 8, "right")), len(order))
+                yield batch_fits(batch, points, start, size, order[at:to])
+                at = to
+
+    return groups.select(*keys, "_n", *[f"_{c}" for c in columns]).mapInArrow(run, result)
 
 
 def refit_affine(points: DataFrame, keys: Sequence[str], **grid: Sequence) -> DataFrame:

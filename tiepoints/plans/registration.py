@@ -126,11 +126,12 @@ def run(
     kept = correspond.explode_points(windows.where(F.col("reject_reason").isNull()), [*keys, "wx", "wy", "s1_wx", "s1_wy", "geo"])
     points = records.located_points(kept).select(*keys, "x1", "y1", "x2", "y2", "across", "along")
     carried = {
-        "squares": ransac.inlier_sum(F.col("r") * F.col("r")),
-        "across": ransac.inlier_sum(F.col("across")), "along": ransac.inlier_sum(F.col("along")),
+        "squares": ransac.Carry("squares"), "across": ransac.Carry("sum", "across"), "along": ransac.Carry("sum", "along"),
         **ransac.inlier_extent("x1"), **ransac.inlier_extent("y1"),
     }
-    found = ransac.fit_affine(points, keys, methods, [float(t) for t in thresholds], [float(c) for c in confidences], carry=carried)
+    found = ransac.fit_affine(
+        points, keys, methods, [float(t) for t in thresholds], [float(c) for c in confidences], carry=carried, whole=ransac.GROUP_POINTS
+    )
     area = (F.col("x1_max") - F.col("x1_min")) * (F.col("y1_max") - F.col("y1_min"))
     fits = settle(found.where(area >= min_area).drop("x1_min", "x1_max", "y1_min", "y1_max"), "fits")
     means = fits.select(
