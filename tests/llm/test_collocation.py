@@ -83,6 +83,48 @@ def test_colliding_fingerprints_are_noticed(spark, monkeypatch):
     assert run(spark, rows, bits=9) == brute(rows, 2000, 3)
 
 
+def names_of(texts, lang, bits):
+    grams = collocation.Grams(b"".join(t.encode() + b"\n" for t in texts), lang, 0, bits)
+    ends = np.flatnonzero(grams.raw == 10)
+    return grams.fingerprints(np.concatenate([[0], ends[:-1] + 1]), ends).tolist()
+
+
+@pytest.mark.parametrize("shared", [1000, 0])
+def test_a_collision_outside_of_the_result_is_noticed(spark, monkeypatch, shared):
+    """Two rare phrases share a fingerprint; taken for one frequent phrase they would drop the best candidate.
+
+    With ``SHARED`` of 0 they are counted again by their text, else other fingerprints are taken.
+    """
+    monkeypatch.setattr(collocation, "SHARED", shared)
+    ones, others = [f"aa bb c{i}" for i in range(3000)], [f"zz yy d{i}" for i in range(3000)]
+    by_name = dict(zip(names_of(ones, "en", 20), ones))
+    one, other = next((by_name[n], t) for n, t in zip(names_of(others, "en", 20), others) if n in by_name)
+    rows = [("en", ". ".join([one] * 9 + ["aa bb"] * 11 + [other] * 5 + [one.split()[2]] * 500 + ["mm nn"] * 12 + ["mm. nn"] * 5))]
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    found = collocation.collocations(docs, 1, 10, bits=20).collect()
+    assert [tuple(r) for r in found] == brute(rows, 1, 10) and found[0]["phrase"] == "aa bb"
+
+
+def test_texts_of_all_blocks_are_compared(spark):
+    """Every text of a shared fingerprint is listed, whichever block or language it is in, and nothing else."""
+    rows = [(g, f"{w} " * 6) for g in ("en", "fr") for w in ("one", "two", "three", "four")]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    from tiepoints.session import settle
+
+    blocks = settle(collocation.word_blocks(docs))
+    for bits in (4, 64):
+        names = defaultdict(set)
+        for g in ("en", "fr"):
+            texts = [" ".join([w] * k) for w in ("one", "two", "three", "four") for k in (1, 2, 3)]
+            for t, n in zip(texts, names_of(texts, g, bits)):
+                names[n].add((g, t))
+        told = settle(collocation._frequent(collocation._deal(blocks, 16, 0, bits), 1))
+        made = settle(collocation._phrases(blocks, told, 16, 0, bits))
+        found = collocation._shared(made.where("texts is not null").select("lang", "bucket", "texts"), 0, bits).collect()
+        assert sorted(map(tuple, found)) == sorted(x for held in names.values() if len(held) > 1 for x in held)
+        assert bits == 4 or not found
+
+
 def test_recount_goes_by_text(spark):
     docs = spark.createDataFrame([("en", "a b c. a b", 1), ("fr", "a b", 2)], "lang string, text string, doc_id int")
     from tiepoints.session import settle
