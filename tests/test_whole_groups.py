@@ -47,6 +47,15 @@ def test_equal_to_aggregations(spark, kind, whole, parts):
     assert [(f.name, f.dataType) for f in schema] == [(f.name, f.dataType) for f in expected_schema]
 
 
+def test_three_distinct_points_are_a_model(spark):
+    """Whatever arcs their hashes fall in, but for points of one arc."""
+    rng = np.random.default_rng(1)
+    data = [("g", i, *map(float, p), 1.0) for i in range(60) for p in rng.integers(0, 400, (3, 4)) / 8]
+    df = spark.createDataFrame(data, POINTS.format("double"))
+    found, expected = fits(df, whole=100)[1], fits(df)[1]
+    assert found == expected and len({w for _, w, *_ in found}) >= 57
+
+
 def test_a_window_is_not_shuffled_and_batches_do_not_cut_it(spark, monkeypatch):
     df = spark.createDataFrame(rows([70, 50, 30, 90]), POINTS.format("double")).coalesce(1)
     monkeypatch.setattr(ransac, "HELD_RESIDUALS", 1 << 11)

@@ -190,6 +190,7 @@ def run_catalog_table(
 
 def phase_correlation(step: int = 64) -> Matcher:
     """Matcher for a translation: the peak of the phase correlation, as a grid of point pairs."""
+    grids: dict[tuple[int, int], np.ndarray] = {}
 
     def match(image1: np.ndarray, image2: np.ndarray) -> dict[str, np.ndarray]:
         one, two = (i[:, :, 0].astype(np.float64) for i in (image1, image2))
@@ -198,8 +199,11 @@ def phase_correlation(step: int = 64) -> Matcher:
         dy, dx = np.unravel_index(np.argmax(np.round(surface, 9)), surface.shape)
         height, width = one.shape
         dy, dx = (int(d) - n if d > n // 2 else int(d) for d, n in ((dy, height), (dx, width)))
-        ys, xs = np.mgrid[0:height:step, 0:width:step]
-        start = np.column_stack([xs.ravel(), ys.ravel()])
+        if one.shape not in grids:
+            ys, xs = np.mgrid[0:height:step, 0:width:step]
+            grids.clear()  # the last size only
+            grids[one.shape] = np.column_stack([xs.ravel(), ys.ravel()])
+        start = grids[one.shape].copy()
         end = start + (dx, dy)
         inside = ((end >= 0) & (end < (width, height))).all(axis=1)
         return {"mm0": start[inside], "mm1": end[inside], "raw0": start, "raw1": end}

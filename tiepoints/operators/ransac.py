@@ -40,7 +40,7 @@ DOUBLINGS = 20
 
 #: Points up to which a group may be fitted whole, and residuals that are held at a time for that.
 GROUP_POINTS = 1 << 16
-HELD_RESIDUALS = 1 << 18
+HELD_RESIDUALS = 1 << 16
 
 _PRIME = 2147483647
 _FACTORS = ((73856093, 19349663, 83492791, 39916801), (32452843, 49979687, 15485863, 67867967))
@@ -103,7 +103,8 @@ def arc_of(h: Column, slot: int, count: int) -> Column:
 def affine_hypotheses(points: DataFrame, keys: Sequence[str], count: int) -> DataFrame:
     """Candidate models per group: ``keys, models ARRAY<STRUCT<h, model>>``.
 
-    A hypothesis whose slots hold one point twice, or three points on a line, has no model.
+    A hypothesis whose slots hold one point twice, or three points on a line, has no model. If none has one, as may
+    be with three distinct points, the arcs' first points are taken by threes in their order on the ring instead.
     """
     arcs = 3 * count
     hashed = points.select(*keys, *_COORDS, point_hash(*(F.col(c) for c in _COORDS)).alias("_h"))
@@ -124,15 +125,16 @@ def affine_hypotheses(points: DataFrame, keys: Sequence[str], count: int) -> Dat
     def pick(h: Column, slot: int) -> Column:
         return F.get("_sample", F.coalesce(F.get("_reached", arc_of(h, slot, count)), F.lit(0)))
 
-    models = F.filter(
-        F.transform(
-            F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")),
-            lambda h: F.struct(
-                h.cast("int").alias("h"), _solve(*(pick(h, slot) for slot in range(3))).alias("model")
-            ),
-        ),
-        lambda m: m["model"].isNotNull(),
-    )
+    def solved(last: Column, point: Callable[[Column, int], Column]) -> Column:
+        made = F.transform(
+            F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")),
+            lambda h: F.struct(h.cast("int").alias("h"), _solve(*(point(h, slot) for slot in range(3))).alias("model")),
+        )
+        return F.filter(made, lambda m: m["model"].isNotNull())
+
+    sample = once(sample, models=solved(F.lit(count - 1), pick))
+    in_turn = solved(F.least(F.size("_sample") - 3, F.lit(count - 1)), lambda h, slot: F.get("_sample", (h + slot).cast("int")))
+    models = F.when(F.size("models") > 0, F.col("models")).otherwise(in_turn)
     return sample.select(*keys, models.alias("models"))
 
 
@@ -332,7 +334,18 @@ def _models(points: dict[str, np.ndarray], start: np.ndarray, size: np.ndarray,
     slots = np.array([[n * stride % count + slot * count for n in range(count)] for slot, stride in enumerate(_STRIDES)])
     reached = before.reshape(groups, arcs)[:, slots.ravel()].reshape(groups, 3, count)
     reached = order[np.where(reached >= (start + size)[:, None, None], start[:, None, None], reached)]
-    p, q, r = ({c: points[c][reached[:, slot]] for c in _COORDS} for slot in range(3))
+    models, there = _solved(*({c: points[c][reached[:, slot]] for c in _COORDS} for slot in range(3)))
+    for g in np.flatnonzero(~there.any(axis=1) & (size > 2)):
+        own = order[start[g] : start[g] + size[g]]
+        own = own[np.unique(arc[own], return_index=True)[1]]
+        most = min(len(own) - 2, count)
+        if most > 0:
+            models[:, g, :most], there[g, :most] = _solved(*({c: points[c][own[slot : slot + most]] for c in _COORDS} for slot in range(3)))
+    return models, there
+
+
+def _solved(p: dict[str, np.ndarray], q: dict[str, np.ndarray], r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``_solve``: six coefficients, and whether there is a model."""
     ux, uy, vx, vy = q["x1"] - p["x1"], q["y1"] - p["y1"], r["x1"] - p["x1"], r["y1"] - p["y1"]
     det = ux * vy - vx * uy
     there = det != 0
@@ -354,9 +367,15 @@ def _scored(
     at = np.where(inside, start[:, None] + np.arange(size.max()), start[:, None])
     xy = {c: np.where(inside, points[c][at].astype(np.float64), np.nan)[:, None] for c in _COORDS}  # what is no point is near to no model
     a, b, c, d, e, f = models[..., None]
-    dx = a * xy["x1"] + b * xy["y1"] + c - xy["x2"]
-    dy = d * xy["x1"] + e * xy["y1"] + f - xy["y2"]
-    r = np.sqrt(dx * dx + dy * dy)
+    r = None
+    for u, v, w, target in ((a, b, c, "x2"), (d, e, f, "y2")):  # in place, which is most of the work
+        off = u * xy["x1"]
+        off += v * xy["y1"]
+        off += w
+        off -= xy[target]
+        off *= off
+        r = off if r is None else np.add(r, off, out=r)
+    np.sqrt(r, out=r)
     inliers = np.array([np.where(there, np.count_nonzero(r <= t, axis=2), -1) for t in thresholds])
     best = np.array([inliers[i, :, :n].argmax(axis=1) for i in range(len(thresholds)) for n in counts]).T  # the first of equals
     level = np.repeat(np.arange(len(thresholds)), len(counts))
